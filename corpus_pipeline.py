@@ -1,12 +1,60 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences.
+
+Each stage takes the documents that the one before kept, written as Parquet and read
+again, and hands on rows with the same columns; the last returns pieces of sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quantloom.llm import jaccard, langid, mixing, packing, quality
+from quantloom.llm.staging import stage
+from quantloom.llm.tables import table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass, without the lines that are boilerplate of their source."""
+    # The row number keeps the optimizer from copying the rules' expressions into the filter.
+    kept = quality.quality(docs).withColumn("_row", F.monotonically_increasing_id()).where("kept and _row >= 0")
+    changed = ~F.col("kept_text").eqNullSafe(F.col("text"))
+    n_chars = F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.withColumns({"n_chars": n_chars, "text": F.col("kept_text")}).select(*docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.keep_identified(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one_of_each(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target asks for, whole each time."""
+    return mixing.repeat_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality rules", quality_rules),
+    ("language ID", language),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing", mix),
+    ("packing", pack),
+]
+#: Language scores and tokenizer ids are not SQL; the stages are tested against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for number, (_, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
+        if number + 1 < len(STAGES):
+            docs = stage(docs, f"pipeline-{number}")
+    return docs

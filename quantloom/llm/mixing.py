@@ -53,24 +53,25 @@ def _boundary(hist: DataFrame, bucket: str) -> DataFrame:
     return hist.withColumn("before", before).where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words")))
 
 
-def mix_documents(docs: DataFrame, cut_boundary: bool = True) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of each row of docs (doc_id, text, source).
+def _size_and_place() -> dict:
+    """Words of a row's text, and its place on the line: 60 bits of md5(doc_id)."""
+    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return {"size": n_words(F.col("text")), "place": F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")}
 
-    A source's taken words sum to its target rounded to a word; for that, the one
-    document on its threshold gives only part of its words. With ``cut_boundary`` false
-    that document is taken whole if half of it or more lies below the threshold, else not.
-    Null and empty texts have size 0 and take 0; null is a source of its own, the last.
-    Repeated rows are rows. An empty table gives no rows. Places on the line come from
-    md5(doc_id), so reruns agree.
-    """
-    sized = stage(
-        docs.select(
-            "doc_id", "source", n_words(F.col("text")).alias("size"),
-            F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long").alias("place"),
-        ),
-        "op4-sized",
-    )
-    b1, b2 = F.shiftright("place", 60 - BITS), F.shiftright("place", 60 - 2 * BITS)
+
+def _by_source(left: DataFrame, right: DataFrame, small: bool, how: str = "inner") -> DataFrame:
+    right = right.withColumnRenamed("source", "_source")
+    return left.join(F.broadcast(right) if small else right, left["source"].eqNullSafe(right["_source"]), how).drop("_source")
+
+
+def _bucket(levels: int):
+    return F.shiftright("place", 60 - levels * BITS)
+
+
+def thresholds(sized: DataFrame) -> tuple[DataFrame, bool]:
+    """(source, source_size, target, whole, rest, cut, below) of each source, and whether they are
+    few enough to broadcast. The source's documents are taken ``whole`` times, and once more in
+    all buckets before ``cut``, which hold ``below`` of the ``rest`` words."""
     budgets = stage(
         targets(sized)
         .withColumn("budget", F.floor(F.col("target") + 0.5))
@@ -79,33 +80,66 @@ def mix_documents(docs: DataFrame, cut_boundary: bool = True) -> DataFrame:
         "op4-budgets",
     )
     small = budgets.count() <= BROADCAST_SOURCES
-
-    def by_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-        right = right.withColumnRenamed("source", "_source")
-        return left.join(F.broadcast(right) if small else right, left["source"].eqNullSafe(right["_source"]), how).drop("_source")
-
-    coarse = sized.groupBy("source", b1.alias("b1")).agg(F.sum("size").alias("words"))
-    first = _boundary(by_source(coarse, budgets.select("source", "rest")), "b1").select("source", "b1", F.col("before").alias("before1"))
+    coarse = sized.groupBy("source", _bucket(1).alias("b1")).agg(F.sum("size").alias("words"))
+    first = _boundary(_by_source(coarse, budgets.select("source", "rest"), small), "b1").select("source", F.col("b1").alias("cut1"), F.col("before").alias("before1"))
     fine = (
-        by_source(sized, first.withColumnRenamed("b1", "cut1"))
-        .where(b1 == F.col("cut1"))
-        .groupBy("source", "before1", b2.alias("b2"))
+        _by_source(sized, first, small)
+        .where(_bucket(1) == F.col("cut1"))
+        .groupBy("source", "before1", _bucket(2).alias("b2"))
         .agg(F.sum("size").alias("words"))
     )
-    second = _boundary(by_source(fine, budgets.select("source", (F.col("rest")).alias("all_rest"))).withColumn("rest", F.col("all_rest") - F.col("before1")), "b2")
-    second = second.select("source", F.col("b2").alias("cut"), (F.col("before1") + F.col("before")).alias("below"))
-    plan = stage(by_source(budgets, second, "left"), "op4-thresholds")
-    placed = by_source(sized, plan).withColumn("b2", b2)
-    once = F.when(F.col("b2") < F.col("cut"), F.col("size")).otherwise(F.lit(0))
-    clear = placed.where(F.col("cut").isNull() | (F.col("b2") != F.col("cut"))).withColumn("more", once)
+    inside = _by_source(fine, budgets.select("source", "rest"), small).withColumn("rest", F.col("rest") - F.col("before1"))
+    second = _boundary(inside, "b2").select("source", F.col("b2").alias("cut"), (F.col("before1") + F.col("before")).alias("below"))
+    return stage(_by_source(budgets.drop("budget"), second, small, "left"), "op4-thresholds"), small
+
+
+def _on_threshold(placed: DataFrame, cut_boundary: bool) -> DataFrame:
+    """The documents in their source's last bucket, with the words that they give once ``more``."""
     at = W.partitionBy("source").orderBy("place", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     left = F.greatest(F.col("rest") - F.col("below") - F.coalesce(F.sum("size").over(at), F.lit(0)), F.lit(0))
     more = F.least(left, F.col("size")) if cut_boundary else F.when(2 * left >= F.col("size"), F.col("size")).otherwise(0)
-    on_it = placed.where(F.col("b2") == F.col("cut")).withColumn("more", more)
-    return (
-        clear.unionByName(on_it)
-        .select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("more")).alias("taken"))
-    )
+    return placed.where(_bucket(2) == F.col("cut")).withColumn("more", more)
+
+
+def mix_documents(docs: DataFrame, cut_boundary: bool = True) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of each row of docs (doc_id, text, source).
+
+    A source's taken words sum to its target rounded to a word; for that, the one
+    document on its threshold gives only part of its words. With ``cut_boundary`` false
+    that document is taken whole if half of it or more lies below the threshold, else not.
+    Null and empty texts have size 0 and take 0; null is a source of its own, the last.
+    Repeated rows are rows. An empty table gives no rows. Places on the line come from
+    md5(doc_id), so reruns agree.
+    """
+    sized = stage(docs.select("doc_id", "source", *(c.alias(n) for n, c in _size_and_place().items())), "op4-sized")
+    plan, small = thresholds(sized)
+    placed = _by_source(sized, plan, small)
+    clear = placed.where(F.col("cut").isNull() | (_bucket(2) != F.col("cut"))).withColumn("more", _once_more())
+    both = clear.unionByName(_on_threshold(placed, cut_boundary))
+    return both.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("more")).alias("taken"))
+
+
+def _once_more():
+    return F.when(_bucket(2) < F.col("cut"), F.col("size")).otherwise(F.lit(0))
+
+
+def repeat_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, each as often as the mix takes it, always
+    whole. Of rows that repeat an id and lie on a threshold, all or none are taken."""
+    sized = stage(docs.select("doc_id", "source", *(c.alias(n) for n, c in _size_and_place().items())), "op4-sized")
+    plan, small = thresholds(sized)
+    edge = _on_threshold(_by_source(sized, plan, small), cut_boundary=False)
+    edge = edge.groupBy(F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.max("more").alias("_more"))
+    edge = stage(edge, "op4-edge")
+    edge = F.broadcast(edge) if edge.count() <= BROADCAST_SOURCES else edge
+    names = docs.columns
+    packed = docs.select(F.struct(*names).alias("_row"), "doc_id", "source", *(c.alias(n) for n, c in _size_and_place().items()))
+    placed = _by_source(packed, plan, small)
+    same = placed["doc_id"].eqNullSafe(edge["_doc_id"]) & placed["source"].eqNullSafe(edge["_source"]) & (placed["size"] == edge["_size"])
+    placed = placed.join(edge, same, "left")
+    copies = F.col("whole") + F.when(F.coalesce("_more", _once_more()) > 0, 1).otherwise(0)
+    times = F.when(F.col("size") > 0, copies).otherwise(0).cast("int")
+    return placed.where(times > 0).select("_row", F.explode(F.array_repeat(F.lit(1), times))).select("_row.*")
 
 
 ORACLE = r"""
