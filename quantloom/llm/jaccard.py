@@ -6,6 +6,10 @@ list is cut into blocks: entries are ordered by set size, then by the shingle's
 position in the set, and where the next entry is too large or stands too far back to link
 with any before it, a block ends. Entries of different blocks are never compared.
 
+Every set also has a parity bitmap of four to eight bits a shingle. Two bitmaps differ in at most as many
+bits as their sets in shingles, so most sets that only share a passage are known not to
+link before any set is sent anywhere.
+
 A block names its smallest class as its leader, and all classes under one leader are a
 group, so every pair that shares a block is in a group. Inside a group the set most like all others
 is compared with everyone by going through their lists; the answers of any other set are those of the most
@@ -86,13 +90,67 @@ def in_order(s: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray
     return s[np.argsort(weight, kind="stable")] if weight.any() else s
 
 
+def parity_bits(s: np.ndarray) -> bytes:
+    """Which places of a bitmap an odd number of shingles falls on."""
+    size = max(64, 4 << (len(s) - 1).bit_length())
+    odd = np.bincount((s & U64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """The bitmap of the same set with ``size`` places, as 64-bit words."""
+    words = np.frombuffer(bits, U64)
+    while len(words) * 64 > size:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
+def may_link(sid: np.ndarray, size: np.ndarray, bits: list[bytes]) -> np.ndarray:
+    """Which sets differ from another in so few bits that the two may link."""
+    width = np.array([len(b) * 8 for b in bits])
+    out = np.zeros(len(sid), bool)
+    for w in np.unique(width).tolist():
+        wide = np.flatnonzero(width >= w)
+        maps = np.stack([folded(bits[i], w) for i in wide])
+        own = np.flatnonzero(width[wide] == w)
+        for at in range(0, len(own), 128):
+            a = own[at : at + 128]
+            differ = np.zeros((len(a), len(wide)), np.int32)
+            for k in range(maps.shape[1]):
+                differ += np.bitwise_count(maps[a, None, k] ^ maps[None, :, k])
+            near = (100 + PERCENT) * differ <= (100 - PERCENT) * (size[wide[a], None] + size[None, wide])
+            near &= sid[wide[a], None] != sid[None, wide]
+            out[wide[a]] |= near.any(1)
+            out[wide] |= near.any(0)
+    return out
+
+
+def _groups(table: pa.Table) -> list[tuple[int, int]]:
+    """Bounds of the rows of equal leader of a table sorted by it."""
+    leader = table["leader"].to_numpy()
+    if not len(leader):
+        return []
+    starts = np.flatnonzero(np.append(True, leader[1:] != leader[:-1])).tolist()
+    return list(zip(starts, [*starts[1:], len(leader)], strict=True))
+
+
+def _possible(table: pa.Table) -> pa.Table:
+    table = table.combine_chunks().sort_by("leader")
+    sid, size, bits = table["sid"].to_numpy(), table["n"].to_numpy(), table["bits"].to_pylist()
+    keep = np.zeros(len(sid), bool)
+    for a, b in _groups(table):
+        keep[a:b] = may_link(sid[a:b], size[a:b], bits[a:b])
+    return table.select(["leader", "sid", "home"]).filter(pa.array(keep))
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
             sets = shingle_sets(part.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())],
-                names=["doc_id", "n", "sid"],
+                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
+                 pa.array([parity_bits(s) if len(s) else None for s in sets], pa.binary())],
+                names=["doc_id", "n", "sid", "bits"],
             )
 
 
@@ -274,8 +332,7 @@ def _link_groups(table: pa.Table) -> pa.Table:
     leader, sid, home, side = (table[c].to_numpy() for c in ("leader", "sid", "home", "side"))
     sets = table["shingles"].to_pylist()
     out: list[tuple[int, int]] = []
-    starts = np.flatnonzero(np.diff(leader, prepend=leader[0] - 1))
-    for a, b in zip(starts.tolist(), np.append(starts[1:], len(leader)).tolist(), strict=True):
+    for a, b in _groups(table):
         out += group_links(sid[a:b], home[a:b], int(leader[a]), side[a:b], [np.frombuffer(x, U64) for x in sets[a:b]])
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
@@ -290,7 +347,7 @@ def find_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     the links of the corpus join."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    rows = stage(docs.mapInArrow(_describe, "doc_id long, n long, sid long"), "op3-sets")
+    rows = stage(docs.mapInArrow(_describe, "doc_id long, n long, sid long, bits binary"), "op3-sets")
     n, entries = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1), F.lit(0))).first()
     share = min(1 << 30, (1 << 30) * SAMPLE // max(1, n))
     sampled = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= share).select("text")
@@ -306,24 +363,34 @@ def find_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     homes = groups.groupBy("sid").agg(F.min("leader").alias("home"))
     with_home = groups.join(homes, "sid")
     # A group whose sets all share another home has nothing to add to it.
-    kept = with_home.groupBy("leader").agg(F.count("*").alias("k"), F.min("home").alias("x"), F.max("home").alias("y")).where("x = leader or x != y")
-    wanted = stage(with_home.join(kept.select("leader", "k"), "leader"), "op3-groups")
-    classes = rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    ids = stage(wanted.select("sid").distinct().join(classes, "sid").select("doc_id").distinct(), "op3-wanted")
-    sets = _only(docs, ids, "left_semi").select("text").mapInArrow(_emit_sets, "sid long, shingles binary")
-    parts = F.ceil(F.col("k") / GROUP_BLOCK).cast("int")
-    cells = max(1, int(wanted.join(rows.groupBy("sid").agg(F.first("n").alias("n")), "sid").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) * 8 // CELL_BYTES)
-    split = wanted.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
+    useful = with_home.groupBy("leader").agg(F.min("home").alias("x"), F.max("home").alias("y")).where("x = leader or x != y")
+    wanted = stage(with_home.join(useful.select("leader"), "leader", "left_semi"), "op3-groups")
+    sketches = rows.join(wanted.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("n").alias("n"), F.min("bits").alias("bits"))
+    sketched = _tasks(wanted, max(64, wanted.count() // GROUP_BLOCK)).join(sketches, "sid")
+    possible = stage(sketched.groupBy("task", "i", "j").applyInArrow(_possible, "leader long, sid long, home long").distinct(), "op3-possible")
+    sizes = rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
+    classes = stage(possible.select("sid").distinct().join(sizes, "sid"), "op3-wanted")
+    sets = _only(docs, classes.select("doc_id").distinct(), "left_semi").select("text").mapInArrow(_emit_sets, "sid long, shingles binary")
+    total = possible.join(classes, "sid").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    links = _tasks(possible, max(1, total * 8 // CELL_BYTES)).join(sets, "sid").groupBy("task", "i", "j").applyInArrow(_link_groups, "a long, b long")
+    return rows, links
+
+
+def _tasks(members: DataFrame, cells: int) -> DataFrame:
+    """members (leader, sid, home) with the task that compares them: small groups share ``cells``
+    tasks; a large group has one for each pair of its blocks, and its sets stand in
+    every pair of theirs. side tells the two blocks apart."""
+    counts = members.groupBy("leader").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("parts"))
+    split = members.join(counts, "leader").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    split = split.select(
+    alone = F.col("parts") == 1
+    return split.select(
         "leader", "sid", "home",
-        F.when(F.col("parts") == 1, F.pmod(F.xxhash64("leader"), F.lit(cells))).otherwise(F.col("leader")).alias("task"),
-        F.when(F.col("parts") == 1, -1).otherwise(F.least("own", "other")).alias("i"),
-        F.when(F.col("parts") == 1, -1).otherwise(F.greatest("own", "other")).alias("j"),
+        F.when(alone, F.pmod(F.xxhash64("leader"), F.lit(cells))).otherwise(F.col("leader")).alias("task"),
+        F.when(alone, -1).otherwise(F.least("own", "other")).alias("i"),
+        F.when(alone, -1).otherwise(F.greatest("own", "other")).alias("j"),
         F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"),
     )
-    links = split.join(sets, "sid").groupBy("task", "i", "j").applyInArrow(_link_groups, "a long, b long")
-    return rows, links
 
 
 def similarity_classes(docs: DataFrame) -> DataFrame:

@@ -50,11 +50,12 @@ def subwords(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     code = padded.copy()
     for size in (2, 3, 4):
         code = code[:-1] * np.uint32(0x01000193) ^ padded[size - 1 :]
-        whole = owner[: len(code)] == owner[size - 1 :]
+        first = owner[: len(code)]
+        whole = (first == owner[size - 1 :]) & (length[first] > 0)
         h = code[whole] * np.uint32(0x9E3779B1) + np.uint32(size)
         h ^= h >> np.uint32(15)
         buckets.append((h * np.uint32(0x85EBCA77)) >> np.uint32(32 - BITS))
-        owners.append(owner[: len(code)][whole])
+        owners.append(first[whole])
     return np.concatenate(buckets), np.concatenate(owners)
 
 
@@ -173,7 +174,12 @@ def fit(docs: DataFrame) -> Model | None:
     """Trains on docs (doc_id, text, lang) outside the held-out fold; None if nothing is labelled."""
     order = F.xxhash64("doc_id")
     known = docs.where((F.coalesce(crc_mod("doc_id", 5), F.lit(1)) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ranked = known.select("doc_id", "lang", F.row_number().over(W.partitionBy("lang").orderBy(order, "doc_id")).alias("rank"))
+    # Of each language only rows below a place that about twice as many lie under as are wanted: a common
+    # language is no more rows to rank than a rare one.
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("_lang"), (F.lit(2.0 * TRAIN_PER_LANG) / F.col("n")).alias("share"))
+    place = F.pmod(order, F.lit(1 << 40)) / float(1 << 40)
+    near = known.select("doc_id", "lang").join(counts, F.col("lang") == F.col("_lang")).where(place < F.col("share"))
+    ranked = near.select("doc_id", "lang", F.row_number().over(W.partitionBy("lang").orderBy(order, "doc_id")).alias("rank"))
     chosen = ranked.where(F.col("rank") <= TRAIN_PER_LANG).orderBy("rank", "lang", "doc_id").limit(TRAIN_MOST).select("doc_id").distinct()
     rows = (
         known.select("doc_id", "text", "lang")

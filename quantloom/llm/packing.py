@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .textbytes import slices
+from .textbytes import LOWER, raw, slices
 
 LENGTH = 2048
 END_ID = 1
@@ -37,7 +37,10 @@ WORD_CUT = 12
 #: a word's end is a boundary about every so many tokens
 STEP = 48
 #: words whose ids a worker keeps
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
+MARK = "\x7f"
+_ALNUM = np.array([chr(c).isalnum() and c < 128 for c in range(256)])
+_PUNCTUATION = np.array([32 < c < 127 and not chr(c).isalnum() for c in range(256)])
 TOKENIZER = "word_bpe_49k.json"
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -60,6 +63,7 @@ class WordIds:
 
         self.path = path
         self.tokenizer = Tokenizer.from_file(path)
+        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self._reset()
 
     def _reset(self) -> None:
@@ -69,6 +73,17 @@ class WordIds:
         self.length = np.array([1], np.int64)
         self.ends = np.array([2], np.int8)
 
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has. Words are encoded together, kept
+        apart by a word whose only id no other word has."""
+        if any(MARK in w for w in words):
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            return np.array([i for x in ids for i in x], "<u4"), np.array(list(map(len, ids)), np.int64)
+        texts = [f" {MARK} ".join(words[at : at + 2000]) + f" {MARK}" for at in range(0, len(words), 2000)]
+        ids = np.concatenate([np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        marks = np.flatnonzero(ids == self.mark)
+        return np.delete(ids, marks), np.diff(marks, prepend=-1) - 1
+
     def of(self, words: list[str]) -> np.ndarray:
         """Row of each word in first, length and ends; row 0 is the end of a document."""
         if len(self.index) + len(words) > CACHED_WORDS:
@@ -76,17 +91,27 @@ class WordIds:
         index = self.index
         new = [w for w in words if w not in index]
         if new:
-            ids = [x.ids for x in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            length = np.fromiter(map(len, ids), np.int64, len(ids))
-            at = len(self.length)
-            index.update(zip(new, range(at, at + len(new)), strict=True))
+            flat, length = self._encoded(new)
+            index.update(zip(new, range(len(self.length), len(self.length) + len(new)), strict=True))
             self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(length) - length])
             self.length = np.concatenate([self.length, length])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), "<u4", int(length.sum()))])
-            self.ends = np.concatenate([self.ends, np.fromiter((w[-1] in ".!?" for w in new), np.int8, len(new))])
+            self.flat = np.concatenate([self.flat, flat])
+            self.ends = np.concatenate([self.ends, np.fromiter((w[-1:] in (".", "!", "?") for w in new), np.int8, len(new))])
         return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
 
 
+def separated(texts: pa.Array) -> pa.Array:
+    """Texts of the same ids with fewer distinct words: the tokenizer lower-cases, and always
+    cuts between a letter or digit and a punctuation mark. Slices that may spell a special token stay as they are."""
+    data, offsets = raw(texts)
+    if b"<|" in data.tobytes():
+        return texts
+    data = LOWER[data]
+    at = np.flatnonzero(_ALNUM[data[:-1]] & _PUNCTUATION[data[1:]]) + 1
+    offsets = (offsets + np.searchsorted(at, offsets)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(np.insert(data, at, 0x20)))
+
+
 _known: WordIds | None = None
 
 
@@ -100,9 +125,7 @@ def word_ids(path: str) -> WordIds:
 def encode(texts: pa.Array, vocabulary: WordIds) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ids of all texts, each with its end id; tokens of each text; and where a word, sentence
     or document ends after some tokens (positions, kinds 0, 1 and 2)."""
-    if texts.null_count:
-        texts = texts.fill_null("")
-    lists = pc.ascii_split_whitespace(texts)
+    lists = pc.ascii_split_whitespace(separated(texts.fill_null("")))
     coded = lists.flatten().dictionary_encode()
     word = pa.array([]) if not len(coded) else coded.dictionary
     rows = vocabulary.of(word.to_pylist())

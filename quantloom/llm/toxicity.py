@@ -140,8 +140,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     marked = marked.where(F.col("toxic").isin(0, 1))
     counts = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     most = F.when(F.col("toxic") == 1, TRAIN_TOXIC).otherwise(TRAIN_CLEAN)
-    rank = F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = marked.withColumn("rank", rank).where(F.col("rank") <= max(TRAIN_TOXIC, TRAIN_CLEAN)).where(F.col("rank") <= most).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    # Only labels below a place that about twice as many lie under as are wanted are put in order.
+    order = F.xxhash64("doc_id")
+    share = F.when(F.col("toxic") == 1, 2.0 * TRAIN_TOXIC / max(1, counts.get(1, 0))).otherwise(2.0 * TRAIN_CLEAN / max(1, counts.get(0, 0)))
+    near = marked.where(F.pmod(order, F.lit(1 << 40)) / float(1 << 40) < share)
+    rank = F.row_number().over(W.partitionBy("toxic").orderBy(order, "doc_id"))
+    chosen = near.withColumn("rank", rank).where(F.col("rank") <= most).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     rows = (
         docs.select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")
