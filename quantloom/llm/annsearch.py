@@ -195,7 +195,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, parts: int = PARTS,
     dim = sizes["d"]
     vectors = vectors.where(F.size("embedding") == dim)
     by_vector = W.partitionBy("embedding").orderBy("vec_id")
-    distinct = stage(vectors.select("vec_id", "embedding", F.dense_rank().over(by_vector).alias("copy")).where(F.col("copy") <= k + 1), "op2-distinct")
+    distinct = stage(vectors.select("vec_id", "embedding", F.dense_rank().over(by_vector).alias("copy")).where(F.col("copy") <= k + 1).dropDuplicates(["embedding", "vec_id"]), "op2-distinct")
     firsts = distinct.where(F.col("copy") == 1).count()
     place = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
     chosen = distinct.where((F.col("copy") == 1) & (place < min(1 << 30, int((1 << 30) * 1.1 * sample / firsts) + 1))).select("vec_id", "embedding").toArrow()

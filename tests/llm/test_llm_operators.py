@@ -352,13 +352,13 @@ def test_lm_base(spark, rows):
 
 def test_filter_holds_levels():
     rng = np.random.default_rng(0)
-    keys = rng.choice(2**62, 5000, replace=False).astype(np.uint64)
+    keys = lmscore.key(np.arange(5000, dtype=np.uint64), 1)
     levels = rng.integers(1, 12, 5000)
     per = 4096
     bits = np.concatenate([lmscore.Filter.filled(keys[lmscore.Filter.segment_of(keys) == s], levels[lmscore.Filter.segment_of(keys) == s], per) for s in range(lmscore.SEGMENTS)])
     found = lmscore.Filter(bits).levels(keys)
     assert (found >= levels).all() and (found == levels).mean() > 0.9
-    assert (lmscore.Filter(bits).levels(rng.choice(2**62, 5000).astype(np.uint64)) == 0).mean() > 0.9
+    assert (lmscore.Filter(bits).levels(lmscore.key(np.arange(5000, 10_000, dtype=np.uint64), 1)) == 0).mean() > 0.9
     c = np.array([1, 2, 3, 10, 1000])
     assert (lmscore.value(lmscore.level(c)) / c < 1.5).all() and (lmscore.value(lmscore.level(c)) / c > 0.6).all()
 
@@ -406,8 +406,9 @@ def test_subword_average_is_the_plain_one():
     words, place, owner = langid._words(texts)
     buckets, of_word = langid.subwords(words)
     for w in range(len(words)):
-        b = b"<" + brute.lowered(words[w].as_py()) + b">"
-        assert (of_word == w).sum() == sum(max(0, len(b) - n + 1) for n in (2, 3, 4))
+        word = brute.lowered(words[w].as_py())
+        b = b"<" + word + b">"
+        assert (of_word == w).sum() == (sum(max(0, len(b) - n + 1) for n in (2, 3, 4)) if word else 0)
     rng = np.random.default_rng(0)
     model = langid.Model(["x", "y"], rng.normal(size=(1 << langid.BITS, 2)).astype(np.float32), np.zeros(2), 1.0, 0.0)
     p = model.probabilities(texts)
