@@ -6,16 +6,21 @@ list is cut into blocks: entries are ordered by set size, then by the shingle's
 position in the set, and where the next entry is too large or stands too far back to link
 with any before it, a block ends. Entries of different blocks are never compared.
 
-Every set also has a parity bitmap of four to eight bits a shingle. Two bitmaps differ in at most as many
+A block names its smallest class as its leader, and all classes under one leader are a
+group, so every pair that shares a block is in a group.
+
+Every set also has a parity bitmap of two to four bits a shingle. Two bitmaps differ in at most as many
 bits as their sets in shingles, so most sets that only share a passage are known not to
-link before any set is sent anywhere.
+link before any set is sent anywhere. What may link, directly or through others, is a
+family, so a set is sent once, however many groups it stands in. Families of more than
+``GROUP_BLOCK`` sets are looked at group by group instead.
 
-A block names its smallest class as its leader, and all classes under one leader are a
-group, so every pair that shares a block is in a group. Inside a group the set most like all others
+Inside a family the set most like all others
 is compared with everyone by going through their lists; the answers of any other set are those of the most
 similar set answered so far, plus and minus the lists of the few shingles in which the two differ.
-Groups hand on only links that join what was not joined before, and large groups are
+Families hand on only links that join what was not joined before, and large groups and families are
 divided into pairs of blocks, so no task holds more than two blocks of ``GROUP_BLOCK`` sets.
+Sets travel as 48 bits of each shingle's hash.
 """
 
 from __future__ import annotations
@@ -35,8 +40,8 @@ SHINGLE = 5
 #: percent; two sets link when 100 * intersection >= PERCENT * union
 PERCENT = 75
 #: texts whose shingles tell which ones are common; this changes the lists' lengths only
-SAMPLE = 4000
-COMMON = 1 << 16
+SAMPLE = 16_000
+COMMON = 1 << 17
 GROUP_BLOCK = 1024
 #: list entries of one bucket, about
 BUCKET_ENTRIES = 400_000
@@ -44,6 +49,8 @@ BUCKET_ENTRIES = 400_000
 CELL_BYTES = 8 << 20
 #: ids that are sent to all executors; more are joined by a shuffle
 BROADCAST_IDS = 1_000_000
+#: rows that tell each set its tasks; so many are sent to all executors, more are joined by a shuffle
+BROADCAST_TASKS = 200_000
 HELD = 2_000_000
 
 _MULTIPLIERS = mix(np.arange(1, SHINGLE + 1, dtype=U64) * U64(0x9FB21C651E98DF25)) | U64(1)
@@ -92,7 +99,7 @@ def in_order(s: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray
 
 def parity_bits(s: np.ndarray) -> bytes:
     """Which places of a bitmap an odd number of shingles falls on."""
-    size = max(64, 4 << (len(s) - 1).bit_length())
+    size = max(128, 2 << (len(s) - 1).bit_length())
     odd = np.bincount((s & U64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
@@ -106,9 +113,10 @@ def folded(bits: bytes, size: int) -> np.ndarray:
 
 
 def may_link(sid: np.ndarray, size: np.ndarray, bits: list[bytes]) -> np.ndarray:
-    """Which sets differ from another in so few bits that the two may link."""
+    """Sets that differ in so few bits that they may link are near; the family of each set, those
+    that near sets join, by a number, and -1 for a set that is near no other."""
     width = np.array([len(b) * 8 for b in bits])
-    out = np.zeros(len(sid), bool)
+    near = np.zeros((len(sid), len(sid)), bool)
     for w in np.unique(width).tolist():
         wide = np.flatnonzero(width >= w)
         maps = np.stack([folded(bits[i], w) for i in wide])
@@ -118,11 +126,18 @@ def may_link(sid: np.ndarray, size: np.ndarray, bits: list[bytes]) -> np.ndarray
             differ = np.zeros((len(a), len(wide)), np.int32)
             for k in range(maps.shape[1]):
                 differ += np.bitwise_count(maps[a, None, k] ^ maps[None, :, k])
-            near = (100 + PERCENT) * differ <= (100 - PERCENT) * (size[wide[a], None] + size[None, wide])
-            near &= sid[wide[a], None] != sid[None, wide]
-            out[wide[a]] |= near.any(1)
-            out[wide] |= near.any(0)
-    return out
+            hit = (100 + PERCENT) * differ <= (100 - PERCENT) * (size[wide[a], None] + size[None, wide])
+            near[wide[a][:, None], wide[None, :]] |= hit & (sid[wide[a], None] != sid[None, wide])
+    near |= near.T
+    family = np.full(len(sid), -1)
+    for i in np.flatnonzero(near.any(1)).tolist():
+        if family[i] < 0:
+            family[i] = i
+            front = np.array([i])
+            while len(front):
+                front = np.flatnonzero(near[front].any(0) & (family < 0))
+                family[front] = i
+    return family
 
 
 def _groups(table: pa.Table) -> list[tuple[int, int]]:
@@ -135,12 +150,15 @@ def _groups(table: pa.Table) -> list[tuple[int, int]]:
 
 
 def _possible(table: pa.Table) -> pa.Table:
-    table = table.combine_chunks().sort_by("leader")
+    """(first, sid): each set that may link with another, and the first of its family in this group."""
+    table = table.combine_chunks().sort_by([("leader", "ascending"), ("sid", "ascending")])
     sid, size, bits = table["sid"].to_numpy(), table["n"].to_numpy(), table["bits"].to_pylist()
-    keep = np.zeros(len(sid), bool)
+    first = np.full(len(sid), -1)
     for a, b in _groups(table):
-        keep[a:b] = may_link(sid[a:b], size[a:b], bits[a:b])
-    return table.select(["leader", "sid", "home"]).filter(pa.array(keep))
+        family = may_link(sid[a:b], size[a:b], bits[a:b])
+        first[a:b] = np.where(family < 0, -1, family + a)
+    keep = first >= 0
+    return pa.table({"first": sid[first[keep]], "sid": sid[keep]})
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,11 +258,22 @@ def _find_blocks(table: pa.Table) -> pa.Table:
     return pa.table({"leader": found[:, 0], "sid": found[:, 1]})
 
 
+def sent(s: np.ndarray) -> bytes:
+    """The upper 48 bits of every hash, in order."""
+    return (s >> U64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def received(b: bytes) -> np.ndarray:
+    wide = np.zeros((len(b) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return wide.reshape(-1).view("<u8")
+
+
 def _emit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
             sets = [s for s in shingle_sets(part.column("text")) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([sent(s) for s in sets], pa.binary())], names=["sid", "shingles"])
 
 
 def joining_links(sets: list[np.ndarray], probes: np.ndarray) -> list[tuple[int, int]]:
@@ -309,31 +338,23 @@ def joining_links(sets: list[np.ndarray], probes: np.ndarray) -> list[tuple[int,
     return out
 
 
-def group_links(sid: np.ndarray, home: np.ndarray, leader: int, side: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links inside a group, as pairs of ids. home: the smallest leader of each set; sets that share
-    another home than this leader meet there. side: 0 and 1 for two blocks, of which only
+def family_links(sid: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links inside a family, as pairs of ids. side: 0 and 1 for two blocks, of which only
     pairs across are wanted; all 0 for one."""
-    _, once = np.unique(sid, return_index=True)
-    sid, home, side, sets = sid[once], home[once], side[once], [sets[i] for i in once]
+    _, once = np.unique(sid, return_index=True)  # rows that repeat an id and text send their set again
+    sid, side, sets = sid[once], side[once], [sets[i] for i in once]
     if len(sets) < 2:
         return []
-    ask = home == leader
-    if not ask.all():
-        others, counts = np.unique(home[~ask], return_counts=True)
-        ask |= home != others[counts.argmax()]
-    if side.any():
-        # Pairs across have one end on either side; all on one side ask, or fewer when only some must.
-        ask = (side == 0) if ask.all() else ask
-    return [(int(sid[a]), int(sid[b])) for a, b in joining_links(sets, np.flatnonzero(ask))]
+    # Pairs across have one end on either side.
+    return [(int(sid[a]), int(sid[b])) for a, b in joining_links(sets, np.flatnonzero(side == 0))]
 
 
-def _link_groups(table: pa.Table) -> pa.Table:
+def _link_families(table: pa.Table) -> pa.Table:
     table = table.combine_chunks().sort_by("leader")
-    leader, sid, home, side = (table[c].to_numpy() for c in ("leader", "sid", "home", "side"))
-    sets = table["shingles"].to_pylist()
+    sid, side, sets = table["sid"].to_numpy(), table["side"].to_numpy(), table["shingles"].to_pylist()
     out: list[tuple[int, int]] = []
     for a, b in _groups(table):
-        out += group_links(sid[a:b], home[a:b], int(leader[a]), side[a:b], [np.frombuffer(x, U64) for x in sets[a:b]])
+        out += family_links(sid[a:b], side[a:b], [received(x) for x in sets[a:b]])
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
@@ -367,17 +388,23 @@ def find_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = stage(with_home.join(useful.select("leader"), "leader", "left_semi"), "op3-groups")
     sketches = rows.join(wanted.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("n").alias("n"), F.min("bits").alias("bits"))
     sketched = _tasks(wanted, max(64, wanted.count() // GROUP_BLOCK)).join(sketches, "sid")
-    possible = stage(sketched.groupBy("task", "i", "j").applyInArrow(_possible, "leader long, sid long, home long").distinct(), "op3-possible")
+    near = stage(sketched.groupBy("task", "i", "j").applyInArrow(_possible, "first long, sid long").distinct(), "op3-near")
+    families = connected_components(near.select(F.col("first").alias("a"), F.col("sid").alias("b")))
+    small = families.groupBy("root").agg(F.count("*").alias("members")).where(F.col("members") <= GROUP_BLOCK).select("root")
+    whole = families.join(small, "root", "left_semi").select(F.col("root").alias("leader"), F.col("node").alias("sid"))
+    parted = near.join(whole, "sid", "left_anti").select(F.col("first").alias("leader"), "sid")
+    members = stage(whole.unionByName(parted), "op3-members")
     sizes = rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
-    classes = stage(possible.select("sid").distinct().join(sizes, "sid"), "op3-wanted")
-    sets = _only(docs, classes.select("doc_id").distinct(), "left_semi").select("text").mapInArrow(_emit_sets, "sid long, shingles binary")
-    total = possible.join(classes, "sid").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    links = _tasks(possible, max(1, total * 8 // CELL_BYTES)).join(sets, "sid").groupBy("task", "i", "j").applyInArrow(_link_groups, "a long, b long")
+    classes = stage(members.join(sizes, "sid"), "op3-wanted")
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    sent_once = _only(docs, classes.select("doc_id").distinct(), "left_semi").select("text").mapInArrow(_emit_sets, "sid long, shingles binary")
+    tasks = stage(_tasks(classes.select("leader", "sid"), max(1, total * 6 // CELL_BYTES)), "op3-tasks")
+    links = sent_once.join(F.broadcast(tasks) if tasks.count() <= BROADCAST_TASKS else tasks, "sid").groupBy("task", "i", "j").applyInArrow(_link_families, "a long, b long")
     return rows, links
 
 
 def _tasks(members: DataFrame, cells: int) -> DataFrame:
-    """members (leader, sid, home) with the task that compares them: small groups share ``cells``
+    """members (leader, sid) with the task that compares them: small groups share ``cells``
     tasks; a large group has one for each pair of its blocks, and its sets stand in
     every pair of theirs. side tells the two blocks apart."""
     counts = members.groupBy("leader").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("parts"))
@@ -385,7 +412,7 @@ def _tasks(members: DataFrame, cells: int) -> DataFrame:
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     alone = F.col("parts") == 1
     return split.select(
-        "leader", "sid", "home",
+        "leader", "sid",
         F.when(alone, F.pmod(F.xxhash64("leader"), F.lit(cells))).otherwise(F.col("leader")).alias("task"),
         F.when(alone, -1).otherwise(F.least("own", "other")).alias("i"),
         F.when(alone, -1).otherwise(F.greatest("own", "other")).alias("j"),
