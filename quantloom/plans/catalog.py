@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..functions.dialect import DUCKDB
 from ..operators import backtest, bars, cross, flow, recursive, temporal
 from ..sources.adapters import BARS_SQL, QUOTES_SQL, TRADES_SQL, hourly_bars, load, quotes, trades
-from . import indicators
+from . import indicators, series_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -599,3 +599,6 @@ def stream_bars(spark, d):
     job = tumbling_bars(rows).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
     job.awaitTermination()
     return spark.table(name).select("symbol", F.col("open_time").cast("timestamp_ntz").alias("open_time"), "trades", "high", "low")
+
+
+series_queries.register(query)
