@@ -235,10 +235,10 @@ def upsert_newest_wins(spark, d):
 
 @query(f"""WITH v AS (SELECT symbol, date_trunc('day', ts)::DATE AS day, arg_max(price, struct_pack(a := ts, b := id)) AS price FROM ({QUOTES_SQL}) q GROUP BY ALL),
  g AS (SELECT symbol, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM v GROUP BY symbol)
- SELECT symbol, day, last_value(price IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY day) AS price FROM g LEFT JOIN v USING (symbol, day)""")
+ SELECT symbol, day::TIMESTAMP AS day, last_value(price IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY day) AS price FROM g LEFT JOIN v USING (symbol, day)""")
 def daily_densified(spark, d):
     daily = quotes(spark, d).groupBy("symbol", F.to_date("ts").alias("day")).agg(F.max_by("price", F.struct("ts", "id")).alias("price"))
-    return temporal.densify(daily, ["symbol"], "day", "price")
+    return temporal.densify(daily, ["symbol"], "day", "price").withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
 @query("""SELECT event_id, ts, user_id FROM events WHERE (ts, event_id) < (TIMESTAMP '2024-01-20', 0) ORDER BY ts DESC, event_id DESC LIMIT 101""")
