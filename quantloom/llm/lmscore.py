@@ -2,10 +2,11 @@
 
 The filter holds each n-gram once for every step of its count on a logarithmic scale, so
 its count, up to that scale, is the number of steps found by probing one after the other.
-It has a fixed number of bits: a histogram of the counts over the whole corpus tells from
-which count on the n-grams fit, so it is as exact at 100 TB as on a laptop for those it holds. It
-consists of segments by the n-gram's hash; each is filled by one task, and only their fixed
-size passes through the driver.
+It holds every n-gram of the training texts, with ``BITS_PER_ENTRY`` bits or more for each step,
+and consists of segments by the n-gram's hash; each is filled by one task. A filter of at most
+``FILTER_BITS`` goes to all workers. A larger one never leaves its tasks: the scan asks for the
+distinct n-grams of each slice of texts, the task that fills a segment answers what is asked of
+it, and the answers are put together by slice.
 
 A word's probability is interpolated from its bigram's and its own; both counts come from
 the filter. The base score beside it uses exact counts: those of the most frequent words (at
@@ -27,15 +28,22 @@ from .tables import crc_mod
 from .textbytes import NOT_SPACE, U64, Words, mix, slices
 
 FREQUENT = 1 << 18
+#: bits of a filter that is sent to all workers; a larger one is asked segment by segment
 FILTER_BITS = 1 << 27
 BITS_PER_ENTRY = 10
 PROBES = 4
+#: segments of a filter, at least; a larger filter has more, of SEGMENT_BITS at most
 SEGMENTS = 64
+SEGMENT_BITS = 1 << 25
 SCALE = 1.5
 BIGRAM_WEIGHT = 0.2
 BUCKETS = 256
 #: n-grams that a counting task holds before it passes them on
 HELD = 4_000_000
+#: bytes of text in a slice that is scored at once; the larger, the fewer n-grams are asked for again
+SLICE_BYTES = 1 << 22
+#: n-grams in one row of packed ones
+PIECE = 1 << 17
 END = U64(0x5851F42D4C957F2D)
 START = U64(0x14057B7EF767814F)
 
@@ -126,8 +134,21 @@ def _packed(h: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=["bucket", "low", "place", "count"])
 
 
+def pack(h: np.ndarray, order: int) -> bytes:
+    """8 bytes of a unigram's hash, 6 of a bigram's fingerprint."""
+    return h.tobytes() if order == 1 else h.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack(packed: bytes, order: int) -> np.ndarray:
+    if order == 1:
+        return np.frombuffer(packed, "<u8").astype(U64)
+    wide = np.zeros((len(packed) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return wide.reshape(-1).view("<u8").astype(U64)
+
+
 def _merge_bucket(table: pa.Table) -> pa.Table:
-    """(h, n) of the bigrams of a bucket that occur twice or more."""
+    """The bigrams of a bucket, packed, with their levels and the sum of these."""
     hashes, counts = [], []
     for b, low, place, count in zip(*(table[c].to_pylist() for c in ("bucket", "low", "place", "count")), strict=True):
         wide = np.zeros((len(low) // 5, 8), np.uint8)
@@ -138,8 +159,13 @@ def _merge_bucket(table: pa.Table) -> pa.Table:
         hashes.append(wide.reshape(-1).view("<u8").astype(U64))
         counts.append(c)
     h, c = _merged(hashes, counts)
-    twice = c > 1
-    return pa.table({"h": h[twice].view(np.int64), "n": c[twice]})
+    steps = level(c)
+    cuts = [slice(at, at + PIECE) for at in range(0, len(h), PIECE)]
+    return pa.table({
+        "h": pa.array([pack(h[x], 2) for x in cuts], pa.binary()),
+        "levels": pa.array([steps[x].astype(np.uint8).tobytes() for x in cuts], pa.binary()),
+        "entries": pa.array([int(steps[x].sum()) for x in cuts], pa.int64()),
+    })
 
 
 def key(h: np.ndarray, order: int) -> np.ndarray:
@@ -148,10 +174,10 @@ def key(h: np.ndarray, order: int) -> np.ndarray:
 
 
 class Filter:
-    """Bits in SEGMENTS segments; a key's bits all lie in its segment."""
+    """Bits in segments; a key's bits all lie in its segment."""
 
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
+    def __init__(self, bits: np.ndarray, segments: int = SEGMENTS):
+        self.bits, self.segments = bits, segments
 
     @staticmethod
     def places(keys: np.ndarray, step: np.ndarray | int, probe: int, bits: int) -> np.ndarray:
@@ -160,8 +186,9 @@ class Filter:
         return ((h & U64(0xFFFFFFFF)) + U64(probe) * ((h >> U64(32)) | U64(1))) % U64(bits)
 
     @staticmethod
-    def segment_of(keys: np.ndarray) -> np.ndarray:
-        return (keys >> U64(58)).astype(np.int64)
+    def segment_of(keys: np.ndarray, segments: int = SEGMENTS) -> np.ndarray:
+        """By the upper bits; segments is a power of two."""
+        return (keys >> U64(65 - segments.bit_length())).astype(np.int64) if segments > 1 else np.zeros(len(keys), np.int64)
 
     @staticmethod
     def filled(keys: np.ndarray, levels: np.ndarray, bits: int) -> np.ndarray:
@@ -175,8 +202,8 @@ class Filter:
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The number of steps that the filter holds of each key."""
-        per = len(self.bits) // SEGMENTS * 8
-        first = self.segment_of(keys) * per
+        per = len(self.bits) // self.segments * 8
+        first = self.segment_of(keys, self.segments) * per
         out = np.zeros(len(keys), np.int64)
         alive = np.arange(len(keys))
         step = 1
@@ -189,29 +216,166 @@ class Filter:
         return out
 
 
+def _segment_rows(h: np.ndarray, order: int, levels: np.ndarray, segments: int) -> pa.RecordBatch:
+    """One row for each segment that any of the n-grams is in."""
+    segment = Filter.segment_of(key(h, order), segments)
+    by = np.argsort(segment, kind="stable")
+    used, first = np.unique(segment[by], return_index=True)
+    cuts = [by[a:b] for a, b in zip(first.tolist(), [*first[1:].tolist(), len(by)], strict=True)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(used.astype(np.int32)), pa.array([order] * len(used), pa.int32()), pa.array([pack(h[x], order) for x in cuts], pa.binary()),
+         pa.array([levels[x].astype(np.uint8).tobytes() for x in cuts], pa.binary())],
+        names=["segment", "n_words", "h", "levels"],
+    )
+
+
+def _words_by_segment(segments: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            held.append((batch.column("h").to_numpy().view(U64), batch.column("n").to_numpy()))
+            if sum(len(h) for h, _ in held) > HELD // 4:
+                yield _segment_rows(np.concatenate([h for h, _ in held]), 1, level(np.concatenate([n for _, n in held])), segments)
+                held = []
+        if held:
+            yield _segment_rows(np.concatenate([h for h, _ in held]), 1, level(np.concatenate([n for _, n in held])), segments)
+
+    return run
+
+
+def _bigrams_by_segment(segments: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, levels in zip(batch.column("h"), batch.column("levels"), strict=True):
+                yield _segment_rows(unpack(h.as_py(), 2), 2, np.frombuffer(levels.as_py(), np.uint8), segments)
+
+    return run
+
+
+def _filled(table: pa.Table, bits: int) -> np.ndarray:
+    """Bytes of the segment that holds the n-grams of the table's rows."""
+    keys, levels = [np.zeros(0, U64)], [np.zeros(0, np.uint8)]
+    for order, h, steps in zip(*(table[c].to_pylist() for c in ("n_words", "h", "levels")), strict=True):
+        keys.append(key(unpack(h, order), order))
+        levels.append(np.frombuffer(steps, np.uint8))
+    return Filter.filled(np.concatenate(keys), np.concatenate(levels), bits)
+
+
 def _fill(bits: int):
     def fill(table: pa.Table) -> pa.Table:
-        h, order, n = (table[c].to_numpy() for c in ("h", "n_words", "n"))
-        keys = key(h.view(U64), 0) if not len(h) else key(h.view(U64), order.astype(U64))
-        segment = Filter.segment_of(keys)
-        assert (segment == segment[0]).all()
-        return pa.table({"segment": pa.array([int(segment[0])], pa.int32()), "bits": pa.array([Filter.filled(keys, level(n), bits).tobytes()], pa.binary())})
+        return pa.table({"segment": pa.array([table["segment"][0].as_py()], pa.int32()), "bits": pa.array([_filled(table, bits).tobytes()], pa.binary())})
 
     return fill
 
 
-def _with_segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        h, order = batch.column("h").to_numpy().view(U64), batch.column("n_words").to_numpy().astype(U64)
-        segment = Filter.segment_of(key(h, order)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(segment)], names=[*batch.schema.names, "segment"])
+def _answer(bits: int):
+    """Of the n-grams of a segment and the questions for it: the levels that it holds of those asked for."""
+
+    def answer(held: pa.Table, asked: pa.Table) -> pa.Table:
+        kinds = {"row": pa.int64(), "segment": pa.int32(), "n_words": pa.int32(), "levels": pa.binary()}
+        if not asked.num_rows:
+            return pa.table({c: pa.array([], k) for c, k in kinds.items()})
+        one = Filter(_filled(held, bits), 1)
+        order, h = asked["n_words"].to_pylist(), asked["h"].to_pylist()
+        levels = [one.levels(key(unpack(x, o), o)).astype(np.uint8).tobytes() for o, x in zip(order, h, strict=True)]
+        return pa.table({"row": asked["row"], "segment": asked["segment"], "n_words": asked["n_words"], "levels": pa.array(levels, pa.binary())})
+
+    return answer
+
+
+def _places(x: np.ndarray, distinct: int) -> bytes:
+    """Places below ``distinct`` in as few bytes as they need."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : _width(distinct)].tobytes()
+
+
+def _width(distinct: int) -> int:
+    return max(1, (distinct - 1).bit_length() + 7 >> 3)
+
+
+def _read_places(packed: bytes, distinct: int) -> np.ndarray:
+    width = _width(distinct)
+    wide = np.zeros((len(packed) // width, 4), np.uint8)
+    wide[:, :width] = np.frombuffer(packed, np.uint8).reshape(-1, width)
+    return wide.reshape(-1).view("<u4").astype(np.int64)
+
+
+def _token_columns(token: np.ndarray, sizes: np.ndarray) -> dict[str, bytes]:
+    """The tokens of a slice: its distinct words, the place of each token among them, and the texts' sizes."""
+    words, place = np.unique(token, return_inverse=True)
+    return {"words": pack(words, 1), "word_at": _places(place, len(words)), "sizes": sizes.astype("<u4").tobytes()}
+
+
+def _read_tokens(words: bytes, word_at: bytes, sizes: bytes) -> tuple[np.ndarray, np.ndarray]:
+    h, n = unpack(words, 1), np.frombuffer(sizes, "<u4")
+    return h[_read_places(word_at, len(h))], np.repeat(np.arange(len(n)), n)
+
+
+def _questions(token: np.ndarray, of_text: np.ndarray, segments: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each order: its distinct n-grams by segment, their segments, and the place of each token's among them."""
+    for order, grams in ((1, token), (2, bigrams(token, of_text)[0] >> U64(16))):
+        h, place = np.unique(grams, return_inverse=True)
+        segment = Filter.segment_of(key(h, order), segments)
+        by = np.argsort(segment, kind="stable")
+        rank = np.empty(len(h), np.int64)
+        rank[by] = np.arange(len(h))
+        yield order, h[by], segment[by], rank[place]
+
+
+def _ask(segments: int):
+    """Rows (row, segment, n_words, h): what each slice asks each segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, *columns in zip(*(batch.column(c) for c in ("row", "words", "word_at", "sizes")), strict=True):
+                rows = []
+                for order, h, segment, _ in _questions(*_read_tokens(*(x.as_py() for x in columns)), segments):
+                    used, first = np.unique(segment, return_index=True)
+                    rows += [(g, order, pack(h[a:b], order)) for g, a, b in zip(used.tolist(), first.tolist(), [*first[1:].tolist(), len(h)], strict=True)]
+                segment, order, h = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row.as_py()] * len(rows), pa.int64()), pa.array(segment, pa.int32()), pa.array(order, pa.int32()), pa.array(h, pa.binary())],
+                    names=["row", "segment", "n_words", "h"],
+                )
+
+    return run
+
+
+def _put_together(denominator: float, segments: int):
+    """The scores of a slice's texts from the answers for it."""
+
+    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by([("n_words", "ascending"), ("segment", "ascending")])
+        orders, levels = answers["n_words"].to_pylist(), answers["levels"].to_pylist()
+        token, of_text = _read_tokens(*(texts[c][0].as_py() for c in ("words", "word_at", "sizes")))
+        counts = []
+        for order, h, _, place in _questions(token, of_text, segments):
+            found = np.frombuffer(b"".join(x for x, o in zip(levels, orders, strict=True) if o == order), np.uint8)
+            assert len(found) == len(h)
+            counts.append(value(found.astype(np.int64))[place])
+        n = int(of_text[-1]) + 1
+        logs = log10_of(*counts, of_text, denominator)
+        return pa.table({"row": texts["row"][0].as_py() + np.arange(n), "score": np.bincount(of_text, weights=logs, minlength=n)})
+
+    return score
+
+
+def log10_of(count: np.ndarray, together: np.ndarray, of_text: np.ndarray, denominator: float) -> np.ndarray:
+    """The log10 probability of each token after the one before, from its count and its bigram's."""
+    alone = (count + 0.5) / denominator
+    head = np.empty_like(count)
+    head[1:] = count[:-1]
+    # A text's start is followed by as many words as there are texts, that is, ends; a slice ends with one.
+    head[np.flatnonzero(np.diff(of_text, prepend=-1))] = count[-1]
+    follows = np.minimum(1.0, together / np.maximum(head, 1))
+    mixed = (1 - BIGRAM_WEIGHT) * alone + BIGRAM_WEIGHT * np.where(head > 0, follows, alone)
+    return np.log10(np.minimum(mixed, 1.0))
 
 
 class Model:
-    """What workers need: the filter, the totals, and the exact counts of frequent words."""
+    """What workers need: the filter or, where it is not sent, its number of segments, the totals, and the exact counts of frequent words."""
 
-    def __init__(self, bits: np.ndarray, total: int, distinct: int, words: np.ndarray, counts: np.ndarray):
-        self.filter, self.total, self.distinct = Filter(bits), total, distinct
+    def __init__(self, bits: np.ndarray | None, segments: int, total: int, distinct: int, words: np.ndarray, counts: np.ndarray):
+        self.filter, self.segments, self.total, self.distinct = None if bits is None else Filter(bits, segments), segments, total, distinct
         self.words, self.counts = words, counts
 
     @property
@@ -221,18 +385,9 @@ class Model:
     def log10(self, token: np.ndarray, of_text: np.ndarray) -> np.ndarray:
         """The log10 probability of each token after the one before."""
         words, place = np.unique(token, return_inverse=True)
-        count = value(self.filter.levels(key(words, U64(1))))
-        alone = ((count + 0.5) / self.denominator)[place]
-        pair, before = bigrams(token, of_text)
-        pairs, pair_place = np.unique(pair, return_inverse=True)
-        together = value(self.filter.levels(key(pairs >> U64(16), U64(2))))[pair_place]
-        heads, head_place = np.unique(before, return_inverse=True)
-        head = value(self.filter.levels(key(heads, U64(1))))[head_place]
-        # A text's start is followed by as many words as there are texts, that is, ends.
-        head = np.where(before == START, value(self.filter.levels(key(np.array([END]), U64(1))))[0], head)
-        follows = np.minimum(1.0, together / np.maximum(head, 1))
-        mixed = (1 - BIGRAM_WEIGHT) * alone + BIGRAM_WEIGHT * np.where(head > 0, follows, alone)
-        return np.log10(np.minimum(mixed, 1.0))
+        pairs, pair_place = np.unique(bigrams(token, of_text)[0] >> U64(16), return_inverse=True)
+        count, together = (value(self.filter.levels(key(h, order))) for h, order in ((words, 1), (pairs, 2)))
+        return log10_of(count[place], together[pair_place], of_text, self.denominator)
 
     def exact(self, words: np.ndarray) -> np.ndarray:
         """Counts of distinct words; -1 of those that are not frequent."""
@@ -249,43 +404,36 @@ def count_words(train: DataFrame) -> DataFrame:
 
 
 def count_bigrams(train: DataFrame) -> DataFrame:
-    """(h, n) of the bigrams' fingerprints that occur twice or more."""
+    """(h, levels, entries): the fingerprints of all bigrams and the levels of their counts, packed."""
     packed = train.select("text").mapInArrow(_count(lambda t, o: bigrams(t, o)[0], _packed), "bucket int, low binary, place binary, count binary")
-    return packed.groupBy("bucket").applyInArrow(_merge_bucket, "h long, n long")
-
-
-def _least_counts(histogram: dict[tuple[int, int], int], room: int) -> dict[int, int]:
-    """The lowest level of each order's n-grams such that all from there on fit: unigrams
-    get up to half the room, bigrams what is left."""
-    out = {}
-    for order, share in ((1, room // 2), (2, room)):
-        used, lowest = 0, 100
-        for steps in sorted((s for o, s in histogram if o == order), reverse=True):
-            used += steps * histogram[order, steps]
-            if used > share:
-                break
-            lowest = steps
-            spent = used
-        out[order] = lowest
-        if order == 1 and lowest < 100:
-            room -= spent
-    return out
-
-
-def fit(train: DataFrame, bits: int = FILTER_BITS, frequent: int = FREQUENT) -> tuple[Model, DataFrame]:
-    """The model of train (text), and the exact counts of its tokens."""
+    return packed.groupBy("bucket").applyInArrow(_merge_bucket, "h binary, levels binary, entries long")
+
+
+def shape(entries: int, bits: int) -> tuple[bool, int, int]:
+    """Whether a filter of so many entries goes to the workers, with ``bits`` bits then; its segments; and the bits of one."""
+    if entries * BITS_PER_ENTRY <= bits:
+        return True, SEGMENTS, bits // SEGMENTS
+    segments = SEGMENTS
+    while entries * BITS_PER_ENTRY > segments * SEGMENT_BITS:
+        segments *= 2
+    return False, segments, -(-entries * BITS_PER_ENTRY // segments // 64) * 64
+
+
+def fit(train: DataFrame, bits: int = FILTER_BITS, frequent: int = FREQUENT) -> tuple[Model, DataFrame, DataFrame, int]:
+    """The model of train (text), the exact counts of its tokens, and its n-grams by the
+    filter's segment with the bits of one."""
     words = stage(count_words(train), "op8-words")
     pairs = stage(count_bigrams(train), "op8-bigrams")
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    entries = words.withColumn("n_words", F.lit(1)).unionByName(pairs.withColumn("n_words", F.lit(2)))
-    histogram = {(r["n_words"], r["steps"]): r["count"] for r in entries.groupBy("n_words", F.expr(LEVEL).alias("steps")).count().collect()}
-    least = _least_counts(histogram, bits // BITS_PER_ENTRY)
-    per = bits // SEGMENTS
-    fits = entries.where(F.expr(LEVEL) >= F.when(F.col("n_words") == 1, least[1]).otherwise(least[2]))
-    filled = fits.mapInArrow(_with_segment, "h long, n long, n_words int, segment int").groupBy("segment").applyInArrow(_fill(per), "segment int, bits binary")
-    all_bits = np.zeros(bits // 8, np.uint8)
-    for row in filled.collect():  # SEGMENTS rows of bits / 8 bytes in all
-        all_bits[row["segment"] * per // 8 : (row["segment"] + 1) * per // 8] = np.frombuffer(row["bits"], np.uint8)
+    total, distinct, entries = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.expr(LEVEL)), F.lit(0))).first()
+    entries += pairs.agg(F.coalesce(F.sum("entries"), F.lit(0))).first()[0]
+    sent, segments, per = shape(entries, bits)
+    packed = "segment int, n_words int, h binary, levels binary"
+    grams = words.mapInArrow(_words_by_segment(segments), packed).unionByName(pairs.mapInArrow(_bigrams_by_segment(segments), packed))
+    all_bits = None
+    if sent:
+        all_bits = np.zeros(bits // 8, np.uint8)
+        for row in grams.groupBy("segment").applyInArrow(_fill(per), "segment int, bits binary").collect():  # SEGMENTS rows of bits / 8 bytes in all
+            all_bits[row["segment"] * per // 8 : (row["segment"] + 1) * per // 8] = np.frombuffer(row["bits"], np.uint8)
     # The count from which on at most `frequent` words are left, by powers of two.
     sizes = {r["b"]: r["count"] for r in words.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).count().collect()}
     bound, room = 63, frequent
@@ -296,10 +444,12 @@ def fit(train: DataFrame, bits: int = FILTER_BITS, frequent: int = FREQUENT) ->
     top = words.where(F.col("n") >= F.lit(2**bound if bound < 63 else 2**62)).toArrow()
     h = top["h"].to_numpy().view(U64)
     order = np.argsort(h)
-    return Model(all_bits, total, distinct, h[order], top["n"].to_numpy()[order]), words
+    return Model(all_bits, segments, total, distinct, h[order], top["n"].to_numpy()[order]), words, grams, per
 
 
 SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<h:long,tf:long>>"
+#: of the first text of each slice, where the filter is not sent
+SLICE = "words binary, word_at binary, sizes binary"
 
 
 def score_documents(docs: DataFrame, bits: int = FILTER_BITS, frequent: int = FREQUENT) -> DataFrame:
@@ -311,14 +461,15 @@ def score_documents(docs: DataFrame, bits: int = FILTER_BITS, frequent: int = FR
     """
     held = (F.coalesce(crc_mod("doc_id", 5), F.lit(0)) == 1).alias("held_out")
     docs = docs.select("doc_id", "text", held)
-    model, words = fit(docs.where(~F.col("held_out")), bits, frequent)
+    model, words, grams, per = fit(docs.where(~F.col("held_out")), bits, frequent)
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    by_segment = model.filter is None
     rare_kind = pa.list_(pa.struct([("h", pa.int64()), ("tf", pa.int64())]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, row = sent.value, TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE_BYTES):
                 n = part.num_rows
                 token, of_text = tokens(part.column("text"))
                 by_text = lambda x: np.bincount(of_text, weights=x, minlength=n)  # noqa: B023, E731
@@ -329,17 +480,26 @@ def score_documents(docs: DataFrame, bits: int = FILTER_BITS, frequent: int = FR
                 pair, tf = np.unique(of_text[~known] * len(distinct) + place[~known], return_counts=True)
                 bounds = np.searchsorted(pair, np.arange(n + 1) * len(distinct)).astype(np.int32)
                 rare = pa.StructArray.from_arrays([pa.array(distinct[pair % len(distinct)].view(np.int64)), pa.array(tf)], ["h", "tf"])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row + np.arange(n)), part.column("doc_id"), part.column("held_out"), pa.array(np.bincount(of_text, minlength=n)),
-                        pa.array(by_text(known).astype(np.int64)), pa.array(base), pa.array(by_text(model.log10(token, of_text))),
-                        pa.ListArray.from_arrays(pa.array(bounds), rare).cast(rare_kind),
-                    ],
-                    names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"],
-                )
+                sizes = np.bincount(of_text, minlength=n)
+                columns = {
+                    "row": pa.array(row + np.arange(n)), "doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "n_tokens": pa.array(sizes),
+                    "known": pa.array(by_text(known).astype(np.int64)), "base": pa.array(base),
+                    "score": pa.nulls(n, pa.float64()) if by_segment else pa.array(by_text(model.log10(token, of_text))),
+                    "rare": pa.ListArray.from_arrays(pa.array(bounds), rare).cast(rare_kind),
+                }
+                if by_segment:
+                    columns |= {c: pa.array([x] + [None] * (n - 1), pa.binary()) for c, x in _token_columns(token, sizes).items()}
+                yield pa.RecordBatch.from_pydict(columns)
                 row += n
 
-    scored = stage(docs.mapInArrow(score, SCORED), "op8-scored")
+    scored = stage(docs.mapInArrow(score, f"{SCORED}, {SLICE}" if by_segment else SCORED), "op8-scored")
+    if by_segment:
+        texts = scored.where("sizes is not null").select("row", "words", "word_at", "sizes")
+        asked = texts.mapInArrow(_ask(model.segments), "row long, segment int, n_words int, h binary")
+        answers = grams.groupBy("segment").cogroup(asked.groupBy("segment")).applyInArrow(_answer(per), "row long, segment int, n_words int, levels binary")
+        put = _put_together(model.denominator, model.segments)
+        scores = texts.groupBy("row").cogroup(answers.groupBy("row")).applyInArrow(put, "row long, score double")
+        scored = scored.drop("score", "words", "word_at", "sizes").join(scores, "row", "left")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.h", "r.tf")
     found = (
         rare.join(words, "h", "left")

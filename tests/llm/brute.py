@@ -72,6 +72,24 @@ def lm_base(rows: list[tuple[int, str | None]]) -> dict[int, tuple]:
     return {d: (len(ws), sum(count[w] > 0 for w in ws), total, sum(math.log10((count[w] + 0.5) / denominator) for w in ws)) for d, ws in docs.items()}
 
 
+def lm_scores(rows: list[tuple[int, str | None]], rounded, weight: float = 0.2) -> dict[int, float]:
+    """Interpolated log10 probability of each text, with all words' and bigrams' counts rounded."""
+    docs = {d: [*WORD.findall(lowered(t)), None] for d, t in rows}
+    train = [ws for d, ws in docs.items() if fold(d) != 1]
+    count = Counter(w for ws in train for w in ws)
+    pairs = Counter(p for ws in train for p in zip(["start", *ws], ws, strict=False))
+    denominator = sum(count.values()) + 0.5 * (len(count) + 1)
+    out = {}
+    for d, ws in docs.items():
+        out[d] = 0.0
+        for before, w in zip(["start", *ws], ws, strict=False):
+            alone = (rounded(count[w]) + 0.5) / denominator
+            head = rounded(count[None if before == "start" else before])
+            follows = min(1.0, rounded(pairs[before, w]) / max(head, 1)) if head else alone
+            out[d] += math.log10(min(1.0, (1 - weight) * alone + weight * follows))
+    return out
+
+
 def nearest(ids: np.ndarray, x: np.ndarray, queries: list[int], k: int = 5) -> dict[int, list[tuple[int, float]]]:
     norm = np.sqrt((x * x).sum(1))
     at = {i: n for n, i in enumerate(ids.tolist())}

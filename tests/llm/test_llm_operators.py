@@ -364,6 +364,18 @@ def test_filter_holds_levels():
     assert (lmscore.value(lmscore.level(c)) / c < 1.5).all() and (lmscore.value(lmscore.level(c)) / c > 0.6).all()
 
 
+def test_every_ngram_counts(spark, rows, monkeypatch):
+    monkeypatch.setattr(lmscore, "BITS_PER_ENTRY", 120)  # hardly any false positives
+    texts = [(r[0], r[1]) for r in rows]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3).cache()
+    want = brute.lm_scores(texts, lambda n: float(lmscore.value(lmscore.level(np.array([n])))[0]) if n else 0.0)
+    for bits in (1 << 27, 1 << 10):  # sent to the workers, and asked by segment
+        got = lmscore.score_documents(df, bits=bits, frequent=64).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert r.score == pytest.approx(want[r.doc_id], rel=1e-4), (bits, r.doc_id)
+
+
 # 9, 10 -----------------------------------------------------------------------------------
 
 
