@@ -376,6 +376,25 @@ def test_every_ngram_counts(spark, rows, monkeypatch):
             assert r.score == pytest.approx(want[r.doc_id], rel=1e-4), (bits, r.doc_id)
 
 
+def test_no_filter_is_overfull(spark):
+    for entries in (0, 10, 13_000_000, 14_000_000, 10**10):
+        sent, segments, bits = lmscore.shape(entries, lmscore.FILTER_BITS)
+        assert segments * bits >= (lmscore.BITS_PER_ENTRY - 0.1) * entries
+        assert sent == (entries * lmscore.BITS_PER_ENTRY <= lmscore.FILTER_BITS) and bits <= max(lmscore.SEGMENT_BITS, lmscore.FILTER_BITS)
+    # Many words and many bigrams, more than the room of a filter that is sent.
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 4000, 60))) for i in range(300)]
+    _, words, grams, bits = lmscore.fit(spark.createDataFrame(rows, "i long, text string"), bits=1 << 16)
+    assert bits * lmscore.SEGMENTS > 1 << 16
+    held = grams.toPandas()
+    assert held[held.n_words == 1].levels.map(len).sum() == words.count()
+    wrong = []
+    for _, part in held.groupby("segment"):
+        f = lmscore.Filter(lmscore._filled(pa.Table.from_pandas(part, preserve_index=False), bits), 1)
+        wrong.append((f.levels(lmscore.key(rng.integers(0, 1 << 63, 2000).astype(np.uint64), 2)) > 0).mean())
+    assert np.mean(wrong) < 0.02
+
+
 # 9, 10 -----------------------------------------------------------------------------------
 
 
