@@ -363,6 +363,16 @@ def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
 
 
+def _of_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(text) of rows that hold all sets of classes (sid, doc_id), and maybe others: those of the
+    ids, and each text without an id once if a class has none."""
+    ids = classes.select("doc_id").distinct()
+    found = _only(docs, ids.where("doc_id is not null"), "left_semi").select("text")
+    if not ids.where("doc_id is null").count():
+        return found
+    return found.unionByName(docs.where("doc_id is null").select("text").distinct())
+
+
 def find_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, sid) of each row, and links (a, b) between set ids that join all sets which
     the links of the corpus join."""
@@ -397,7 +407,7 @@ def find_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
     classes = stage(members.join(sizes, "sid"), "op3-wanted")
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    sent_once = _only(docs, classes.select("doc_id").distinct(), "left_semi").select("text").mapInArrow(_emit_sets, "sid long, shingles binary")
+    sent_once = _of_classes(docs, classes).mapInArrow(_emit_sets, "sid long, shingles binary")
     tasks = stage(_tasks(classes.select("leader", "sid"), max(1, total * 6 // CELL_BYTES)), "op3-tasks")
     links = sent_once.join(F.broadcast(tasks) if tasks.count() <= BROADCAST_TASKS else tasks, "sid").groupBy("task", "i", "j").applyInArrow(_link_families, "a long, b long")
     return rows, links

@@ -86,3 +86,14 @@ def test_defined_results(docs, labels):
     assert m[2].size == m[3].size == m[2].taken == 0
     p = packing.pack_documents(docs).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
     assert {r.doc_id: r.n for r in p}[2] == 1
+
+
+def test_a_row_without_an_id_bridges(spark):
+    words = [f"v{i}" for i in range(40)]
+    changed = lambda *at: " ".join("other" if i in at else w for i, w in enumerate(words))
+    # Of 36 shingles, one changed word near an end leaves 33 to 35; the ends changed on both sides are too far apart.
+    rows = [(7, changed(3)), (None, changed()), (8, changed(36)), (9, "a text of its own with more than five words")]
+    got = {r.doc_id: r.component_id for r in jaccard.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {7: 7, None: 7, 8: 7, 9: 9}
+    alone = jaccard.similarity_classes(spark.createDataFrame([rows[0], rows[2]], "doc_id long, text string")).collect()
+    assert sorted(r.component_id for r in alone) == [7, 8]
