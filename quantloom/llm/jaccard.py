@@ -167,8 +167,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = shingle_sets(part.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
-                 pa.array([parity_bits(s) if len(s) else None for s in sets], pa.binary())],
-                names=["doc_id", "n", "sid", "bits"],
+                 pa.array([parity_bits(s) if len(s) else None for s in sets], pa.binary()), part.column("text_hash")],
+                names=["doc_id", "n", "sid", "bits", "text_hash"],
             )
 
 
@@ -374,11 +374,12 @@ def _of_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def find_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, sid) of each row, and links (a, b) between set ids that join all sets which
+    """(doc_id, n, sid, text_hash) of each row, and links (a, b) between set ids that join all sets which
     the links of the corpus join."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    rows = stage(docs.mapInArrow(_describe, "doc_id long, n long, sid long, bits binary"), "op3-sets")
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    rows = stage(hashed.mapInArrow(_describe, "doc_id long, n long, sid long, bits binary, text_hash long"), "op3-sets")
     n, entries = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1), F.lit(0))).first()
     share = min(1 << 30, (1 << 30) * SAMPLE // max(1, n))
     sampled = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= share).select("text")
@@ -430,6 +431,20 @@ def _tasks(members: DataFrame, cells: int) -> DataFrame:
     )
 
 
+def _first_of_each(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, n, sid, first) of each row of docs. first is the (no_id, doc_id, text_hash)
+    of the first row of its component, and null where no other row is in it."""
+    rows, links = find_links(docs)
+    roots = connected_components(links)
+    one = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    classes = rows.where("sid is not null").groupBy("sid").agg(F.min(one).alias("first"), F.count("*").alias("copies"))
+    rooted = classes.join(roots.withColumnRenamed("node", "sid"), "sid")
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    joined = rooted.join(least, "root").select("sid", F.col("least").alias("first"))
+    copies = classes.where("copies > 1").join(roots.withColumnRenamed("node", "sid"), "sid", "left_anti").select("sid", "first")
+    return rows.join(joined.unionByName(copies), "sid", "left").select("doc_id", "text_hash", "n", "sid", "first")
+
+
 def similarity_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs (doc_id, text).
 
@@ -438,21 +453,32 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     shingle. Repeated rows have equal sets and so one component; a null doc_id is
     larger than any other. An empty table gives no rows.
     """
-    rows, links = find_links(docs)
-    roots = connected_components(links)
-    classes = rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    rooted = classes.join(roots.withColumnRenamed("node", "sid"), "sid")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    joined = rooted.join(least, "root").select("sid", "component")
-    copies = classes.where("copies > 1").join(roots.withColumnRenamed("node", "sid"), "sid", "left_anti").select("sid", F.col("first").alias("component"))
-    named = joined.unionByName(copies)
-    return rows.join(named, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return _first_of_each(docs).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, whose document is the first of its component."""
-    found = stage(similarity_classes(docs), "op3-classes")
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = _only(docs, gone, "left_anti")
-    repeated = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """The rows of docs, with all their columns, that are the first of their component.
+
+    Each id and text is judged by its own set: rows of one id, or without any, with texts that no
+    links join all stay. The first row has the smallest id, null being the largest, then the smallest
+    hash of its text; of rows that repeat it the one with the smallest other columns stays. Rows
+    with empty sets stay, once for each id and text, and all of those without an id.
+    """
+    found = stage(_first_of_each(docs), "op3-classes")
+    own = F.col("first").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))
+    gone = found.where(~own).select("doc_id", "text_hash").distinct()
+    several = found.where(own & (F.col("doc_id").isNotNull() | F.col("sid").isNotNull())).groupBy("doc_id", "text_hash").count().where("count > 1").drop("count")
+    several = stage(several, "op3-several")
+
+    def among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+        keys = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+        return rows.join(keys, rows["doc_id"].eqNullSafe(keys["_id"]) & (F.xxhash64(rows["text"]) == keys["_hash"]), how)
+
+    kept = among(docs, gone, "left_anti")
+    if not several.limit(1).count():
+        return kept
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    once = among(kept, several, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("_"), *others)).alias("_others"))
+    once = once.select("doc_id", "text", *(F.col(f"_others.{c}").alias(c) for c in others)).select(*docs.columns)
+    return among(kept, several, "left_anti").unionByName(once)

@@ -97,3 +97,16 @@ def test_a_row_without_an_id_bridges(spark):
     assert got == {7: 7, None: 7, 8: 7, 9: 9}
     alone = jaccard.similarity_classes(spark.createDataFrame([rows[0], rows[2]], "doc_id long, text string")).collect()
     assert sorted(r.component_id for r in alone) == [7, 8]
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [
+        (None, text("a"), "x"), (None, text("b"), "x"), (None, text("b"), "x"), (None, "", "x"), (None, None, "x"),
+        (1, text("c"), "x"), (2, text("c"), "x"), (2, text("d"), "x"), (2, text("e"), "y"), (2, text("e"), "x"),
+        (3, text("f"), "x"), (None, text("f"), "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [tuple(r) for r in jaccard.keep_one_of_each(docs).collect()]
+    want = [rows[i] for i in (0, 1, 3, 4, 5, 7, 9, 10)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
