@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quantloom.llm import jaccard, langid, licenses, lmscore, mixing, packing, quality, sharding, toxicity
 
 LONG = " ".join(f"w{i % 997} mit license." for i in range(60_000))
@@ -22,7 +23,7 @@ ROWS = [
     (None, "a row without an id stays a row", "en", "s1"),
 ]
 #: names that operators use inside
-CLASHING = "size place shard slot row rank n sid bits _common _left _words kept_text h crc bytes whole rest cut _source lang_pred held_out base".split()
+CLASHING = "kept n_words base_failed _others _hits size place shard slot row rank n sid bits _common _left _words kept_text h crc bytes whole rest cut _source lang_pred held_out base".split()
 
 
 @pytest.fixture(scope="module")
@@ -65,10 +66,12 @@ def test_empty_table(docs, labels, name):
 
 
 def test_pipeline_steps_keep_columns(docs):
-    for step in (jaccard.keep_one_of_each, langid.keep_identified, mixing.repeat_documents):
+    steps = [lambda d, f=f: f(d.sparkSession, d, "") for _, f in corpus_pipeline.STAGES[:-1]]
+    for step in steps:
         out = step(docs)
-        assert out.columns == docs.columns
-        out.count()
+        assert out.columns == docs.columns and step(docs.limit(0)).count() == 0
+        assert all({r[c] for r in out.select(*CLASHING).distinct().collect()} <= {"x"} for c in CLASHING)
+    assert corpus_pipeline.pack(docs.sparkSession, docs.limit(0), "").count() == 0 < corpus_pipeline.pack(docs.sparkSession, docs, "").count()
     assert jaccard.keep_one_of_each(docs).where("doc_id = 6").count() == 0
     assert langid.keep_identified(docs).where("doc_id in (2, 3, 4, 7)").count() == 0
 

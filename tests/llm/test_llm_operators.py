@@ -277,6 +277,35 @@ def test_common_lines(spark):
     assert not got[100].kept and got[200].kept_text.startswith("Cookie")
 
 
+def test_lines_on_the_given_tables():
+    """The limits act: some lines of the middle-sized table are boilerplate, in few of its texts, and some texts are depleted."""
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.1/documents.parquet'")
+    rejected = con.sql(f"SELECT count(*) FROM ({quality.ORACLE}) WHERE NOT kept AND NOT base_failed").fetchall()[0][0]
+    assert 0 < rejected < 100
+
+
+def test_common_lines_on_the_given_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found = quality.boilerplate(docs.select("source", "text")).collect()
+    assert sum(len(r.common) for r in found) > 20
+    got = quality.quality(docs).select("text", "kept_text", "kept", "base_failed").toPandas()
+    changed = got[got.text.notna() & (got.text != got.kept_text)]
+    assert len(changed) > 500 and (changed.kept_text.str.len() < changed.text.str.len()).all()
+    assert 0 < (~got.kept & ~got.base_failed).sum() < 100
+
+
+def test_lines_of_large_hosts_are_joined_in_parts(spark, monkeypatch):
+    rows = [(i, f"The banner of host {i % 3} stands in all its texts\nA text number {i} with its own words a{i} b{i} c{i} d{i} e{i} f{i} g{i}.", f"h{i % 3}" if i % 3 else None) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {r.doc_id: r.kept_text for r in quality.quality(docs).collect()}
+    assert all(t.startswith("A text") for t in want.values())
+    monkeypatch.setattr(quality, "BROADCAST_LINES", 1)
+    monkeypatch.setattr(quality, "HOST_SLICE", 7)
+    got = quality.quality(docs).select("doc_id", "kept_text", "source").collect()
+    assert len(got) == 120 and {r.doc_id: r.kept_text for r in got} == want
+
+
 def test_repeated_windows(spark):
     rng = np.random.default_rng(5)
     rows = [(i, " ".join(rng.choice(list("abc"), rng.integers(0, 40)))) for i in range(60)] + [(99, " ".join("abcdefgh" * 3000))]
