@@ -15,19 +15,27 @@ from quantloom.llm.tables import table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass, without the lines that are boilerplate of their source."""
+    """Documents that pass, without the lines that are boilerplate of their source. Columns of docs
+    that are named like the rules' own come back as they were."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
+    judged = docs.select("doc_id", "text", "source", F.struct(F.lit(0).alias("_"), *others).alias("_others"))
     # The row number keeps the optimizer from copying the rules' expressions into the filter.
-    kept = quality.quality(docs).withColumn("_row", F.monotonically_increasing_id()).where("kept and _row >= 0")
-    changed = ~F.col("kept_text").eqNullSafe(F.col("text"))
-    n_chars = F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return kept.withColumns({"n_chars": n_chars, "text": F.col("kept_text")}).select(*docs.columns)
+    kept = quality.quality(judged).withColumn("_row", F.monotonically_increasing_id()).where("kept and _row >= 0")
+    back = {c: F.col(f"_others.`{c}`") for c in others} | {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "source": F.col("source")}
+    if "n_chars" in back:
+        changed = ~F.col("kept_text").eqNullSafe(F.col("text"))
+        back["n_chars"] = F.when(changed, F.length("kept_text").cast("long")).otherwise(back["n_chars"])
+    return kept.select(*(back[c].alias(c) for c in docs.columns))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with enough confidence; a text that is null or has no letter goes."""
     return langid.keep_identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of every group that links join. Rows without an id take part: they are
+    the last of their group, and those that no link joins stay."""
     return jaccard.keep_one_of_each(docs)
 
 
@@ -37,6 +45,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences; every document that comes in is in them, a repeated one as often as it does."""
     return packing.pack_documents(docs)
 
 
