@@ -2,15 +2,19 @@
 
 The filter holds each n-gram once for every step of its count on a logarithmic scale, so
 its count, up to that scale, is the number of steps found by probing one after the other.
-It holds every n-gram of the training texts, with ``BITS_PER_ENTRY`` bits or more for each step,
-and consists of segments by the n-gram's hash; each is filled by one task. A filter of at most
-``FILTER_BITS`` goes to all workers. A larger one never leaves its tasks: the scan asks for the
-distinct n-grams of each slice of texts, the task that fills a segment answers what is asked of
-it, and the answers are put together by slice.
+It holds every n-gram of the training texts, with ``BITS_PER_ENTRY`` bits for each step.
+
+It consists of segments by the n-gram's hash. Their number grows with the tokens of the corpus, so the
+task that counts the n-grams of a segment and fills it holds about ``SEGMENT_TOKENS`` of them at
+any size. A filter of at most ``FILTER_BITS`` goes to all workers. A larger one never leaves
+its tasks: the scan asks for the distinct n-grams of each slice of texts, the task that has a
+segment answers what is asked of it, and the answers are put together by slice.
 
 A word's probability is interpolated from its bigram's and its own; both counts come from
-the filter. The base score beside it uses exact counts: those of the most frequent words (at
-most ``FREQUENT``) go to the workers, all others are joined.
+the filter. The words' own probabilities sum to one over the training words and one unknown, as
+their denominator is the sum of the counts as the filter gives them; a bigram's share is that of its
+head's count, and both are rounded to the scale. The base score beside it uses exact counts:
+those of the most frequent words (at most ``FREQUENT``) go to the workers, all others are joined.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import discard, free_shuffles, stage
 from .tables import crc_mod
 from .textbytes import NOT_SPACE, U64, Words, mix, slices
 
@@ -32,18 +36,18 @@ FREQUENT = 1 << 18
 FILTER_BITS = 1 << 27
 BITS_PER_ENTRY = 10
 PROBES = 4
-#: segments of a filter, at least; a larger filter has more, of SEGMENT_BITS at most
-SEGMENTS = 64
-SEGMENT_BITS = 1 << 25
+#: tokens of the corpus for each segment, about; there are LEAST_SEGMENTS at least
+SEGMENT_TOKENS = 1 << 20
+LEAST_SEGMENTS = 64
 SCALE = 1.5
 BIGRAM_WEIGHT = 0.2
-BUCKETS = 256
 #: n-grams that a counting task holds before it passes them on
 HELD = 4_000_000
 #: bytes of text in a slice that is scored at once; the larger, the fewer n-grams are asked for again
 SLICE_BYTES = 1 << 22
-#: n-grams in one row of packed ones
-PIECE = 1 << 17
+#: bits that tell an n-gram from others of its segment
+LOW = 40
+ORDERS = (1, 2)
 END = U64(0x5851F42D4C957F2D)
 START = U64(0x14057B7EF767814F)
 
@@ -58,13 +62,13 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, np.repeat(np.arange(n), w.counts + 1)
 
 
-def bigrams(token: np.ndarray, of_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each token with the one before, and the one before; START precedes a text."""
+def bigrams(token: np.ndarray, of_text: np.ndarray) -> np.ndarray:
+    """Hash of each token with the one before; START precedes a text."""
     before = np.empty_like(token)
     before[1:] = token[:-1]
     first = np.flatnonzero(np.diff(of_text, prepend=-1))
     before[first] = START
-    return mix(before * U64(0x9E3779B97F4A7C15) + (token ^ (before >> U64(29)))), before
+    return mix(before * U64(0x9E3779B97F4A7C15) + (token ^ (before >> U64(29))))
 
 
 def level(count: np.ndarray) -> np.ndarray:
@@ -72,8 +76,9 @@ def level(count: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(np.maximum(count, 1)) / np.log(SCALE) + 1e-9).astype(np.int64)
 
 
-#: SQL twin of level()
+#: SQL twins of level() and value()
 LEVEL = f"1 + cast(floor(ln(n) / ln({SCALE}D) + 1e-9D) as int)"
+VALUE = f"case when {LEVEL} <= 2 then ceil(pow({SCALE}D, {LEVEL} - 1)) else pow({SCALE}D, {LEVEL} - 1) * (1 + {SCALE}D) / 2 end"
 
 
 def value(steps: np.ndarray) -> np.ndarray:
@@ -118,229 +123,199 @@ def _rows(h: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h[at : at + 50_000].view(np.int64)), pa.array(c[at : at + 50_000])], names=["h", "n"])
 
 
-def _packed(h: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row for each bucket: the low 5 bytes of every 48-bit fingerprint, and apart the
-    places and counts of those that occur more than once."""
-    fingerprint = h >> U64(16)
-    bounds = np.searchsorted(fingerprint, np.arange(BUCKETS + 1, dtype=U64) << U64(40))
-    low = fingerprint.view(np.uint8).reshape(-1, 8)[:, :5]
-    rows = []
-    for b, (x, y) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-        if x < y:
-            more = np.flatnonzero(c[x:y] > 1)
-            rows.append((b, low[x:y].tobytes(), more.astype("<u4").tobytes(), c[x:y][more].astype("<u8").tobytes()))
-    columns = list(zip(*rows, strict=True))
-    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=["bucket", "low", "place", "count"])
-
-
-def pack(h: np.ndarray, order: int) -> bytes:
-    """8 bytes of a unigram's hash, 6 of a bigram's fingerprint."""
-    return h.tobytes() if order == 1 else h.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def unpack(packed: bytes, order: int) -> np.ndarray:
-    if order == 1:
-        return np.frombuffer(packed, "<u8").astype(U64)
-    wide = np.zeros((len(packed) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
+    """By the upper bits of an n-gram's hash; segments is a power of two."""
+    return (h >> U64(65 - segments.bit_length())).astype(np.int64)
+
+
+def low_of(h: np.ndarray, segments: int) -> np.ndarray:
+    """The ``LOW`` bits after those that tell the segment."""
+    return (h << U64(segments.bit_length() - 1)) >> U64(64 - LOW)
+
+
+def pack(low: np.ndarray) -> bytes:
+    return low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : LOW // 8].tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    wide = np.zeros((len(packed) * 8 // LOW, 8), np.uint8)
+    wide[:, : LOW // 8] = np.frombuffer(packed, np.uint8).reshape(-1, LOW // 8)
     return wide.reshape(-1).view("<u8").astype(U64)
 
 
-def _merge_bucket(table: pa.Table) -> pa.Table:
-    """The bigrams of a bucket, packed, with their levels and the sum of these."""
-    hashes, counts = [], []
-    for b, low, place, count in zip(*(table[c].to_pylist() for c in ("bucket", "low", "place", "count")), strict=True):
-        wide = np.zeros((len(low) // 5, 8), np.uint8)
-        wide[:, :5] = np.frombuffer(low, np.uint8).reshape(-1, 5)
-        wide[:, 5] = b
-        c = np.ones(len(wide), np.int64)
-        c[np.frombuffer(place, "<u4")] = np.frombuffer(count, "<u8")
-        hashes.append(wide.reshape(-1).view("<u8").astype(U64))
-        counts.append(c)
-    h, c = _merged(hashes, counts)
-    steps = level(c)
-    cuts = [slice(at, at + PIECE) for at in range(0, len(h), PIECE)]
-    return pa.table({
-        "h": pa.array([pack(h[x], 2) for x in cuts], pa.binary()),
-        "levels": pa.array([steps[x].astype(np.uint8).tobytes() for x in cuts], pa.binary()),
-        "entries": pa.array([int(steps[x].sum()) for x in cuts], pa.int64()),
-    })
-
-
-def key(h: np.ndarray, order: int) -> np.ndarray:
-    """The filter's key of a unigram's hash or a bigram's fingerprint."""
-    return mix(h + np.asarray(order, U64).reshape(-1) * U64(0xA24BAED4963EE407))
+def _by_segment(segments: int):
+    """One row for each segment: its n-grams, and apart the places and counts of those that occur more than once."""
+
+    def packed(h: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+        bounds = np.searchsorted(segment_of(h, segments), np.arange(segments + 1)).tolist()
+        low = low_of(h, segments)
+        rows = []
+        for g, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            if x < y:
+                more = np.flatnonzero(c[x:y] > 1)
+                rows.append((g, pack(low[x:y]), more.astype("<u4").tobytes(), c[x:y][more].astype("<u8").tobytes()))
+        columns = list(zip(*rows, strict=True))
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=["segment", "low", "place", "count"])
+
+    return packed
+
+
+COUNTED = "segment int, low binary, place binary, count binary"
+
+
+def _words_by_segment(segments: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        passed = _by_segment(segments)
+
+        def cut() -> Iterator[pa.RecordBatch]:
+            h, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(h)
+            yield from passed(h[order], n[order])
+
+        for batch in batches:
+            held.append((batch.column("h").to_numpy().view(U64), batch.column("n").to_numpy()))
+            if sum(len(h) for h, _ in held) > HELD // 4:
+                yield from cut()
+                held = []
+        if sum(len(h) for h, _ in held):
+            yield from cut()
+
+    return run
+
+
+def key(low: np.ndarray, order: int) -> np.ndarray:
+    """What a segment holds of an n-gram."""
+    return mix(low + U64(order * 0xA24BAED4963EE407 & 0xFFFFFFFFFFFFFFFF))
 
 
 class Filter:
-    """Bits in segments; a key's bits all lie in its segment."""
+    """A Bloom filter's segments, each of its own size, one after the other."""
 
-    def __init__(self, bits: np.ndarray, segments: int = SEGMENTS):
-        self.bits, self.segments = bits, segments
+    def __init__(self, parts: list[np.ndarray]):
+        """parts: the bytes of every segment."""
+        self.bits = np.concatenate([*parts, np.zeros(1, np.uint8)])
+        self.size = np.array([max(8, len(x) * 8) for x in parts], U64)
+        self.first = np.cumsum([0, *(len(x) * 8 for x in parts)])[:-1]
+        self.empty = np.array([not len(x) for x in parts])
 
     @staticmethod
-    def places(keys: np.ndarray, step: np.ndarray | int, probe: int, bits: int) -> np.ndarray:
+    def places(keys: np.ndarray, step: int, probe: int, bits: np.ndarray) -> np.ndarray:
         """Place inside a segment of ``bits`` bits: two halves of a hash give all probes."""
-        h = mix(keys ^ (np.asarray(step).astype(U64) * U64(0xD6E8FEB86659FD93)))
-        return ((h & U64(0xFFFFFFFF)) + U64(probe) * ((h >> U64(32)) | U64(1))) % U64(bits)
-
-    @staticmethod
-    def segment_of(keys: np.ndarray, segments: int = SEGMENTS) -> np.ndarray:
-        """By the upper bits; segments is a power of two."""
-        return (keys >> U64(65 - segments.bit_length())).astype(np.int64) if segments > 1 else np.zeros(len(keys), np.int64)
+        h = mix(keys ^ U64(step * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
+        return (((h & U64(0xFFFFFFFF)) + U64(probe) * ((h >> U64(32)) | U64(1))) % bits).astype(np.int64)
 
     @staticmethod
-    def filled(keys: np.ndarray, levels: np.ndarray, bits: int) -> np.ndarray:
+    def filled(keys: np.ndarray, levels: np.ndarray, bits_per_entry: int = BITS_PER_ENTRY) -> np.ndarray:
         """Bytes of a segment that holds the keys, each for steps 1 to its level."""
+        bits = -(-int(levels.sum()) * bits_per_entry // 64) * 64
         out = np.zeros(bits, bool)
         for step in range(1, int(levels.max(initial=0)) + 1):
             now = keys[levels >= step]
             for probe in range(PROBES):
-                out[Filter.places(now, step, probe, bits).astype(np.int64)] = True
+                out[Filter.places(now, step, probe, U64(bits))] = True
         return np.packbits(out, bitorder="little")
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
+    def levels(self, keys: np.ndarray, segment: np.ndarray) -> np.ndarray:
         """The number of steps that the filter holds of each key."""
-        per = len(self.bits) // self.segments * 8
-        first = self.segment_of(keys, self.segments) * per
         out = np.zeros(len(keys), np.int64)
-        alive = np.arange(len(keys))
+        alive = np.flatnonzero(~self.empty[segment])
         step = 1
         while len(alive):
             for probe in range(PROBES):
-                at = first[alive] + self.places(keys[alive], step, probe, per).astype(np.int64)
+                at = self.first[segment[alive]] + self.places(keys[alive], step, probe, self.size[segment[alive]])
                 alive = alive[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
             out[alive] = step
             step += 1
         return out
 
 
-def _segment_rows(h: np.ndarray, order: int, levels: np.ndarray, segments: int) -> pa.RecordBatch:
-    """One row for each segment that any of the n-grams is in."""
-    segment = Filter.segment_of(key(h, order), segments)
-    by = np.argsort(segment, kind="stable")
-    used, first = np.unique(segment[by], return_index=True)
-    cuts = [by[a:b] for a, b in zip(first.tolist(), [*first[1:].tolist(), len(by)], strict=True)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(used.astype(np.int32)), pa.array([order] * len(used), pa.int32()), pa.array([pack(h[x], order) for x in cuts], pa.binary()),
-         pa.array([levels[x].astype(np.uint8).tobytes() for x in cuts], pa.binary())],
-        names=["segment", "n_words", "h", "levels"],
-    )
-
-
-def _words_by_segment(segments: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            held.append((batch.column("h").to_numpy().view(U64), batch.column("n").to_numpy()))
-            if sum(len(h) for h, _ in held) > HELD // 4:
-                yield _segment_rows(np.concatenate([h for h, _ in held]), 1, level(np.concatenate([n for _, n in held])), segments)
-                held = []
-        if held:
-            yield _segment_rows(np.concatenate([h for h, _ in held]), 1, level(np.concatenate([n for _, n in held])), segments)
-
-    return run
-
-
-def _bigrams_by_segment(segments: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for h, levels in zip(batch.column("h"), batch.column("levels"), strict=True):
-                yield _segment_rows(unpack(h.as_py(), 2), 2, np.frombuffer(levels.as_py(), np.uint8), segments)
-
-    return run
-
-
-def _filled(table: pa.Table, bits: int) -> np.ndarray:
-    """Bytes of the segment that holds the n-grams of the table's rows."""
-    keys, levels = [np.zeros(0, U64)], [np.zeros(0, np.uint8)]
-    for order, h, steps in zip(*(table[c].to_pylist() for c in ("n_words", "h", "levels")), strict=True):
-        keys.append(key(unpack(h, order), order))
-        levels.append(np.frombuffer(steps, np.uint8))
-    return Filter.filled(np.concatenate(keys), np.concatenate(levels), bits)
-
+def _fill(order: int, bits_per_entry: int):
+    """The filter's segment of the n-grams that are counted in the rows of one segment."""
 
-def _fill(bits: int):
     def fill(table: pa.Table) -> pa.Table:
-        return pa.table({"segment": pa.array([table["segment"][0].as_py()], pa.int32()), "bits": pa.array([_filled(table, bits).tobytes()], pa.binary())})
+        lows, counts = [], []
+        for low, place, count in zip(*(table[c].to_pylist() for c in ("low", "place", "count")), strict=True):
+            lows.append(unpack(low))
+            c = np.ones(len(lows[-1]), np.int64)
+            c[np.frombuffer(place, "<u4")] = np.frombuffer(count, "<u8")
+            counts.append(c)
+        h, c = _merged(lows, counts)
+        bits = Filter.filled(key(h, order), level(c), bits_per_entry)
+        return pa.table({"segment": pa.array([table["segment"][0].as_py()], pa.int32()), "n_words": pa.array([order], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
 
     return fill
 
 
-def _answer(bits: int):
-    """Of the n-grams of a segment and the questions for it: the levels that it holds of those asked for."""
+FILLED = "segment int, n_words int, bits binary"
 
-    def answer(held: pa.Table, asked: pa.Table) -> pa.Table:
-        kinds = {"row": pa.int64(), "segment": pa.int32(), "n_words": pa.int32(), "levels": pa.binary()}
-        if not asked.num_rows:
-            return pa.table({c: pa.array([], k) for c, k in kinds.items()})
-        one = Filter(_filled(held, bits), 1)
-        order, h = asked["n_words"].to_pylist(), asked["h"].to_pylist()
-        levels = [one.levels(key(unpack(x, o), o)).astype(np.uint8).tobytes() for o, x in zip(order, h, strict=True)]
-        return pa.table({"row": asked["row"], "segment": asked["segment"], "n_words": asked["n_words"], "levels": pa.array(levels, pa.binary())})
 
-    return answer
+def _answer(held: pa.Table, asked: pa.Table) -> pa.Table:
+    """Of a segment's filters and the questions for it: the levels that it holds of those asked for."""
+    kinds = {"row": pa.int64(), "segment": pa.int32(), "n_words": pa.int32(), "levels": pa.binary()}
+    if not asked.num_rows:
+        return pa.table({c: pa.array([], k) for c, k in kinds.items()})
+    bits = dict(zip(held["n_words"].to_pylist(), held["bits"].to_pylist(), strict=True))
+    own = {o: Filter([np.frombuffer(bits.get(o, b""), np.uint8)]) for o in ORDERS}
+    levels = []
+    for order, packed in zip(asked["n_words"].to_pylist(), asked["low"].to_pylist(), strict=True):
+        k = key(unpack(packed), order)
+        levels.append(own[order].levels(k, np.zeros(len(k), np.int64)).astype(np.uint8).tobytes())
+    return pa.table({"row": asked["row"], "segment": asked["segment"], "n_words": asked["n_words"], "levels": pa.array(levels, pa.binary())})
 
 
-def _places(x: np.ndarray, distinct: int) -> bytes:
-    """Places below ``distinct`` in as few bytes as they need."""
-    return x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : _width(distinct)].tobytes()
+def _small(x: np.ndarray) -> bytes:
+    """Mostly small numbers below 2 ** 32, compressed byte by byte."""
+    return pa.Codec("zstd", compression_level=1).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), asbytes=True)
 
 
-def _width(distinct: int) -> int:
-    return max(1, (distinct - 1).bit_length() + 7 >> 3)
-
-
-def _read_places(packed: bytes, distinct: int) -> np.ndarray:
-    width = _width(distinct)
-    wide = np.zeros((len(packed) // width, 4), np.uint8)
-    wide[:, :width] = np.frombuffer(packed, np.uint8).reshape(-1, width)
-    return wide.reshape(-1).view("<u4").astype(np.int64)
+def _read_small(packed: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.Codec("zstd").decompress(packed, decompressed_size=4 * n, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).reshape(-1).view("<u4").astype(np.int64)
 
 
 def _token_columns(token: np.ndarray, sizes: np.ndarray) -> dict[str, bytes]:
-    """The tokens of a slice: its distinct words, the place of each token among them, and the texts' sizes."""
-    words, place = np.unique(token, return_inverse=True)
-    return {"words": pack(words, 1), "word_at": _places(place, len(words)), "sizes": sizes.astype("<u4").tobytes()}
+    """The tokens of a slice: its distinct words, frequent ones first, the place of each token among them, and the texts' sizes."""
+    words, place, count = np.unique(token, return_inverse=True, return_counts=True)
+    order = np.argsort(-count, kind="stable")
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    return {"words": words[order].tobytes(), "word_at": _small(rank[place]), "sizes": sizes.astype("<u4").tobytes()}
 
 
 def _read_tokens(words: bytes, word_at: bytes, sizes: bytes) -> tuple[np.ndarray, np.ndarray]:
-    h, n = unpack(words, 1), np.frombuffer(sizes, "<u4")
-    return h[_read_places(word_at, len(h))], np.repeat(np.arange(len(n)), n)
+    h, n = np.frombuffer(words, "<u8").astype(U64), np.frombuffer(sizes, "<u4")
+    return h[_read_small(word_at, int(n.sum()))], np.repeat(np.arange(len(n)), n)
 
 
-def _questions(token: np.ndarray, of_text: np.ndarray, segments: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each order: its distinct n-grams by segment, their segments, and the place of each token's among them."""
-    for order, grams in ((1, token), (2, bigrams(token, of_text)[0] >> U64(16))):
-        h, place = np.unique(grams, return_inverse=True)
-        segment = Filter.segment_of(key(h, order), segments)
-        by = np.argsort(segment, kind="stable")
-        rank = np.empty(len(h), np.int64)
-        rank[by] = np.arange(len(h))
-        yield order, h[by], segment[by], rank[place]
+def _questions(token: np.ndarray, of_text: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each order: its distinct n-grams, which come by segment, and the place of each token's among them."""
+    for order, grams in zip(ORDERS, (token, bigrams(token, of_text)), strict=True):
+        yield order, *np.unique(grams, return_inverse=True)
 
 
 def _ask(segments: int):
-    """Rows (row, segment, n_words, h): what each slice asks each segment."""
+    """Rows (row, segment, n_words, low): what each slice asks each segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, *columns in zip(*(batch.column(c) for c in ("row", "words", "word_at", "sizes")), strict=True):
                 rows = []
-                for order, h, segment, _ in _questions(*_read_tokens(*(x.as_py() for x in columns)), segments):
-                    used, first = np.unique(segment, return_index=True)
-                    rows += [(g, order, pack(h[a:b], order)) for g, a, b in zip(used.tolist(), first.tolist(), [*first[1:].tolist(), len(h)], strict=True)]
-                segment, order, h = zip(*rows, strict=True)
+                for order, h, _ in _questions(*_read_tokens(*(x.as_py() for x in columns))):
+                    used, first = np.unique(segment_of(h, segments), return_index=True)
+                    low = low_of(h, segments)
+                    rows += [(g, order, pack(low[a:b])) for g, a, b in zip(used.tolist(), first.tolist(), [*first[1:].tolist(), len(h)], strict=True)]
+                segment, order, low = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row.as_py()] * len(rows), pa.int64()), pa.array(segment, pa.int32()), pa.array(order, pa.int32()), pa.array(h, pa.binary())],
-                    names=["row", "segment", "n_words", "h"],
+                    [pa.array([row.as_py()] * len(rows), pa.int64()), pa.array(segment, pa.int32()), pa.array(order, pa.int32()), pa.array(low, pa.binary())],
+                    names=["row", "segment", "n_words", "low"],
                 )
 
     return run
 
 
-def _put_together(denominator: float, segments: int):
+def _put_together(denominator: float):
     """The scores of a slice's texts from the answers for it."""
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
@@ -348,7 +323,7 @@ def _put_together(denominator: float, segments: int):
         orders, levels = answers["n_words"].to_pylist(), answers["levels"].to_pylist()
         token, of_text = _read_tokens(*(texts[c][0].as_py() for c in ("words", "word_at", "sizes")))
         counts = []
-        for order, h, _, place in _questions(token, of_text, segments):
+        for order, h, place in _questions(token, of_text):
             found = np.frombuffer(b"".join(x for x, o in zip(levels, orders, strict=True) if o == order), np.uint8)
             assert len(found) == len(h)
             counts.append(value(found.astype(np.int64))[place])
@@ -372,22 +347,27 @@ def log10_of(count: np.ndarray, together: np.ndarray, of_text: np.ndarray, denom
 
 
 class Model:
-    """What workers need: the filter or, where it is not sent, its number of segments, the totals, and the exact counts of frequent words."""
+    """What workers need: the filters of both orders, where they are sent, the totals, and the exact counts of frequent words."""
 
-    def __init__(self, bits: np.ndarray | None, segments: int, total: int, distinct: int, words: np.ndarray, counts: np.ndarray):
-        self.filter, self.segments, self.total, self.distinct = None if bits is None else Filter(bits, segments), segments, total, distinct
+    def __init__(self, filters: dict[int, Filter] | None, segments: int, total: int, rounded: float, distinct: int, words: np.ndarray, counts: np.ndarray):
+        self.filters, self.segments, self.total, self.rounded, self.distinct = filters, segments, total, rounded, distinct
         self.words, self.counts = words, counts
 
     @property
-    def denominator(self) -> float:
+    def exact_denominator(self) -> float:
         return self.total + 0.5 * (self.distinct + 1)
 
+    @property
+    def denominator(self) -> float:
+        return self.rounded + 0.5 * (self.distinct + 1)
+
     def log10(self, token: np.ndarray, of_text: np.ndarray) -> np.ndarray:
         """The log10 probability of each token after the one before."""
-        words, place = np.unique(token, return_inverse=True)
-        pairs, pair_place = np.unique(bigrams(token, of_text)[0] >> U64(16), return_inverse=True)
-        count, together = (value(self.filter.levels(key(h, order))) for h, order in ((words, 1), (pairs, 2)))
-        return log10_of(count[place], together[pair_place], of_text, self.denominator)
+        counts = []
+        for order, h, place in _questions(token, of_text):
+            levels = self.filters[order].levels(key(low_of(h, self.segments), order), segment_of(h, self.segments))
+            counts.append(value(levels)[place])
+        return log10_of(*counts, of_text, self.denominator)
 
     def exact(self, words: np.ndarray) -> np.ndarray:
         """Counts of distinct words; -1 of those that are not frequent."""
@@ -403,37 +383,31 @@ def count_words(train: DataFrame) -> DataFrame:
     return once.groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def count_bigrams(train: DataFrame) -> DataFrame:
-    """(h, levels, entries): the fingerprints of all bigrams and the levels of their counts, packed."""
-    packed = train.select("text").mapInArrow(_count(lambda t, o: bigrams(t, o)[0], _packed), "bucket int, low binary, place binary, count binary")
-    return packed.groupBy("bucket").applyInArrow(_merge_bucket, "h binary, levels binary, entries long")
+def fill_filter(train: DataFrame, words: DataFrame, segments: int) -> DataFrame:
+    """(segment, n_words, bits): the segments that hold the words, and those that hold the bigrams of train."""
+    pairs = train.select("text").mapInArrow(_count(bigrams, _by_segment(segments)), COUNTED).groupBy("segment").applyInArrow(_fill(2, BITS_PER_ENTRY), FILLED)
+    return words.mapInArrow(_words_by_segment(segments), COUNTED).groupBy("segment").applyInArrow(_fill(1, BITS_PER_ENTRY), FILLED).unionByName(pairs)
 
 
-def shape(entries: int, bits: int) -> tuple[bool, int, int]:
-    """Whether a filter of so many entries goes to the workers, with ``bits`` bits then; its segments; and the bits of one."""
-    if entries * BITS_PER_ENTRY <= bits:
-        return True, SEGMENTS, bits // SEGMENTS
-    segments = SEGMENTS
-    while entries * BITS_PER_ENTRY > segments * SEGMENT_BITS:
-        segments *= 2
-    return False, segments, -(-entries * BITS_PER_ENTRY // segments // 64) * 64
+def segments_for(tokens: int) -> int:
+    return max(LEAST_SEGMENTS, 1 << max(0, -(-tokens // SEGMENT_TOKENS) - 1).bit_length())
 
 
-def fit(train: DataFrame, bits: int = FILTER_BITS, frequent: int = FREQUENT) -> tuple[Model, DataFrame, DataFrame, int]:
-    """The model of train (text), the exact counts of its tokens, and its n-grams by the
-    filter's segment with the bits of one."""
+def fit(train: DataFrame, bits: int = FILTER_BITS, frequent: int = FREQUENT) -> tuple[Model, DataFrame, DataFrame]:
+    """The model of train (text), the exact counts of its tokens, and its filter's segments."""
+    spark = train.sparkSession
     words = stage(count_words(train), "op8-words")
-    pairs = stage(count_bigrams(train), "op8-bigrams")
-    total, distinct, entries = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.expr(LEVEL)), F.lit(0))).first()
-    entries += pairs.agg(F.coalesce(F.sum("entries"), F.lit(0))).first()[0]
-    sent, segments, per = shape(entries, bits)
-    packed = "segment int, n_words int, h binary, levels binary"
-    grams = words.mapInArrow(_words_by_segment(segments), packed).unionByName(pairs.mapInArrow(_bigrams_by_segment(segments), packed))
-    all_bits = None
-    if sent:
-        all_bits = np.zeros(bits // 8, np.uint8)
-        for row in grams.groupBy("segment").applyInArrow(_fill(per), "segment int, bits binary").collect():  # SEGMENTS rows of bits / 8 bytes in all
-            all_bits[row["segment"] * per // 8 : (row["segment"] + 1) * per // 8] = np.frombuffer(row["bits"], np.uint8)
+    total, rounded, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.expr(VALUE)), F.lit(0.0)), F.count("*")).first()
+    segments = segments_for(total)
+    free_shuffles(spark)
+    filled = stage(fill_filter(train, words, segments), "op8-filter")
+    free_shuffles(spark)
+    filters = None
+    if 8 * filled.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0] <= bits:
+        parts = {o: [np.zeros(0, np.uint8)] * segments for o in ORDERS}
+        for row in filled.collect():  # bits / 8 bytes in all
+            parts[row["n_words"]][row["segment"]] = np.frombuffer(row["bits"], np.uint8)
+        filters = {o: Filter(x) for o, x in parts.items()}
     # The count from which on at most `frequent` words are left, by powers of two.
     sizes = {r["b"]: r["count"] for r in words.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).count().collect()}
     bound, room = 63, frequent
@@ -444,7 +418,7 @@ def fit(train: DataFrame, bits: int = FILTER_BITS, frequent: int = FREQUENT) ->
     top = words.where(F.col("n") >= F.lit(2**bound if bound < 63 else 2**62)).toArrow()
     h = top["h"].to_numpy().view(U64)
     order = np.argsort(h)
-    return Model(all_bits, segments, total, distinct, h[order], top["n"].to_numpy()[order]), words, grams, per
+    return Model(filters, segments, total, rounded, distinct, h[order], top["n"].to_numpy()[order]), words, filled
 
 
 SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<h:long,tf:long>>"
@@ -461,9 +435,9 @@ def score_documents(docs: DataFrame, bits: int = FILTER_BITS, frequent: int = FR
     """
     held = (F.coalesce(crc_mod("doc_id", 5), F.lit(0)) == 1).alias("held_out")
     docs = docs.select("doc_id", "text", held)
-    model, words, grams, per = fit(docs.where(~F.col("held_out")), bits, frequent)
+    model, words, filled = fit(docs.where(~F.col("held_out")), bits, frequent)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    by_segment = model.filter is None
+    by_segment = model.filters is None
     rare_kind = pa.list_(pa.struct([("h", pa.int64()), ("tf", pa.int64())]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -495,18 +469,19 @@ def score_documents(docs: DataFrame, bits: int = FILTER_BITS, frequent: int = FR
     scored = stage(docs.mapInArrow(score, f"{SCORED}, {SLICE}" if by_segment else SCORED), "op8-scored")
     if by_segment:
         texts = scored.where("sizes is not null").select("row", "words", "word_at", "sizes")
-        asked = texts.mapInArrow(_ask(model.segments), "row long, segment int, n_words int, h binary")
-        answers = grams.groupBy("segment").cogroup(asked.groupBy("segment")).applyInArrow(_answer(per), "row long, segment int, n_words int, levels binary")
-        put = _put_together(model.denominator, model.segments)
-        scores = texts.groupBy("row").cogroup(answers.groupBy("row")).applyInArrow(put, "row long, score double")
+        asked = texts.mapInArrow(_ask(model.segments), "row long, segment int, n_words int, low binary")
+        answers = filled.groupBy("segment").cogroup(asked.groupBy("segment")).applyInArrow(_answer, "row long, segment int, n_words int, levels binary")
+        scores = stage(texts.groupBy("row").cogroup(answers.groupBy("row")).applyInArrow(_put_together(model.denominator), "row long, score double"), "op8-scores")
+        free_shuffles(docs.sparkSession)
         scored = scored.drop("score", "words", "word_at", "sizes").join(scores, "row", "left")
+    discard(filled)
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.h", "r.tf")
     found = (
         rare.join(words, "h", "left")
         .groupBy("row")
         .agg(F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("rare_known"), F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_base"))
     )
-    log_denominator = float(np.log10(model.denominator))
+    log_denominator = float(np.log10(model.exact_denominator))
     return scored.drop("rare").join(found, "row", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,7 +30,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     ship(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.staged_at = path
+    return back
+
+
+def discard(*staged: DataFrame) -> None:
+    """Deletes what stage() wrote for these; only for tables that nothing reads any more."""
+    for df in staged:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that nothing refers to any more: its
+    cleaner waits for the driver's garbage collection, which a small driver heap may not need for hours."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -78,7 +78,7 @@ def lm_scores(rows: list[tuple[int, str | None]], rounded, weight: float = 0.2)
     train = [ws for d, ws in docs.items() if fold(d) != 1]
     count = Counter(w for ws in train for w in ws)
     pairs = Counter(p for ws in train for p in zip(["start", *ws], ws, strict=False))
-    denominator = sum(count.values()) + 0.5 * (len(count) + 1)
+    denominator = sum(map(rounded, count.values())) + 0.5 * (len(count) + 1)
     out = {}
     for d, ws in docs.items():
         out[d] = 0.0
