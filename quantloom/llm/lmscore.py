@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import discard, free_shuffles, stage
+from .staging import discard, stage
 from .tables import crc_mod
 from .textbytes import NOT_SPACE, U64, Words, mix, slices
 
@@ -399,9 +399,7 @@ def fit(train: DataFrame, bits: int = FILTER_BITS, frequent: int = FREQUENT) ->
     words = stage(count_words(train), "op8-words")
     total, rounded, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.expr(VALUE)), F.lit(0.0)), F.count("*")).first()
     segments = segments_for(total)
-    free_shuffles(spark)
     filled = stage(fill_filter(train, words, segments), "op8-filter")
-    free_shuffles(spark)
     filters = None
     if 8 * filled.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0] <= bits:
         parts = {o: [np.zeros(0, np.uint8)] * segments for o in ORDERS}
@@ -472,7 +470,6 @@ def score_documents(docs: DataFrame, bits: int = FILTER_BITS, frequent: int = FR
         asked = texts.mapInArrow(_ask(model.segments), "row long, segment int, n_words int, low binary")
         answers = filled.groupBy("segment").cogroup(asked.groupBy("segment")).applyInArrow(_answer, "row long, segment int, n_words int, levels binary")
         scores = stage(texts.groupBy("row").cogroup(answers.groupBy("row")).applyInArrow(_put_together(model.denominator), "row long, score double"), "op8-scores")
-        free_shuffles(docs.sparkSession)
         scored = scored.drop("score", "words", "word_at", "sizes").join(scores, "row", "left")
     discard(filled)
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.h", "r.tf")

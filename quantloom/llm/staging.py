@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -11,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ..shipping import ship
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a fresh folder only in local mode."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
@@ -25,11 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: this cuts the
     lineage, so a lost executor costs only the tasks that follow, and tasks whose
-    output depends on their split are never run again with other results."""
+    output depends on their split are never run again with other results. The shuffle files
+    behind it are removed as soon as it is written, not when the driver collects its garbage."""
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back.staged_at = path
     return back
@@ -42,12 +50,5 @@ def discard(*staged: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of plans that nothing refers to any more: its
-    cleaner waits for the driver's garbage collection, which a small driver heap may not need for hours."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
