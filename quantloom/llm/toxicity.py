@@ -1,8 +1,10 @@
 """Toxicity by a logistic classifier with a counterfactual penalty.
 
 A text is the set of its words and of the 5-byte runs inside them, hashed. In labelled texts
-that name a group, the name is swapped for another group's; the penalty is the square
-of the change this makes to the score, so a neutral mention of a group does not count.
+that name a group, the name is swapped for another group's of the same language, and left out; the penalty is
+the square of the change this makes to the score, so a neutral mention of a group does not count. One in
+``MENTION_EVERY`` texts that name none gets a mention at its end, and the text without it, with it and
+with another group's must score alike too: so the penalty also holds for names that no labelled text has.
 
 At most ``TRAIN_TOXIC`` toxic and ``TRAIN_CLEAN`` clean labelled texts, chosen by a hash of
 their id, train it; whole texts are read both in training and in scoring. Workers get one weight for each of
@@ -33,19 +35,39 @@ SWAP_PENALTY = 1.0
 STEPS = 250
 RUN = 5
 
-# Names of groups, each swapped for the next (the last for the first).
-GROUPS = (
-    "women men girls boys gay straight lesbian bisexual transgender muslim christian jewish hindu buddhist atheist catholic "
-    "black white asian african latino european immigrant native refugee foreigner disabled deaf blind elderly young poor rich"
-).split()
-_NAMES = re.compile(r"(?<![a-z])(" + "|".join(GROUPS) + r")(?![a-z])", re.IGNORECASE)
-_NEXT = dict(zip(GROUPS, GROUPS[1:] + GROUPS[:1], strict=True))
+MENTION_EVERY = 4
+#: weight of all toxic rows together, against that of all clean ones
+TOXIC_WEIGHT = 0.75
+
+# Names of groups by language, each swapped for the next (the last for the first).
+GROUPS = {
+    "en": "women men girls boys gay straight lesbian bisexual transgender muslim christian jewish hindu buddhist atheist catholic "
+    "black white asian african latino european immigrant native refugee foreigner disabled deaf blind elderly young poor rich",
+    "fr": "femmes hommes filles garçons homosexuels hétérosexuels lesbiennes musulmans chrétiens juifs athées catholiques noirs blancs "
+    "asiatiques africains arabes européens immigrés réfugiés étrangers handicapés sourds aveugles",
+    "de": "frauen männer mädchen jungen schwule lesben muslime christen juden atheisten katholiken schwarze weiße asiaten afrikaner "
+    "araber europäer einwanderer flüchtlinge ausländer behinderte gehörlose blinde",
+    "es": "mujeres hombres niñas niños homosexuales lesbianas musulmanes cristianos judíos ateos católicos negros blancos asiáticos "
+    "africanos árabes europeos inmigrantes refugiados extranjeros discapacitados sordos ciegos",
+}
+_NEXT = {a: b for names in map(str.split, GROUPS.values()) for a, b in zip(names, names[1:] + names[:1], strict=True)}
+_NAMES = re.compile(r"(?<!\w)(" + "|".join(_NEXT) + r")(?!\w)", re.IGNORECASE)
 
 
 def swap_groups(text: str) -> str:
     return _NAMES.sub(lambda m: _NEXT[m[0].lower()], text)
 
 
+def counterfactuals(text: str, number: int) -> list[tuple[str, str]]:
+    """Pairs of texts that must score alike; number: any number of the text's own."""
+    if _NAMES.search(text):
+        return [(text, swap_groups(text)), (text, _NAMES.sub("", text))]
+    if number % MENTION_EVERY:
+        return []
+    name = list(_NEXT)[number // MENTION_EVERY % len(_NEXT)]
+    return [(text, f"{text} {name}"), (f"{text} {name}", f"{text} {_NEXT[name]}")]
+
+
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all words and runs, with repeats, and the text of each."""
     w = Words(texts, ALNUM)
@@ -71,8 +93,10 @@ def feature_sets(texts: pa.Array) -> list[np.ndarray]:
     return [both[a:b].astype(np.int32) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def train(sets: list[np.ndarray], swapped: list[np.ndarray | None], toxic: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
-    """Weights of all buckets and the bias. prior: the share of toxic rows among all labelled ones."""
+def train(sets: list[np.ndarray], pairs: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+    """Weights of all buckets and the bias. pairs: what differs between two texts that must score alike, as
+    the buckets of either side. prior: the share of toxic rows among all labelled ones; with rows
+    of one class only, all scores are this share."""
     weights = np.zeros(1 << BITS, np.float32)
     n, n1 = len(toxic), int(toxic.sum())
     odds = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
@@ -84,8 +108,7 @@ def train(sets: list[np.ndarray], swapped: list[np.ndarray | None], toxic: np.nd
     rate = (df + 0.5) / (np.array([[n - n1], [n1]]) + 1)
     signal = np.abs(np.log(rate[1] / (1 - rate[1])) - np.log(rate[0] / (1 - rate[0]))) / np.sqrt(1 / (df[0] + 0.5) + 1 / (df[1] + 0.5))
     signal[df.sum(0) < LEAST_DOCS] = 0
-    changed = [(x, s) for x, s in zip(sets, swapped, strict=True) if s is not None]
-    named = np.unique(np.concatenate([np.setxor1d(x, s) for x, s in changed])) if changed else np.zeros(0, np.int64)
+    named = np.unique(np.concatenate([x for pair in pairs for x in pair])) if pairs else np.zeros(0, np.int64)
     best = np.argpartition(-signal, FEATURES)[:FEATURES]
     chosen = np.union1d(best[signal[best] > 0], named[np.argsort(-signal[named], kind="stable")][:FEATURES])
     if not len(chosen):
@@ -101,8 +124,8 @@ def train(sets: list[np.ndarray], swapped: list[np.ndarray | None], toxic: np.nd
         return out
 
     x, y = matrix(sets), toxic.astype(np.float32)
-    difference = matrix([a for a, _ in changed]) - matrix([b for _, b in changed]) if changed else None
-    each = np.where(y == 1, 0.5 / n1, 0.5 / (n - n1)).astype(np.float32)
+    difference = matrix([a for a, _ in pairs]) - matrix([b for _, b in pairs]) if pairs else None
+    each = np.where(y == 1, TOXIC_WEIGHT / n1, (1 - TOXIC_WEIGHT) / (n - n1)).astype(np.float32)
     w, b = np.zeros(len(chosen), np.float32), 0.0
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for step in range(1, STEPS + 1):
@@ -120,18 +143,30 @@ def train(sets: list[np.ndarray], swapped: list[np.ndarray | None], toxic: np.nd
     return weights, float(b)
 
 
+def differences(texts: list[str], numbers: list[int]) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
+    """Of every counterfactual pair: the text, and the buckets that only its one or its other side has."""
+    owner, one, other = [], [], []
+    for i, (text, number) in enumerate(zip(texts, numbers, strict=True)):
+        for a, b in counterfactuals(text, number):
+            owner.append(i)
+            one.append(a)
+            other.append(b)
+    sides = list(zip(*(feature_sets(pa.array(x, pa.string())) for x in (one, other)), strict=True))
+    return owner, [np.setdiff1d(a, b, assume_unique=True) for a, b in sides], [np.setdiff1d(b, a, assume_unique=True) for a, b in sides]
+
+
 def _collect_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.int32())
     for batch in batches:
         for part in slices(batch):
             texts = part.column("text").fill_null("")
-            plain = feature_sets(texts)
-            other = [swap_groups(t) for t in texts.to_pylist()]
-            named = [i for i, (a, b) in enumerate(zip(texts.to_pylist(), other, strict=True)) if a.lower() != b.lower()]
-            swapped: list = [None] * len(plain)
-            for i, s in zip(named, feature_sets(pa.array([other[i] for i in named], pa.string())), strict=True):
-                swapped[i] = s
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(plain, kind), pa.array(swapped, kind)], names=["doc_id", "toxic", "plain", "swapped"])
+            owner, only, instead = differences(texts.to_pylist(), part.column("number").to_pylist())
+            bounds = pa.array(np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32))
+            listed = [pa.ListArray.from_arrays(bounds, pa.array(x, kind)) for x in (only, instead)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("number"), part.column("toxic"), pa.array(feature_sets(texts), kind), *(x.cast(pa.list_(kind)) for x in listed)],
+                names=["doc_id", "number", "toxic", "plain", "only", "instead"],
+            )
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
@@ -147,18 +182,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     rank = F.row_number().over(W.partitionBy("toxic").orderBy(order, "doc_id"))
     chosen = near.withColumn("rank", rank).where(F.col("rank") <= most).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     rows = (
-        docs.select("doc_id", "text")
+        docs.select("doc_id", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).alias("number"))
         .join(F.broadcast(chosen), "doc_id")
-        .mapInArrow(_collect_features, "doc_id long, toxic int, plain array<int>, swapped array<int>")
+        .mapInArrow(_collect_features, "doc_id long, number long, toxic int, plain array<int>, only array<array<int>>, instead array<array<int>>")
         .toArrow()
+        .sort_by([("doc_id", "ascending"), ("number", "ascending")])
         .slice(0, 2 * (TRAIN_TOXIC + TRAIN_CLEAN))
-        .sort_by("doc_id")
     )
     if not rows.num_rows:
         return np.zeros(1 << BITS, np.float32), -30.0
-    sets = [x.values.to_numpy() for x in rows["plain"]]
-    swapped = [x.values.to_numpy() if x.is_valid else None for x in rows["swapped"]]
-    return train(sets, swapped, rows["toxic"].to_numpy(), counts.get(1, 0) / max(1, sum(counts.values())))
+    arrays = lambda column: [x.values.to_numpy() for x in column]
+    pairs = [(np.array(a), np.array(b)) for one, other in zip(rows["only"].to_pylist(), rows["instead"].to_pylist(), strict=True) for a, b in zip(one, other, strict=True)]
+    pairs = [(a.astype(np.int64), b.astype(np.int64)) for a, b in pairs]
+    return train(arrays(rows["plain"]), pairs, rows["toxic"].to_numpy(), counts.get(1, 0) / max(1, sum(counts.values())))
 
 
 def score_texts(texts: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:

@@ -442,7 +442,7 @@ def test_toxicity(spark):
     labels = duckdb.sql("SELECT doc_id, toxic FROM '/root/testdata/sf0.1/labels.parquet'").df()
     held = got.merge(labels, on="doc_id").query("held_out")
     toxic, clean = (held[held.toxic == k] for k in (1, 0))
-    # Measured: 0.897 and 0.0014; of the toxic rows it misses, all but one have no word that only toxic rows have.
+    # Measured: 0.897 and 0.0055. 6 of the 97 toxic rows have nothing but junk that clean rows have too, so 0.94 is about the most.
     assert toxic.predicted.mean() > 0.85 and clean.predicted.mean() < 0.01
     assert (toxic.score.to_numpy()[:, None] > clean.score.to_numpy()[None]).mean() > 0.97
     assert got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.5)).all()
@@ -459,15 +459,38 @@ def test_swaps_take_the_weight_off_group_names():
         toxic.append(y)
     sets = toxicity.feature_sets(pa.array(texts))
     swapped_texts = [toxicity.swap_groups(t) for t in texts]
-    other = toxicity.feature_sets(pa.array(swapped_texts))
-    swapped = [s if a != b else None for s, a, b in zip(other, texts, swapped_texts, strict=True)]
+    assert sum(a != b for a, b in zip(texts, swapped_texts, strict=True)) > 100
+    _, only, instead = toxicity.differences(texts, list(range(400)))
+    pairs = list(zip(only, instead, strict=True))
     neutral = pa.array(["some women said fine things 3", "some men said fine things 3"])
     gap = lambda w, b: float(np.diff(toxicity.score_texts(neutral, w, b))[0])
-    plain = gap(*toxicity.train(sets, [None] * 400, np.array(toxic), 1 / 3))
-    fair = gap(*toxicity.train(sets, swapped, np.array(toxic), 1 / 3))
+    plain = gap(*toxicity.train(sets, [], np.array(toxic), 1 / 3))
+    fair = gap(*toxicity.train(sets, pairs, np.array(toxic), 1 / 3))
     assert abs(fair) < 0.3 * abs(plain)
 
 
+def test_mentions_of_groups_in_four_languages():
+    """A clean text that mentions a group is not called toxic for it; here every name stands in toxic rows more often."""
+    rng = np.random.default_rng(2)
+    texts, toxic = [], []
+    for i in range(600):
+        y = int(i % 3 == 0)
+        names = toxicity.GROUPS[("en", "fr", "de", "es")[i % 4]].split()
+        name = rng.choice(names) if rng.random() < (0.8 if y else 0.1) else ""
+        texts.append(f"some {name} words {'nasty' if y and rng.random() < 0.9 else 'fine'} and others {rng.integers(0, 40)}")
+        toxic.append(y)
+    sets, toxic = toxicity.feature_sets(pa.array(texts)), np.array(toxic)
+    _, only, instead = toxicity.differences(texts, list(range(600)))
+    clean = [f"some words fine and others {i}" for i in range(40)]
+    wrong = []  # of mentions in texts that are clean without one
+    for pairs in ([], list(zip(only, instead, strict=True))):
+        w, b = toxicity.train(sets, pairs, toxic, 1 / 3)
+        alone = [t for t, p in zip(clean, toxicity.score_texts(pa.array(clean), w, b), strict=True) if p < 0.5]
+        assert len(alone) > 30
+        wrong.append((toxicity.score_texts(pa.array([f"{t} {x}" for t in alone for names in toxicity.GROUPS.values() for x in names.split()]), w, b) >= 0.5).mean())
+    assert wrong[1] < 0.5 * wrong[0] and wrong[0] > 0.05, wrong  # measured: 0.078 and 0.026
+
+
 def test_language(spark):
     got = queries.queries()["op10_language_id"](spark, "/root/testdata/sf0.01").toPandas()
     lang = duckdb.sql("SELECT doc_id, lang FROM '/root/testdata/sf0.01/documents.parquet'").df()
