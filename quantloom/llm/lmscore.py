@@ -258,10 +258,16 @@ def _answer(held: pa.Table, asked: pa.Table) -> pa.Table:
         return pa.table({c: pa.array([], k) for c, k in kinds.items()})
     bits = dict(zip(held["n_words"].to_pylist(), held["bits"].to_pylist(), strict=True))
     own = {o: Filter([np.frombuffer(bits.get(o, b""), np.uint8)]) for o in ORDERS}
-    levels = []
-    for order, packed in zip(asked["n_words"].to_pylist(), asked["low"].to_pylist(), strict=True):
-        k = key(unpack(packed), order)
-        levels.append(own[order].levels(k, np.zeros(len(k), np.int64)).astype(np.uint8).tobytes())
+    orders, packed = np.array(asked["n_words"].to_pylist()), asked["low"].to_pylist()
+    levels: list[bytes] = [b""] * len(packed)
+    for order in ORDERS:
+        rows = np.flatnonzero(orders == order).tolist()
+        # Slices ask for many of the same n-grams: each is looked up once.
+        low, place = np.unique(unpack(b"".join(packed[i] for i in rows)), return_inverse=True)
+        found = own[order].levels(key(low, order), np.zeros(len(low), np.int64)).astype(np.uint8)[place]
+        ends = np.cumsum([len(packed[i]) * 8 // LOW for i in rows]).tolist()
+        for i, a, b in zip(rows, [0, *ends[:-1]], ends, strict=True):
+            levels[i] = found[a:b].tobytes()
     return pa.table({"row": asked["row"], "segment": asked["segment"], "n_words": asked["n_words"], "levels": pa.array(levels, pa.binary())})
 
 
