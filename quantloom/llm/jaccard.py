@@ -51,7 +51,8 @@ CELL_BYTES = 8 << 20
 BROADCAST_IDS = 1_000_000
 #: rows that tell each set its tasks; so many are sent to all executors, more are joined by a shuffle
 BROADCAST_TASKS = 200_000
-HELD = 2_000_000
+#: list entries that a task holds before it passes them on
+HELD = 500_000
 
 _MULTIPLIERS = mix(np.arange(1, SHINGLE + 1, dtype=U64) * U64(0x9FB21C651E98DF25)) | U64(1)
 
