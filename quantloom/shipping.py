@@ -1,4 +1,4 @@
-"""Makes this package importable in Python workers."""
+"""Makes this package importable in Python workers, and bounds what one Arrow batch holds."""
 
 from __future__ import annotations
 
@@ -10,10 +10,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: bytes of an Arrow batch; Spark's own limit, 64 MB, costs an executor several times that for each core
+BATCH_BYTES = 4 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package's sources to the executors, once for each application."""
+    """Sends the package's sources to the executors, once for each application, and lowers
+    a session's limit on Arrow batches to ``BATCH_BYTES``, unless another than Spark's own is set."""
+    if spark.conf.get(_LIMIT) == "67108864b":
+        spark.conf.set(_LIMIT, str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
