@@ -7,6 +7,9 @@ an argument is NULL a score is NULL, and a ladder gives its last label.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,7 +19,20 @@ def column(expression: str) -> Column:
 
 
 def clip(x: str, low: float, high: float) -> str:
-    return f"CASE WHEN ({x}) IS NOT NULL THEN greatest({low}, least({high}, ({x}))) END"
+    """x within bounds. greatest() and least() skip NULL, so a formula that clips is a strict() one; to test x
+    here would write it twice, and a nest of clips would double with every level."""
+    return f"greatest({low}, least({high}, ({x})))"
+
+
+def strict(formula: Callable[..., str]) -> Callable[..., str]:
+    """The formula, and NULL where any of its arguments is."""
+
+    @wraps(formula)
+    def guarded(*args) -> str:
+        given = " AND ".join(f"({a}) IS NOT NULL" for a in args if isinstance(a, str))
+        return f"CASE WHEN {given} THEN {formula(*args)} END"
+
+    return guarded
 
 
 def ladder(x: str, steps: list[tuple[str, str]], last: str) -> str:
@@ -51,7 +67,7 @@ def basis_regime(pct: str) -> str:
 
 
 def correlation_regime(r: str) -> str:
-    return ladder(f"abs({r})", [(">= 0.7", "high"), (">= 0.4", "moderate")], "low")
+    return ladder(f"abs({r})", [(">= 0.7", "high_corr"), (">= 0.4", "moderate_corr")], "decorrelated")
 
 
 def liquidity_cycle(score: str) -> str:
@@ -88,20 +104,24 @@ def freshness(age: str, fresh: str) -> str:
 
 
 # Order books and liquidations.
+@strict
 def liquidity_score(spread: str, bid: str, ask: str) -> str:
     depth = clip(f"log10(greatest(({bid}) + ({ask}), 1.0)) / 7 * 100", -1e9, 100)
     balance = f"CASE WHEN ({bid}) > 0 AND ({ask}) > 0 THEN 100 * least({bid}, {ask}) / greatest({bid}, {ask}) ELSE 0.0 END"
     return clip(f"0.3 * greatest(0.0, 100 - 2 * ({spread})) + 0.4 * ({depth}) + 0.3 * ({balance})", 0, 100)
 
 
+@strict
 def wall_strength(wall: str, mean_level: str, seen: str) -> str:
     return f"CASE WHEN ({mean_level}) > 0 THEN {clip(f'least(50.0, ({wall}) / ({mean_level}) * 10) + least(50.0, ({seen}) * 5.0)', 0, 100)} ELSE 0.0 END"
 
 
+@strict
 def depth_price_divergence(depth_change: str, price_change: str) -> str:
     return clip(f"-10 * ({depth_change}) * ({price_change})", -1, 1)
 
 
+@strict
 def cascade_probability(cluster: str, daily_volume: str, distance: str) -> str:
     inner = clip(f"0.6 * least(({cluster}) / ({daily_volume}) / 0.1, 1.0) + 0.4 * exp(-({distance}) / 3)", 0, 1)
     return f"CASE WHEN ({daily_volume}) <= 0 OR ({distance}) < 0 THEN 0.0 ELSE {inner} END"
@@ -121,15 +141,18 @@ def annualized_basis(pct: str, days: str) -> str:
     return f"CASE WHEN ({days}) > 0 THEN ({pct}) * 365 / ({days}) ELSE 0.0 END"
 
 
+@strict
 def mean_reversion(z: str, scale: float) -> str:
     return clip(f"-({z}) / {scale}", -1, 1)
 
 
 # On-chain, lending and macro liquidity.
+@strict
 def stress_index(liquidation_rate: str, utilization: str, low_health: str) -> str:
     return clip(f"least(40.0, ({liquidation_rate}) * 800) + least(30.0, ({utilization}) / 0.9 * 30) + least(30.0, ({low_health}) * 150)", 0, 100)
 
 
+@strict
 def stress_cascade(below_11: str, below_13: str, above_15: str, drop: str) -> str:
     risk = (
         f"CASE WHEN ({drop}) <= 5 THEN ({below_11}) + (({below_13}) - ({below_11})) * ({drop}) / 10"
@@ -147,6 +170,7 @@ def protocol_risk(utilization: str, liquidation_rate: str, tvl: str) -> str:
     return f"40 * least(1.0, ({utilization}) / 0.95) + 40 * least(1.0, ({liquidation_rate}) / 0.05) + 20 * least(1.0, ({tvl}) / 1e10)"
 
 
+@strict
 def liquidity_regime_score(staking: str, reserve: str, stable: str) -> str:
     parts = " + ".join(f"{w} * ({clip(f'({x}) / 0.2', -1, 1)})" for w, x in ((0.3, staking), (0.4, reserve), (0.3, stable)))
     return clip(f"50 * ({parts} + 1)", 0, 100)
@@ -166,20 +190,24 @@ def market_phase(mvrv: str, sopr: str, shock: str) -> str:
     )
 
 
+@strict
 def miner_capitulation(puell_pct: str, hashrate_change: str, outflow: str) -> str:
     return f"0.4 * ({clip(f'100 - ({puell_pct})', 0, 100)}) + 0.35 * ({clip(f'-1000 * least(0.0, {hashrate_change})', 0, 100)}) + 0.25 * ({clip(f'100 * ({outflow})', 0, 100)})"
 
 
+@strict
 def halving_progress(height: str, last: int = 840_000, period: int = 210_000) -> str:
     return clip(f"(({height}) - {last}) * 100.0 / {period}", 0, 100)
 
 
 # Sentiment and attention.
+@strict
 def sentiment_composite(fear_greed: str, long_short: str, funding: str, social: str) -> str:
     parts = ((0.35, fear_greed), (0.25, f"50 * ({long_short})"), (0.2, f"50 + 500 * ({funding})"), (0.2, social))
     return " + ".join(f"{w} * ({clip(x, 0, 100)})" for w, x in parts)
 
 
+@strict
 def reversal_probability(extreme: str, divergence: str, hours: str) -> str:
     base = f"CASE WHEN ({extreme}) IN ('extreme_fear', 'extreme_greed') THEN 0.35 WHEN ({extreme}) IN ('fear', 'greed') THEN 0.15 ELSE 0.05 END"
     return clip(f"({base}) + 0.3 * ({divergence}) + CASE WHEN ({hours}) > 0 THEN 0.25 * (1 - exp(-({hours}) / 48.0)) ELSE 0.0 END", 0, 1)
@@ -189,18 +217,22 @@ def funding_consistency(score: str, funding: str) -> str:
     return f"CASE WHEN (({score}) > 60 AND ({funding}) < -0.0001) OR (({score}) < 40 AND ({funding}) > 0.0001) THEN 'divergent' ELSE 'consistent' END"
 
 
+@strict
 def fomo_index(search: str, social_z: str, listing: str, fear_greed: str) -> str:
     return clip(f"0.3 * ({clip(search, 0, 100)}) + ({clip(f'({social_z}) / 3 * 25', 0, 25)}) + 0.2 * ({clip(listing, 0, 100)}) + greatest(0.0, (({fear_greed}) - 50) / 2)", 0, 100)
 
 
+@strict
 def fud_index(decline: str, negativity: str, fear_greed: str) -> str:
     return clip(f"0.35 * ({clip(decline, 0, 100)}) + 35 * ({clip(negativity, 0, 1)}) + greatest(0.0, (50 - ({fear_greed})) * 0.6)", 0, 100)
 
 
+@strict
 def contrarian_strength(fomo: str, fud: str) -> str:
     return clip(f"(greatest({fomo}, {fud}) - 70) / 30", 0, 1)
 
 
+@strict
 def attention_score(mentions: str, sentiment: str, correlation: str) -> str:
     return f"least(40.0, 10 * sqrt(greatest({mentions}, 0.0))) + least(30.0, 30 * abs({sentiment})) + ({clip(f'30 * ({correlation})', 0, 30)})"
 
@@ -214,6 +246,7 @@ def phase_transition(phase: str, attention: str, trend: str, mentions_delta: str
     )
 
 
+@strict
 def event_impact(volume: str, liquidity: str, change: str) -> str:
     thin = f"CASE WHEN ({liquidity}) > 0 THEN 1 - least(({liquidity}) / 1e7, 1.0) ELSE 1.0 END"
     return clip(f"100 * (0.3 * ({clip(f'({volume}) / 1e6', 0, 1)}) + 0.3 * ({thin}) + 0.4 * least(abs({change}) / 0.5, 1.0))", 0, 100)
@@ -227,22 +260,27 @@ def cross_validation(direction: str, sentiment: str) -> str:
 
 
 # Positions and unlocks.
+@strict
 def conviction_index(pnl: str, direction: str, consistency: str) -> str:
     return clip(f"20 * (({clip(f'({pnl}) / 0.1', -1, 1)}) + 1) + 35 * abs({direction}) + 25 * ({clip(consistency, 0, 1)})", 0, 100)
 
 
+@strict
 def retail_divergence(smart: str, retail: str) -> str:
     return clip(f"(({retail}) - ({smart})) / 2", -1, 1)
 
 
+@strict
 def unlock_impact(pressure: str, reaction: str) -> str:
     return clip(f"least(50.0, 25 * ({pressure})) + least(50.0, 500 * abs({reaction}))", 0, 100)
 
 
+@strict
 def price_impact(pressure: str, depth: str) -> str:
     return f"CASE WHEN ({pressure}) > 0 THEN least(50.0, 2 * sqrt({pressure}) * ({clip(depth, 0.5, 3)})) ELSE 0.0 END"
 
 
+@strict
 def liquidity_absorption(volume: str, depth: str) -> str:
     return f"0.4 * ({clip(f'({depth}) / 5e6', 0, 1)}) + 0.6 * ({clip(f'({volume}) / 1e8', 0, 1)})"
 

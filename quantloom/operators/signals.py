@@ -329,10 +329,11 @@ def gaps(p: DataFrame, least_pct: float = 1.0) -> DataFrame:
 
 
 def liquidity_by_time(p: DataFrame) -> DataFrame:
-    """(symbol, hour, weekday, bars, volume, range_pct): means by hour of the day, by day of the week (0: Monday) and over all."""
+    """(symbol, hour, weekday, bars, volume, range_pct): means by hour of the day, by day of the week (0: Monday) and over all; -1 stands for all."""
     rows = p.select("symbol", F.hour("open_time").alias("hour"), F.weekday("open_time").alias("weekday"), "volume", F.try_divide(F.col("high") - F.col("low"), "low").alias("range"))
     sets = rows.groupingSets([["symbol", "hour"], ["symbol", "weekday"], ["symbol"]], "symbol", "hour", "weekday")
-    return sets.agg(F.count("*").alias("bars"), F.avg("volume").alias("volume"), (100 * F.avg("range")).alias("range_pct"))
+    means = sets.agg(F.count("*").alias("bars"), F.avg("volume").alias("volume"), (100 * F.avg("range")).alias("range_pct"))
+    return means.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("hour", "weekday")})
 
 
 def large_trades(trades: DataFrame, share: float = 0.99) -> DataFrame:

@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..functions.dialect import DUCKDB
 from ..operators import backtest, bars, cross, flow, recursive, temporal
 from ..sources.adapters import BARS_SQL, QUOTES_SQL, TRADES_SQL, hourly_bars, load, quotes, trades
-from . import indicators, series_queries, signal_queries
+from . import indicators, score_sql, series_queries, signal_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -421,7 +421,7 @@ def volume_profile(spark, d):
 
 # Scores ----------------------------------------------------------------------------------
 
-# Arguments for the scores, spread over the ranges in which their labels change.
+# Arguments for the scores, spread over the ranges in which their labels change, and off values at which rounding decides.
 _INPUT = "SELECT l_orderkey, l_linenumber, l_discount * 10 AS u, l_tax * 12.5 AS v, l_quantity * 2 AS h, l_extendedprice AS p, l_discount * 20 - 1 AS s, l_tax * 25 - 1 AS r, l_quantity - 25.5 AS m FROM lineitem"
 _SCORES = {
     "ladders": {
@@ -431,7 +431,7 @@ _SCORES = {
     },
     "books": {
         "liquidity": S.liquidity_score("h / 4", "p * 10", "p * 40 * u"), "wall": S.wall_strength("p", "p * (0.1 + u)", "h / 8"), "divergence": S.depth_price_divergence("s", "r / 10"),
-        "cascade": S.cascade_probability("p * u", "p * 3", "h / 10"), "severity": S.cascade_severity("u", "p * v", "p * 20"), "basis_pct": S.basis_pct("p", "p * (1 + s / 100)"),
+        "cascade": S.cascade_probability("p * u", "p * 3", "h / 10"), "severity": S.cascade_severity("u * 0.987", "p * v * 0.97", "p * 20"), "basis_pct": S.basis_pct("p", "p * (1 + s / 100)"),
         "annualized": S.annualized_basis("s", "h - 10"), "reversion": S.mean_reversion("m / 4", 3.0), "impact": S.price_impact("u * 3", "h / 20"), "absorption": S.liquidity_absorption("p * 2000", "p * 60"),
     },
     "onchain": {
@@ -455,8 +455,7 @@ def _score_query(group: str, formulas: dict[str, str]) -> None:
         return load(spark, d, "lineitem").selectExpr(*_INPUT.removeprefix("SELECT ").removesuffix(" FROM lineitem").split(", ")).selectExpr("l_orderkey", "l_linenumber", *(f"{f} AS {n}" for n, f in formulas.items()))
 
     run.__name__ = f"scores_{group}"
-    body = ", ".join(f"{f} AS {n}" for n, f in formulas.items())
-    query(f"SELECT l_orderkey, l_linenumber, {body} FROM ({_INPUT}) i", " ".join(f"{n}:8" for n in formulas if n not in _LABELS))(run)
+    query(score_sql.sql(group, _INPUT), " ".join(f"{n}:8" for n in formulas if n not in _LABELS))(run)
 
 
 for _name, _formulas in _SCORES.items():

@@ -157,8 +157,8 @@ def register(query, contagion_sql: str, contagion, clusters_sql: str, clusters)
         return signals.gaps(panel(spark, d))
 
     @query(f"""WITH x AS (SELECT symbol, hour(open_time)::INT AS hour, (isodow(open_time) - 1)::INT AS weekday, volume, (high - low) / low * 100 AS rng FROM ({BARS_SQL}) b)
- SELECT symbol, hour, NULL::INT AS weekday, count(*) AS bars, avg(volume) AS volume, avg(rng) AS range_pct FROM x GROUP BY symbol, hour UNION ALL SELECT symbol, NULL, weekday, count(*), avg(volume), avg(rng) FROM x GROUP BY symbol, weekday
- UNION ALL SELECT symbol, NULL, NULL, count(*), avg(volume), avg(rng) FROM x GROUP BY symbol""", "volume range_pct")
+ SELECT symbol, hour, -1 AS weekday, count(*) AS bars, avg(volume) AS volume, avg(rng) AS range_pct FROM x GROUP BY symbol, hour UNION ALL SELECT symbol, -1, weekday, count(*), avg(volume), avg(rng) FROM x GROUP BY symbol, weekday
+ UNION ALL SELECT symbol, -1, -1, count(*), avg(volume), avg(rng) FROM x GROUP BY symbol""", "volume range_pct")
     def liquidity_by_time(spark, d):
         return signals.liquidity_by_time(panel(spark, d))
 
