@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TIMEFRAMES = {"minute": "1m", "hour": "1h", "day": "1d"}
 
 
+def micros(df: DataFrame, ts: str) -> Column:
+    """Microseconds since 1970; of a time without a zone, by its own clock, whatever the session's zone."""
+    if dict(df.dtypes)[ts] == "timestamp":
+        return F.unix_micros(ts)
+    return F.expr(f"unix_date(to_date({ts})) * 86400000000L + hour({ts}) * 3600000000L + minute({ts}) * 60000000L + cast(extract(SECOND FROM {ts}) * 1000000 AS bigint)")
+
+
 def tumble(trades: DataFrame, unit: str = "hour", keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """OHLCV bars of trades (symbol, ts, event_id, price, amount). Ties in time are ordered by
-    event_id. One partial aggregate before the only exchange; no sort."""
-    when = F.struct("ts", "event_id")
+    event_id. One partial aggregate before the only exchange; no sort: time and id are one
+    number, since an aggregate that keeps a struct would not be a hash aggregate."""
+    when = (micros(trades, "ts").cast("decimal(18,0)") * F.lit(str(10**19)).cast("decimal(20,0)") + F.col("event_id")).cast("decimal(38,0)")
     return (
         trades.groupBy(*keys, F.date_trunc(unit, "ts").cast("timestamp_ntz").alias("open_time"))
         .agg(

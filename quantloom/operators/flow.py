@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 
 def vpin(trades: DataFrame, bucket: float = 50.0) -> DataFrame:
-    """(symbol, vpin, buckets): mean imbalance of full volume buckets. A trade that crosses a
+    """(symbol, vpin, buckets): mean imbalance of full volume buckets, 0 without any. A trade that crosses a
     bucket's edge is split; the unfinished last bucket is dropped. trades (symbol, ts, event_id, amount, side)."""
     w = W.partitionBy("symbol").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
     spans = trades.where("amount > 0").withColumn("to", F.sum("amount").over(w)).withColumn("from", F.col("to") - F.col("amount"))
@@ -16,18 +16,20 @@ def vpin(trades: DataFrame, bucket: float = 50.0) -> DataFrame:
     parts = spans.withColumn("bucket", F.explode(F.sequence(first, F.greatest(first, last))))
     part = F.least("to", (F.col("bucket") + 1) * bucket) - F.greatest("from", F.col("bucket") * bucket)
     signed = F.when(F.col("side") == "buy", part).otherwise(-part)
-    full = parts.groupBy("symbol", "bucket").agg(F.abs(F.sum(signed)).alias("gap"), F.sum(part).alias("volume")).where(F.col("volume") >= bucket - 1e-9)
-    return full.groupBy("symbol").agg((F.avg("gap") / bucket).alias("vpin"), F.count("*").alias("buckets"))
+    gap = F.when(F.sum(part) >= bucket - 1e-9, F.abs(F.sum(signed)))
+    return parts.groupBy("symbol", "bucket").agg(gap.alias("gap")).groupBy("symbol").agg(F.coalesce(F.avg("gap") / bucket, F.lit(0.0)).alias("vpin"), F.count("gap").alias("buckets"))
 
 
 def classify_flow(trades: DataFrame) -> DataFrame:
-    """Trades of at least twice the mean size are informed; their direction needs a 1.2 times larger side."""
+    """Trades of at least twice the mean size are informed; their share of the volume, and that of the
+    others; a direction needs a 1.2 times larger side. Without volume all is retail."""
     mean = trades.groupBy("symbol").agg(F.avg("amount").alias("mean"))
     informed = F.col("amount") >= 2 * F.col("mean")
     side = lambda s: F.coalesce(F.sum(F.when(informed & (F.col("side") == s), F.col("amount"))), F.lit(0.0))
     return (
-        trades.join(mean, "symbol").groupBy("symbol").agg(F.count("*").alias("trades"), F.count_if(informed).alias("informed"), side("buy").alias("buy"), side("sell").alias("sell"))
-        .withColumn("direction", F.when(F.col("buy") > 1.2 * F.col("sell"), "buy").when(F.col("sell") > 1.2 * F.col("buy"), "sell").otherwise("neutral"))
+        trades.join(mean, "symbol").groupBy("symbol").agg(F.count("*").alias("trades"), F.count_if(informed).alias("informed"), side("buy").alias("buy"), side("sell").alias("sell"), F.sum("amount").alias("total"))
+        .withColumn("informed_ratio", F.coalesce(F.try_divide(F.col("buy") + F.col("sell"), "total"), F.lit(0.0))).withColumn("retail_ratio", 1 - F.col("informed_ratio"))
+        .withColumn("direction", F.when(F.col("buy") > 1.2 * F.col("sell"), "buy").when(F.col("sell") > 1.2 * F.col("buy"), "sell").otherwise("neutral")).drop("total")
     )
 
 

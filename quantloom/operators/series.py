@@ -65,7 +65,7 @@ def rate_model(rates: DataFrame) -> DataFrame:
     sums = sums.withColumn("z", F.when(F.col("n") < 10, 0.0).otherwise((F.col("x") - F.col("before")) / spread))
     return sums.select(
         "symbol", F.when(F.col("n") < 10, F.col("x")).otherwise(0.3 * F.col("mean") + 0.7 * F.col("recent")).alias("next"), "z",
-        F.coalesce(F.try_divide(100.0 * F.col("below"), F.col("n") - 1), F.lit(50.0)).alias("percentile"), "cumulative", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -F.col("z") / 4)).alias("reversion"),
+        F.when(F.col("n") < 10, 50.0).otherwise(100.0 * F.col("below") / (F.col("n") - 1)).alias("percentile"), "cumulative", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -F.col("z") / 4)).alias("reversion"),
     )
 
 

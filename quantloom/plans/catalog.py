@@ -122,7 +122,7 @@ def latest_indicators(spark, d):
 
 
 _Z = "CASE WHEN count({x}) OVER w >= 42 THEN ({x} - avg({x}) OVER w) / nullif(stddev_pop({x}) OVER w, 0) END"
-_RANK = "CASE WHEN len(v) >= 2 AND {x} IS NOT NULL THEN 100.0 * len(list_filter(v, lambda u: u < {x})) / (len(v) - 1) END"
+_RANK = "CASE WHEN len(v) >= 42 AND {x} IS NOT NULL THEN 100.0 * len(list_filter(v, lambda u: u < {x})) / (len(v) - 1) END"
 
 
 @query(f"""SELECT symbol, open_time, return_1, z, pct, CASE WHEN z IS NULL THEN 'unknown' WHEN z >= 2 THEN 'extreme_high' WHEN z >= 1 THEN 'elevated' WHEN z >= -1 THEN 'normal' WHEN z >= -2 THEN 'depressed' ELSE 'extreme_low' END AS regime,
@@ -135,7 +135,7 @@ def feature_standardization(spark, d):
     rows = indicators.window_indicators(hourly_bars(spark, d)).select("symbol", "open_time", "return_1")
     z = F.when(F.count("return_1").over(w) >= 42, F.try_divide(F.col("return_1") - F.avg("return_1").over(w), F.stddev_pop("return_1").over(w)))
     rows = rows.withColumns({"z": F.round(z, 9), "v": F.collect_list("return_1").over(w)})
-    pct = F.when((F.size("v") >= 2) & F.col("return_1").isNotNull(), 100.0 * F.size(F.filter("v", lambda u: u < F.col("return_1"))) / (F.size("v") - 1))
+    pct = F.when((F.size("v") >= 42) & F.col("return_1").isNotNull(), 100.0 * F.size(F.filter("v", lambda u: u < F.col("return_1"))) / (F.size("v") - 1))
     rank = F.row_number().over(W.partitionBy("open_time").orderBy(F.desc_nulls_last("z"), "symbol"))
     return rows.select("symbol", "open_time", "return_1", "z", pct.alias("pct"), F.expr(S.standard_regime("z")).alias("regime"), F.when(F.col("z").isNotNull(), rank).alias("cross_rank"))
 
@@ -343,15 +343,15 @@ def fund_flow_scopes(spark, d):
 
 @query(f"""WITH s AS (SELECT symbol, side, amount, sum(amount) OVER (PARTITION BY symbol ORDER BY ts, event_id) AS hi FROM ({TRADES_SQL}) t WHERE amount > 0),
  p AS (SELECT symbol, side, b, least(hi, (b + 1) * 50) - greatest(hi - amount, b * 50) AS part FROM (SELECT *, unnest(range(floor((hi - amount) / 50)::BIGINT, ceil(hi / 50)::BIGINT)) AS b FROM s)),
- g AS (SELECT symbol, b, abs(sum(CASE WHEN side = 'buy' THEN part ELSE -part END)) AS gap FROM p GROUP BY symbol, b HAVING sum(part) >= 50 - 1e-9)
- SELECT symbol, avg(gap) / 50 AS vpin, count(*) AS buckets FROM g GROUP BY symbol""", "vpin")
+ g AS (SELECT symbol, b, CASE WHEN sum(part) >= 50 - 1e-9 THEN abs(sum(CASE WHEN side = 'buy' THEN part ELSE -part END)) END AS gap FROM p GROUP BY symbol, b)
+ SELECT symbol, coalesce(avg(gap) / 50, 0) AS vpin, count(gap) AS buckets FROM g GROUP BY symbol""", "vpin")
 def flow_vpin(spark, d):
     return flow.vpin(trades(spark, d))
 
 
 @query(f"""WITH t AS (SELECT *, avg(amount) OVER (PARTITION BY symbol) AS m FROM ({TRADES_SQL}) x), g AS (
- SELECT symbol, count(*) AS trades, count(*) FILTER (amount >= 2 * m) AS informed, coalesce(sum(amount) FILTER (amount >= 2 * m AND side = 'buy'), 0) AS buy, coalesce(sum(amount) FILTER (amount >= 2 * m AND side = 'sell'), 0) AS sell FROM t GROUP BY symbol)
- SELECT *, CASE WHEN buy > 1.2 * sell THEN 'buy' WHEN sell > 1.2 * buy THEN 'sell' ELSE 'neutral' END AS direction FROM g""", "buy sell")
+ SELECT symbol, count(*) AS trades, count(*) FILTER (amount >= 2 * m) AS informed, coalesce(sum(amount) FILTER (amount >= 2 * m AND side = 'buy'), 0) AS buy, coalesce(sum(amount) FILTER (amount >= 2 * m AND side = 'sell'), 0) AS sell , sum(amount) AS total FROM t GROUP BY symbol)
+ SELECT symbol, trades, informed, buy, sell, coalesce((buy + sell) / nullif(total, 0), 0) AS informed_ratio, coalesce(1 - (buy + sell) / nullif(total, 0), 1) AS retail_ratio, CASE WHEN buy > 1.2 * sell THEN 'buy' WHEN sell > 1.2 * buy THEN 'sell' ELSE 'neutral' END AS direction FROM g""", "buy sell informed_ratio retail_ratio")
 def flow_informed(spark, d):
     return flow.classify_flow(trades(spark, d))
 
@@ -466,10 +466,14 @@ for _name, _formulas in _SCORES.items():
 
 
 def _news_sql() -> str:
-    count = lambda words: f"len(regexp_extract_all(t, '{T.alternation(words)}'))"
-    events = [(n, p) for n, p, _ in T.EVENTS]
-    return f"""SELECT doc_id, sentiment, confidence, event, {T.duration('event')} AS duration, scope FROM (SELECT doc_id, {T.sentiment('up', 'down')} AS sentiment, {T.confidence('up', 'down').replace('5D', '5').replace('4D', '4').replace('6D', '6').replace('1D', '1')} AS confidence,
- {T.first_match('t', events, 'other', 'duck')} AS event, {T.first_match('t', T.SCOPES, 'asset_specific', 'duck')} AS scope FROM (SELECT doc_id, t, {count(T.BULLISH)} AS up, {count(T.BEARISH)} AS down FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)))"""
+    has = lambda k: f"regexp_matches(t, '{k}')"
+    event = {name: pattern for name, pattern, _ in T.EVENTS}
+    order = ("regulatory", "hack", "partnership", "tokenomics", "technical", "macro")
+    return f"""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
+ c AS (SELECT doc_id, len(regexp_extract_all(t, '{'|'.join(T.BULLISH)}')) - len(regexp_extract_all(t, '{'|'.join(T.BEARISH)}')) AS lean, {has('|'.join(T.BULLISH + T.BEARISH))} AS any_hit,
+  CASE {' '.join(f"WHEN {has(event[x])} THEN '{x}'" for x in order)} ELSE 'other' END AS event, CASE WHEN {has(T.SCOPES[0][1])} THEN 'market_wide' WHEN {has(T.SCOPES[1][1])} THEN 'sector_wide' ELSE 'asset_specific' END AS scope FROM d)
+ SELECT doc_id, CASE sign(lean) WHEN 1 THEN 'bullish' WHEN -1 THEN 'bearish' ELSE 'neutral' END AS sentiment, CASE WHEN NOT any_hit THEN 0.5 WHEN lean = 0 THEN 0.4 ELSE least(0.95, 0.6 + 0.1 * abs(lean)) END AS confidence, event,
+  CASE WHEN event IN ('regulatory', 'macro') THEN 'long_term' WHEN event IN ('hack', 'other') THEN 'short_term' ELSE 'medium_term' END AS duration, scope FROM c"""
 
 
 @query(_news_sql(), "confidence")
@@ -515,11 +519,11 @@ def regime_transitions(spark, d):
     return t.groupBy("state", "next").agg(F.count("*").alias("n")).withColumn("probability", F.col("n") / F.sum("n").over(W.partitionBy("state")))
 
 
-@query(f"""SELECT symbol, open_time, z, CASE WHEN abs(z) >= 3.5 THEN 'critical' ELSE 'warning' END AS level FROM (SELECT symbol, open_time, (r - avg(r) OVER w) / nullif(stddev_samp(r) OVER w, 0) AS z, count(r) OVER w AS n FROM {_RETURNS} x WHERE r IS NOT NULL
+@query(f"""SELECT symbol, open_time, z, CASE WHEN abs(z) >= 3.5 THEN 'critical' ELSE 'warning' END AS level FROM (SELECT symbol, open_time, (r - avg(r) OVER w) / CASE WHEN stddev_samp(r) OVER w > 0 THEN stddev_samp(r) OVER w ELSE 0.001 END AS z, count(r) OVER w AS n FROM {_RETURNS} x WHERE r IS NOT NULL
  WINDOW w AS (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE n >= 19 AND abs(z) >= 2.5""", "z")
 def price_anomalies(spark, d):
     w = W.partitionBy("symbol").orderBy("open_time").rowsBetween(W.unboundedPreceding, -1)
-    r = cross.log_returns(hourly_bars(spark, d)).withColumns({"z": F.try_divide(F.col("r") - F.avg("r").over(w), F.stddev_samp("r").over(w)), "n": F.count("r").over(w)})
+    r = cross.log_returns(hourly_bars(spark, d)).withColumns({"z": (F.col("r") - F.avg("r").over(w)) / F.coalesce(F.nullif(F.stddev_samp("r").over(w), F.lit(0.0)), F.lit(0.001)), "n": F.count("r").over(w)})
     return r.where("n >= 19 and abs(z) >= 2.5").select("symbol", "open_time", "z", F.when(F.abs("z") >= 3.5, "critical").otherwise("warning").alias("level"))
 
 

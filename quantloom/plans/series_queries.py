@@ -48,7 +48,7 @@ def register(query) -> None:
     @query(f"""WITH s AS (SELECT r.symbol, any_value(n) AS n, any_value(x) AS x, avg(v) AS mean, avg(v) FILTER (back < 3) AS recent, avg(v) FILTER (back > 0) AS before, stddev_samp(v) FILTER (back > 0) AS s,
    count(*) FILTER (back > 0 AND v <= x) AS below, sum(v) FILTER (back < 21) AS cumulative FROM {NUMBERED_RETURNS} r JOIN (SELECT symbol, v AS x FROM {NUMBERED_RETURNS} WHERE back = 0) l USING (symbol) GROUP BY r.symbol),
  z AS (SELECT *, CASE WHEN n < 10 THEN 0 ELSE (x - before) / CASE WHEN coalesce(s, 0) = 0 THEN 0.0001 ELSE s END END AS z FROM s)
- SELECT symbol, CASE WHEN n < 10 THEN x ELSE 0.3 * mean + 0.7 * recent END AS next, z, coalesce(100.0 * below / nullif(n - 1, 0), 50) AS percentile, cumulative, greatest(-1, least(1, -z / 4)) AS reversion FROM z""",
+ SELECT symbol, CASE WHEN n < 10 THEN x ELSE 0.3 * mean + 0.7 * recent END AS next, z, CASE WHEN n >= 10 THEN 100.0 * below / (n - 1) ELSE 50 END AS percentile, cumulative, greatest(-1, least(1, -z / 4)) AS reversion FROM z""",
         "next z percentile cumulative reversion")
     def rate_model(spark, d):
         return series.rate_model(returns(spark, d))
