@@ -52,6 +52,25 @@ def test_against_pandas(spark):
         same(got[name], want[name])
 
 
+def test_every_window_column(spark):
+    """All columns of all groups; only small differences of floating-point sums are let through."""
+    import window_formulas
+
+    names = [n for g in indicators.GROUPS for n in indicators.names(g)]
+    for seed in (3, 4):
+        b = make_bars(180, seed)
+        want = window_formulas.all_columns(b)
+        assert sorted(want) == sorted(names) and len(names) == 138
+        got = window(spark, b, *names)
+        wrong = {}
+        for name in names:
+            x, y = np.asarray(got[name], float), np.asarray(want[name], float)
+            if not np.allclose(x, y, rtol=1e-7, atol=1e-8, equal_nan=True):
+                at = np.flatnonzero(~np.isclose(x, y, rtol=1e-7, atol=1e-8, equal_nan=True))
+                wrong[name] = (len(at), int(at[0]), x[at[0]], y[at[0]])
+        assert not wrong, wrong
+
+
 def test_constant_and_short_series(spark):
     flat = make_bars(30)
     for c in ("open", "high", "low", "close"):
