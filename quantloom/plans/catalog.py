@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..functions.dialect import DUCKDB
 from ..operators import backtest, bars, cross, flow, recursive, temporal
 from ..sources.adapters import BARS_SQL, QUOTES_SQL, TRADES_SQL, hourly_bars, load, quotes, trades
-from . import indicators, score_sql, series_queries, signal_queries
+from . import indicators, score_sql, series_queries, signal_queries, smoothed_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,6 +97,11 @@ def indicators_volume_index(spark, d):
     return indicators.window_indicators(hourly_bars(spark, d)).select(*indicators.KEY, F.ln("nvi").alias("log_nvi"), F.ln("pvi").alias("log_pvi"))
 
 
+@query(smoothed_sql.sql(BARS_SQL), " ".join(smoothed_sql.COLUMNS))
+def indicators_smoothed(spark, d):
+    return recursive.recursive(hourly_bars(spark, d)).select(*indicators.KEY, *smoothed_sql.COLUMNS)
+
+
 @query()
 def indicators_recursive(spark, d):
     return recursive.recursive(hourly_bars(spark, d))
