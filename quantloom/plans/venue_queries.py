@@ -130,7 +130,7 @@ def register(query) -> None:
         return p.select("page_id", F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_count("html", F.lit('<a href="[^"]*"')).alias("links"), F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"))
 
     @query("""SELECT user_id, count(*) AS sessions, max(n) AS longest, sum(n)::BIGINT AS events FROM (SELECT user_id, k, count(*) AS n FROM (SELECT user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM (
- SELECT user_id, ts, event_id, (ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 30 MINUTES)::INT AS fresh FROM events)) GROUP BY ALL) GROUP BY user_id""")
+ SELECT user_id, ts, event_id, coalesce((ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 30 MINUTES)::INT, 0) AS fresh FROM events)) GROUP BY ALL) GROUP BY user_id""")
     def user_sessions(spark, d):
         from ..streaming.jobs import sessions
 
