@@ -3,11 +3,12 @@
 On a bounded sample of vectors a neighbour graph is built and cut into equal parts, each cut
 moved until few edges cross it. A small classifier learns from it in which parts a
 vector's neighbours lie. It places every row in one part and sends each query to its most
-probable parts, as many as reach ``AIM`` of the true neighbours inside the sample; there
-the query is compared with every row in double precision.
+probable parts, as many as reach ``AIM`` of the true neighbours of those sampled vectors that
+it did not learn from; there the query is compared with every row in double precision. The number of
+parts grows with the rows, up to what the sample can tell apart.
 
-Parts are dealt out in blocks of about ``BLOCK`` rows, so no task grows with the input. Of
-equal vectors only the ``k + 1`` smallest ids can be among anyone's ``k`` nearest, and equal queries are
+Parts are dealt out in blocks of about ``BLOCK`` rows, and the queries for a part in blocks of about
+``QUERY_BLOCK``, so no task grows with the input. Of equal vectors only the ``k + 1`` smallest ids can be among anyone's ``k`` nearest, and equal queries are
 searched once, so a common vector costs no more than any other.
 """
 
@@ -24,12 +25,16 @@ from pyspark.sql import functions as F
 from .staging import stage
 
 SAMPLE = 8192
-PARTS = 32
+#: rows for each part, about
+PART_ROWS = 4096
+LEAST_PARTS = 16
+#: sampled vectors for each part, at least
 LEAST_PART = 64
 NEIGHBOURS = 10
 HIDDEN = 128
-AIM = 0.985
+AIM = 0.94
 BLOCK = 20_000
+QUERY_BLOCK = 5_000
 
 
 def takes_part(v: Column) -> Column:
@@ -111,7 +116,8 @@ class Router:
         return len(self.b2)
 
 
-def fit_router(vectors: np.ndarray, k: int, parts: int = PARTS, seed: int = 0, epochs: int = 40) -> Router:
+def fit_router(vectors: np.ndarray, k: int, parts: int, seed: int = 0, epochs: int = 40) -> Router:
+    """Every fourth vector is left out of what the classifier learns, and tells the number of probes."""
     n, dim = vectors.shape
     parts = min(parts, 1 << max(0, (n // LEAST_PART).bit_length() - 1))
     rng = np.random.default_rng(seed)
@@ -126,8 +132,9 @@ def fit_router(vectors: np.ndarray, k: int, parts: int = PARTS, seed: int = 0, e
     target /= target.sum(1, keepdims=True)
     weights = [rng.normal(0, np.sqrt(2 / dim), (dim, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, np.sqrt(1 / HIDDEN), (HIDDEN, parts)), np.zeros(parts)]
     m, v, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
+    unseen = np.arange(n) % 4 == 0
     for epoch in range(epochs):
-        for rows in np.array_split(rng.permutation(n), max(1, n // 256)):
+        for rows in np.array_split(rng.permutation(np.flatnonzero(~unseen)), max(1, n // 256)):
             hidden = np.maximum(x[rows] @ weights[0] + weights[1], 0)
             out = hidden @ weights[2] + weights[3]
             p = np.exp(out - out.max(1, keepdims=True))
@@ -144,7 +151,7 @@ def fit_router(vectors: np.ndarray, k: int, parts: int = PARTS, seed: int = 0, e
     rank = np.empty_like(logits, dtype=np.int64)
     np.put_along_axis(rank, np.argsort(-logits, axis=1, kind="stable"), np.arange(parts)[None, :].repeat(n, 0), axis=1)
     near = neighbour_graph(x, min(k, n - 1))
-    found = np.sort(rank[np.arange(n)[:, None], home[near]].ravel())
+    found = np.sort(rank[np.arange(n)[:, None], home[near]][unseen].ravel())
     router.probes = int(found[min(len(found) - 1, int(np.ceil(AIM * len(found))) - 1)]) + 1
     return router
 
@@ -178,7 +185,7 @@ def nearest_in_block(q: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int) ->
     return np.concatenate(rows), np.concatenate(ids), np.concatenate(scores)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, parts: int = PARTS, sample: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 5, parts: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of vectors (vec_id, embedding) for the
     rows that is_query marks, by cosine, nearest first, ties to smaller ids.
 
@@ -201,7 +208,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, parts: int = PARTS,
     chosen = distinct.where((F.col("copy") == 1) & (place < min(1 << 30, int((1 << 30) * 1.1 * sample / firsts) + 1))).select("vec_id", "embedding").toArrow()
     chosen = chosen.sort_by("vec_id")
     chosen = chosen.take(pa.array(np.sort(np.random.default_rng(0).permutation(chosen.num_rows)[:sample])))
-    router = fit_router(_matrix(chosen["embedding"], dim), k, parts)
+    router = fit_router(_matrix(chosen["embedding"], dim), k, parts or max(LEAST_PARTS, 1 << (firsts // PART_ROWS).bit_length()))
     sent = spark.sparkContext.broadcast(router)
 
     def route(n: int):
@@ -225,11 +232,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, parts: int = PARTS,
     placed = stage(floats(distinct).mapInArrow(route(1), kind).select("vec_id", "embedding", F.col("parts")[0].alias("part")), "op2-placed")
     rows = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}
     blocks = F.create_map(*[F.lit(int(x)) for p in range(router.parts) for x in (p, max(1, -(-rows.get(p, 0) // BLOCK)))])
-    candidates = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks[F.col("part")]).cast("int"))
+    dealt = lambda sizes: F.pmod(F.xxhash64("vec_id"), sizes[F.col("part")]).cast("int")
+    every = lambda sizes: F.explode(F.sequence(F.lit(0), (sizes[F.col("part")] - 1).cast("int")))
     asking = stage(vectors.where("asks").select("vec_id", "embedding"), "op2-queries")
     ones = asking.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"))
-    routed = floats(ones).mapInArrow(route(router.probes), kind).select("vec_id", "embedding", F.explode("parts").alias("part"))
-    routed = routed.withColumn("block", F.explode(F.sequence(F.lit(0), (blocks[F.col("part")] - 1).cast("int"))))
+    routed = stage(floats(ones).mapInArrow(route(router.probes), kind).select("vec_id", "embedding", F.explode("parts").alias("part")), "op2-routed")
+    asked = {r["part"]: r["count"] for r in routed.groupBy("part").count().collect()}
+    query_blocks = F.create_map(*[F.lit(int(x)) for p in range(router.parts) for x in (p, max(1, -(-asked.get(p, 0) // QUERY_BLOCK)))])
+    candidates = placed.withColumn("block", dealt(blocks)).withColumn("queries", every(query_blocks))
+    routed = routed.withColumn("queries", dealt(query_blocks)).withColumn("block", every(blocks))
 
     def nearest(c: pa.Table, q: pa.Table) -> pa.Table:
         if not c.num_rows or not q.num_rows:
@@ -237,7 +248,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, parts: int = PARTS,
         row, ids, score = nearest_in_block(_matrix(q["embedding"], dim), _matrix(c["embedding"], dim), c["vec_id"].to_numpy(), k + 1)
         return pa.table({"one": q["vec_id"].to_numpy()[row], "vec_id": ids, "score": score})
 
-    both = ["part", "block"]
+    both = ["part", "block", "queries"]
     found = candidates.groupBy(*both).cogroup(routed.groupBy(*both)).applyInArrow(nearest, "one long, vec_id long, score double")
     found = found.groupBy("one", "vec_id").agg(F.max("score").alias("score"))
     top = found.withColumn("r", F.row_number().over(W.partitionBy("one").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1).drop("r")
