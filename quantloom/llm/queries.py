@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annsearch, jaccard, langid, licenses, lmscore, mixing, packing, quality, sharding, toxicity
+from . import annsearch, decontam, jaccard, langid, licenses, lmscore, mixing, packing, quality, sharding, toxicity
 from .tables import table
 
 
@@ -50,6 +50,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op13_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
+    return decontam.with_digest(decontam.find_contamination(docs, benchmark))
+
+
 def queries() -> dict:
     found = (
         op1_shard_best_fit,
@@ -62,6 +67,7 @@ def queries() -> dict:
         op8_lm_scores,
         op9_toxicity_scores,
         op10_language_id,
+        op13_benchmark_leaks,
     )
     return {f.__name__: f for f in found}
 
