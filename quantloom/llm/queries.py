@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annsearch, decontam, jaccard, langid, licenses, lmscore, mixing, packing, quality, sharding, toxicity
+from . import annsearch, decontam, infill, jaccard, langid, licenses, lmscore, mixing, packing, quality, sharding, toxicity, turntrie
 from .tables import table
 
 
@@ -50,6 +50,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turntrie.prefix_trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.with_digests(infill.fill_in_middle(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def op13_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
     return decontam.with_digest(decontam.find_contamination(docs, benchmark))
@@ -67,6 +75,8 @@ def queries() -> dict:
         op8_lm_scores,
         op9_toxicity_scores,
         op10_language_id,
+        op11_conversation_trie,
+        op12_fill_in_middle,
         op13_benchmark_leaks,
     )
     return {f.__name__: f for f in found}
