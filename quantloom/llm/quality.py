@@ -2,7 +2,8 @@
 
 One scan counts, for every normalised line and host (source), in how many different
 texts it stands. A line in more than ``LEAST_DOCS`` texts and in more than one of
-``HOST_PART`` of all texts of its host is boilerplate of that host. So a host has at most ``HOST_PART`` times
+``HOST_PART`` of all texts of its host is boilerplate of that host; in a host of few texts one of ``SMALL_PART``
+of them is enough, if these are more than ``FEWEST``. So a host has at most ``HOST_PART`` times
 as many such lines as a text has on average, whatever its size, and they fit beside each of its
 documents in the second scan, which removes them and rejects what is left with too few words.
 
@@ -21,6 +22,9 @@ from .staging import stage
 
 LEAST_DOCS = 10
 HOST_PART = 100
+#: hosts below LEAST_DOCS * SMALL_PART texts have a limit of their own
+SMALL_PART = 20
+FEWEST = 2
 LEAST_WORDS = 10
 #: percent of the words that must remain
 LEAST_LEFT = 30
@@ -52,11 +56,12 @@ def boilerplate(docs: DataFrame, least_docs: int = LEAST_DOCS, host_part: int =
         .distinct()
         .groupBy("source", "line")
         .agg(F.count("*").alias("n"))
-        .where(F.col("n") > least_docs)
+        .where(F.col("n") > min(least_docs, FEWEST))
     )
+    least = F.least(F.lit(least_docs), F.greatest(F.lit(FEWEST), F.expr(f"host_docs div {SMALL_PART}")))
     return (
         counts.join(hosts, F.col("source").eqNullSafe(F.col("host")))
-        .where(F.col("n") * host_part > F.col("host_docs"))
+        .where((F.col("n") > least) & (F.col("n") * host_part > F.col("host_docs")))
         .groupBy("source")
         .agg(F.max("host_docs").alias("host_docs"), F.collect_set("line").alias("common"))
     )
@@ -152,7 +157,7 @@ hosts AS (SELECT source, count(DISTINCT coalesce('x' || raw, '')) AS host_docs F
 counts AS (SELECT source, norm, count(DISTINCT raw) AS n FROM l GROUP BY source, norm),
 common AS (
   SELECT c.source, norm FROM counts c JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source
-  WHERE n > 10 AND n * 100 > host_docs),
+  WHERE n > least(10, greatest(2, host_docs // 20)) AND n * 100 > host_docs),
 lines AS (
   SELECT k, count(*) - count(DISTINCT line) AS n_dup_lines,
          sum(CASE WHEN EXISTS (SELECT 1 FROM common c WHERE c.source IS NOT DISTINCT FROM l.source AND c.norm = l.norm) THEN w ELSE 0 END) AS gone
