@@ -45,8 +45,11 @@ BIGRAM_WEIGHT = 0.2
 HELD = 4_000_000
 #: bytes of text in a slice that is scored at once; the larger, the fewer n-grams are asked for again
 SLICE_BYTES = 1 << 22
-#: bits that tell an n-gram from others of its segment
-LOW = 40
+#: bits that tell an n-gram from others of its segment, which has about a million of them
+LOW = 32
+#: questions for so many neighbouring segments travel together, once there are PARTS such parts
+PART_SEGMENTS = 64
+PARTS = 256
 ORDERS = (1, 2)
 END = U64(0x5851F42D4C957F2D)
 START = U64(0x14057B7EF767814F)
@@ -134,13 +137,16 @@ def low_of(h: np.ndarray, segments: int) -> np.ndarray:
 
 
 def pack(low: np.ndarray) -> bytes:
-    return low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : LOW // 8].tobytes()
+    return low.astype("<u4").tobytes()
 
 
 def unpack(packed: bytes) -> np.ndarray:
-    wide = np.zeros((len(packed) * 8 // LOW, 8), np.uint8)
-    wide[:, : LOW // 8] = np.frombuffer(packed, np.uint8).reshape(-1, LOW // 8)
-    return wide.reshape(-1).view("<u8").astype(U64)
+    return np.frombuffer(packed, "<u4").astype(U64)
+
+
+def segments_of_a_part(segments: int) -> int:
+    """A power of two, like ``segments``: a part's filters fit one task, and its questions of one slice are many at any size."""
+    return segments // min(segments, max(PARTS, segments // PART_SEGMENTS))
 
 
 def _by_segment(segments: int):
@@ -251,24 +257,40 @@ def _fill(order: int, bits_per_entry: int):
 FILLED = "segment int, n_words int, bits binary"
 
 
-def _answer(held: pa.Table, asked: pa.Table) -> pa.Table:
-    """Of a segment's filters and the questions for it: the levels that it holds of those asked for."""
-    kinds = {"row": pa.int64(), "segment": pa.int32(), "n_words": pa.int32(), "levels": pa.binary()}
-    if not asked.num_rows:
-        return pa.table({c: pa.array([], k) for c, k in kinds.items()})
-    bits = dict(zip(held["n_words"].to_pylist(), held["bits"].to_pylist(), strict=True))
-    own = {o: Filter([np.frombuffer(bits.get(o, b""), np.uint8)]) for o in ORDERS}
-    orders, packed = np.array(asked["n_words"].to_pylist()), asked["low"].to_pylist()
-    levels: list[bytes] = [b""] * len(packed)
-    for order in ORDERS:
-        rows = np.flatnonzero(orders == order).tolist()
-        # Slices ask for many of the same n-grams: each is looked up once.
-        low, place = np.unique(unpack(b"".join(packed[i] for i in rows)), return_inverse=True)
-        found = own[order].levels(key(low, order), np.zeros(len(low), np.int64)).astype(np.uint8)[place]
-        ends = np.cumsum([len(packed[i]) * 8 // LOW for i in rows]).tolist()
-        for i, a, b in zip(rows, [0, *ends[:-1]], ends, strict=True):
-            levels[i] = found[a:b].tobytes()
-    return pa.table({"row": asked["row"], "segment": asked["segment"], "n_words": asked["n_words"], "levels": pa.array(levels, pa.binary())})
+def _answer(span: int):
+    """Of a part's filters and the questions for it: the levels that they hold of those asked for."""
+
+    def answer(held: pa.Table, asked: pa.Table) -> pa.Table:
+        kinds = {"row": pa.int64(), "part": pa.int32(), "n_words": pa.int32(), "levels": pa.binary()}
+        if not asked.num_rows:
+            return pa.table({c: pa.array([], k) for c, k in kinds.items()})
+        keys = zip(held["n_words"].to_pylist(), held["segment"].to_pylist(), strict=True)
+        bits = {(o, g % span): x for (o, g), x in zip(keys, held["bits"].to_pylist(), strict=True)}
+        orders, packed, sizes = np.array(asked["n_words"].to_pylist()), asked["low"].to_pylist(), asked["sizes"].to_pylist()
+        levels: list[bytes] = [b""] * len(packed)
+        for order in ORDERS:
+            own = Filter([np.frombuffer(bits.get((order, g), b""), np.uint8) for g in range(span)])
+            rows = np.flatnonzero(orders == order).tolist()
+            low = unpack(b"".join(packed[i] for i in rows))
+            segment = np.concatenate([np.repeat(np.arange(span), _read_sizes(sizes[i], span)) for i in rows] or [np.zeros(0, np.int64)])
+            # Slices ask for many of the same n-grams: each is looked up once.
+            once, place = np.unique((segment.astype(U64) << U64(LOW)) | low, return_inverse=True)
+            found = own.levels(key(once & U64((1 << LOW) - 1), order), (once >> U64(LOW)).astype(np.int64)).astype(np.uint8)[place]
+            ends = np.cumsum([len(packed[i]) * 8 // LOW for i in rows]).tolist()
+            for i, a, b in zip(rows, [0, *ends[:-1]], ends, strict=True):
+                levels[i] = found[a:b].tobytes()
+        return pa.table({"row": asked["row"], "part": asked["part"], "n_words": asked["n_words"], "levels": pa.array(levels, pa.binary())})
+
+    return answer
+
+
+def _sizes(n: np.ndarray) -> bytes:
+    """Mostly small numbers, a byte each where all fit."""
+    return n.astype("<u1" if n.max(initial=0) < 256 else "<u4").tobytes()
+
+
+def _read_sizes(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(packed, "<u1" if len(packed) == n else "<u4").astype(np.int64)
 
 
 def _small(x: np.ndarray) -> bytes:
@@ -302,20 +324,22 @@ def _questions(token: np.ndarray, of_text: np.ndarray) -> Iterator[tuple[int, np
 
 
 def _ask(segments: int):
-    """Rows (row, segment, n_words, low): what each slice asks each segment."""
+    """Rows (row, part, n_words, sizes, low): what each slice asks each part, and how much of it each of its segments."""
+    span = segments_of_a_part(segments)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, *columns in zip(*(batch.column(c) for c in ("row", "words", "word_at", "sizes")), strict=True):
                 rows = []
                 for order, h, _ in _questions(*_read_tokens(*(x.as_py() for x in columns))):
-                    used, first = np.unique(segment_of(h, segments), return_index=True)
+                    n = np.bincount(segment_of(h, segments), minlength=segments).reshape(-1, span)
+                    ends = np.cumsum(n.sum(axis=1))
                     low = low_of(h, segments)
-                    rows += [(g, order, pack(low[a:b])) for g, a, b in zip(used.tolist(), first.tolist(), [*first[1:].tolist(), len(h)], strict=True)]
-                segment, order, low = zip(*rows, strict=True)
+                    rows += [(part, order, _sizes(n[part]), pack(low[ends[part] - n[part].sum() : ends[part]])) for part in np.flatnonzero(n.any(axis=1)).tolist()]
+                part, order, sizes, low = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row.as_py()] * len(rows), pa.int64()), pa.array(segment, pa.int32()), pa.array(order, pa.int32()), pa.array(low, pa.binary())],
-                    names=["row", "segment", "n_words", "low"],
+                    [pa.array([row.as_py()] * len(rows), pa.int64()), pa.array(part, pa.int32()), pa.array(order, pa.int32()), pa.array(sizes, pa.binary()), pa.array(low, pa.binary())],
+                    names=["row", "part", "n_words", "sizes", "low"],
                 )
 
     return run
@@ -325,7 +349,7 @@ def _put_together(denominator: float):
     """The scores of a slice's texts from the answers for it."""
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        answers = answers.sort_by([("n_words", "ascending"), ("segment", "ascending")])
+        answers = answers.sort_by([("n_words", "ascending"), ("part", "ascending")])
         orders, levels = answers["n_words"].to_pylist(), answers["levels"].to_pylist()
         token, of_text = _read_tokens(*(texts[c][0].as_py() for c in ("words", "word_at", "sizes")))
         counts = []
@@ -473,8 +497,10 @@ def score_documents(docs: DataFrame, bits: int = FILTER_BITS, frequent: int = FR
     scored = stage(docs.mapInArrow(score, f"{SCORED}, {SLICE}" if by_segment else SCORED), "op8-scored")
     if by_segment:
         texts = scored.where("sizes is not null").select("row", "words", "word_at", "sizes")
-        asked = texts.mapInArrow(_ask(model.segments), "row long, segment int, n_words int, low binary")
-        answers = filled.groupBy("segment").cogroup(asked.groupBy("segment")).applyInArrow(_answer, "row long, segment int, n_words int, levels binary")
+        span = segments_of_a_part(model.segments)
+        asked = texts.mapInArrow(_ask(model.segments), "row long, part int, n_words int, sizes binary, low binary")
+        held = filled.withColumn("part", F.expr(f"segment div {span}").cast("int"))
+        answers = held.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_answer(span), "row long, part int, n_words int, levels binary")
         scores = stage(texts.groupBy("row").cogroup(answers.groupBy("row")).applyInArrow(_put_together(model.denominator), "row long, score double"), "op8-scores")
         scored = scored.drop("score", "words", "word_at", "sizes").join(scores, "row", "left")
     discard(filled)

@@ -285,6 +285,17 @@ def test_lines_on_the_given_tables():
     assert 0 < rejected < 100
 
 
+def test_lines_of_small_hosts(spark):
+    """Three of at most sixty texts make a line common, two don't; the tables on which results are compared have such hosts."""
+    body = lambda i: " ".join(f"{k}{i}" for k in "abcdefghijkl")
+    rows = [(i, (f"subscribe here\n{body(i)}" if i < 3 else f"seldom said\n{body(i)}" if i < 5 else body(i)), "s") for i in range(59)]
+    got = {r.doc_id: r.kept_text for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {i: body(i) if i < 3 else t for i, t, _ in rows}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = quality.quality(docs).selectExpr("count_if(text <> kept_text) AS changed", "count_if(NOT kept AND NOT base_failed) AS gone").first()
+    assert found.changed > 100 and 0 < found.gone < 20
+
+
 def test_common_lines_on_the_given_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     found = quality.boilerplate(docs.select("source", "text")).collect()
@@ -410,7 +421,9 @@ def test_every_ngram_counts(spark, rows, monkeypatch):
     texts = [(r[0], r[1]) for r in rows]
     df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3).cache()
     want = brute.lm_scores(texts, lambda n: float(lmscore.value(lmscore.level(np.array([n])))[0]) if n else 0.0)
-    for bits in (1 << 27, 1 << 10):  # sent to the workers, and asked by segment
+    # Sent to the workers, asked by segment, and asked by parts of eight segments.
+    for bits, parts in ((1 << 27, lmscore.PARTS), (1 << 10, lmscore.PARTS), (1 << 10, 8)):
+        monkeypatch.setattr(lmscore, "PARTS", parts)
         got = lmscore.score_documents(df, bits=bits, frequent=64).collect()
         assert len(got) == len(rows)
         for r in got:
@@ -420,6 +433,7 @@ def test_every_ngram_counts(spark, rows, monkeypatch):
 def test_no_filter_is_overfull(spark, monkeypatch):
     for n in (0, 10, 1 << 26, (1 << 26) + 1, 10**12):
         assert n / lmscore.SEGMENT_TOKENS <= lmscore.segments_for(n) <= max(lmscore.LEAST_SEGMENTS, 2 * n / lmscore.SEGMENT_TOKENS)
+    assert [lmscore.segments_of_a_part(1 << n) for n in (6, 8, 10, 13, 14, 18, 22)] == [1, 1, 4, 32, 64, 64, 64]
     monkeypatch.setattr(lmscore, "SEGMENT_TOKENS", 100)
     rng = np.random.default_rng(1)
     rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 4000, 60))) for i in range(300)]
