@@ -50,6 +50,8 @@ LOW = 32
 #: questions for so many neighbouring segments travel together, once there are PARTS such parts
 PART_SEGMENTS = 64
 PARTS = 256
+#: bits that tell a word from others in the model
+WORD = 40
 ORDERS = (1, 2)
 END = U64(0x5851F42D4C957F2D)
 START = U64(0x14057B7EF767814F)
@@ -65,8 +67,14 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, np.repeat(np.arange(n), w.counts + 1)
 
 
+def unigrams(token: np.ndarray) -> np.ndarray:
+    """The model's hash of each token, from the bits of it that the model knows."""
+    return mix(token & U64((1 << WORD) - 1))
+
+
 def bigrams(token: np.ndarray, of_text: np.ndarray) -> np.ndarray:
     """Hash of each token with the one before; START precedes a text."""
+    token = token & U64((1 << WORD) - 1)
     before = np.empty_like(token)
     before[1:] = token[:-1]
     first = np.flatnonzero(np.diff(of_text, prepend=-1))
@@ -177,8 +185,7 @@ def _words_by_segment(segments: int):
 
         def cut() -> Iterator[pa.RecordBatch]:
             h, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(h)
-            yield from passed(h[order], n[order])
+            yield from passed(*_merged([unigrams(h)], [n]))
 
         for batch in batches:
             held.append((batch.column("h").to_numpy().view(U64), batch.column("n").to_numpy()))
@@ -303,23 +310,34 @@ def _read_small(packed: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, n).T).reshape(-1).view("<u4").astype(np.int64)
 
 
+def _narrow(token: np.ndarray) -> bytes:
+    """The bits of each token that the model knows, side by side."""
+    return np.ascontiguousarray(token.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : WORD // 8]).tobytes()
+
+
+def _wide(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) * 8 // WORD, 8), np.uint8)
+    out[:, : WORD // 8] = np.frombuffer(packed, np.uint8).reshape(-1, WORD // 8)
+    return out.reshape(-1).view("<u8").astype(U64)
+
+
 def _token_columns(token: np.ndarray, sizes: np.ndarray) -> dict[str, bytes]:
     """The tokens of a slice: its distinct words, frequent ones first, the place of each token among them, and the texts' sizes."""
     words, place, count = np.unique(token, return_inverse=True, return_counts=True)
     order = np.argsort(-count, kind="stable")
     rank = np.empty(len(words), np.int64)
     rank[order] = np.arange(len(words))
-    return {"words": words[order].tobytes(), "word_at": _small(rank[place]), "sizes": sizes.astype("<u4").tobytes()}
+    return {"words": _narrow(words[order]), "word_at": _small(rank[place]), "sizes": sizes.astype("<u4").tobytes()}
 
 
 def _read_tokens(words: bytes, word_at: bytes, sizes: bytes) -> tuple[np.ndarray, np.ndarray]:
-    h, n = np.frombuffer(words, "<u8").astype(U64), np.frombuffer(sizes, "<u4")
+    h, n = _wide(words), np.frombuffer(sizes, "<u4")
     return h[_read_small(word_at, int(n.sum()))], np.repeat(np.arange(len(n)), n)
 
 
 def _questions(token: np.ndarray, of_text: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Of each order: its distinct n-grams, which come by segment, and the place of each token's among them."""
-    for order, grams in zip(ORDERS, (token, bigrams(token, of_text)), strict=True):
+    for order, grams in zip(ORDERS, (unigrams(token), bigrams(token, of_text)), strict=True):
         yield order, *np.unique(grams, return_inverse=True)
 
 

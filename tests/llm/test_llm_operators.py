@@ -410,7 +410,7 @@ def test_filter_holds_levels():
 def test_own_probabilities_sum_to_one(spark):
     rows = [(i, " ".join(f"w{x}" for x in np.random.default_rng(i).zipf(1.3, 80) % 500)) for i in range(50)]
     model, words, _ = lmscore.fit(spark.createDataFrame(rows, "i long, text string"))
-    h = words.toPandas().h.to_numpy().view(np.uint64)
+    h = lmscore.unigrams(words.toPandas().h.to_numpy().view(np.uint64))
     levels = model.filters[1].levels(lmscore.key(lmscore.low_of(h, model.segments), 1), lmscore.segment_of(h, model.segments))
     total = ((lmscore.value(levels) + 0.5) / model.denominator).sum() + 0.5 / model.denominator
     assert total == pytest.approx(1, abs=0.03)  # above 1 only by what the filter finds falsely
