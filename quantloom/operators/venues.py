@@ -1,8 +1,8 @@
 """Pairs of venues: price gaps net of fees and slippage, quality flags, labels and scores.
 
-A snapshot is what one venue shows of a symbol at ``as_of``: (symbol, venue, as_of, ticker_ts, book_ts, funding_ts, bid, ask,
-last, bid_depth, ask_depth, funding, taker_fee, maker_fee, context_ts, rsi, macd_hist, atr_pct, volatility, adx, zscore); all but the
-first three may be null. Snapshots meet by an equi-join on symbol and time, so a pair costs one row.
+align() puts a venue's book, fees, funding and the symbol's indicators beside each of its tickers. compare_venues()
+takes what venues show of a symbol at ``as_of``: (symbol, venue, as_of) and any of OPTIONAL; what is not there counts as null.
+Snapshots meet by an equi-join on symbol and time, so a pair costs one row.
 """
 
 from __future__ import annotations
@@ -13,6 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .temporal import as_of as nearest_row
+from .temporal import latest
+
+_NUMBERS = """bid ask last mid spread_bps book_bid book_ask book_mid book_spread_bps bid_depth ask_depth depth_imbalance quote_volume funding mark index taker_fee maker_fee
+rsi macd_hist atr_pct volatility adx zscore""".split()
+OPTIONAL = {**dict.fromkeys(_NUMBERS, "double"), **dict.fromkeys(("ticker_ts", "book_ts", "funding_ts", "context_ts"), "timestamp_ntz")}
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -58,7 +65,8 @@ def within(x: Column, low: float, high: float) -> Column:
 
 
 def seconds(later: Column, earlier: Column) -> Column:
-    return F.timestamp_diff("SECOND", earlier, later)
+    """With its fraction: half a second past a limit is past it."""
+    return F.timestamp_diff("MICROSECOND", earlier, later) / 1e6
 
 
 def flags(limits: Limits) -> Column:
@@ -94,7 +102,8 @@ def flags(limits: Limits) -> Column:
 
 
 def slippage(sell: Column, buy: Column, spread: Column, limits: Limits) -> tuple[Column, Column]:
-    """Expected slippage of the wanted notional through two books, and how often the thinner one holds it."""
+    """Expected slippage of the wanted notional through two books, and how often the thinner one holds it. A book that is not
+    there holds nothing; without both there is no estimate."""
     multiple = F.least(sell, buy) / limits.notional
     pressure = lambda depth: F.greatest(limits.notional / F.greatest(F.coalesce(depth, F.lit(0.0)), F.lit(1e-9)) - 1, F.lit(0.0)) * 10
     short = F.when(multiple < limits.buffer, (limits.buffer - multiple) / max(limits.buffer, 0.1) * 8).otherwise(0.0)
@@ -122,89 +131,124 @@ def funding_regime(limits: Limits) -> Column:
     )
 
 
+def align(tickers: DataFrame, books: DataFrame, funding: DataFrame, fees: DataFrame, context: DataFrame, limits: Limits = Limits(), tiebreak: str = "id") -> DataFrame:  # noqa: B008
+    """Each ticker (symbol, venue, ts, tiebreak, others) with the book (ts, others) and the funding (ts, others) of its venue that are nearest in time, within
+    ``window`` and ``funding_window``, the venue's newest fees (updated_at, others), and the symbol's last context (ts, others) that is not
+    later and no older than ``context_age``. Their times become ticker_ts, book_ts, funding_ts and context_ts; gaps are in milliseconds."""
+    out = tickers.where("symbol IS NOT NULL AND venue IS NOT NULL AND ts IS NOT NULL")
+
+    def beside(out: DataFrame, rows: DataFrame, name: str, keys: list[str], direction: str, most: float) -> DataFrame:
+        there = rows.where(" AND ".join(f"{c} IS NOT NULL" for c in (*keys, "ts"))).withColumn(f"{name}_ts", F.col("ts"))
+        values = [c for c in there.columns if c not in (*keys, "ts", tiebreak)]
+        found = nearest_row(out, there, keys, "ts", values, tiebreak=tiebreak, direction=direction, tolerance=most)
+        return found.withColumn(f"{name}_gap_ms", F.abs("gap_seconds") * 1000).drop("gap_seconds")
+
+    out = beside(out, books, "book", ["symbol", "venue"], "nearest", limits.window)
+    out = beside(out, funding, "funding", ["symbol", "venue"], "nearest", limits.funding_window)
+    newest = latest(fees, ["symbol", "venue"], "updated_at", tiebreak).drop("updated_at", tiebreak)
+    out = out.join(newest, ["symbol", "venue"], "left")
+    return beside(out, context, "context", ["symbol"], "backward", limits.context_age).withColumnRenamed("ts", "ticker_ts")
+
+
+def _side(snapshots: DataFrame, limits: Limits) -> DataFrame:
+    """A snapshot with what follows from it alone."""
+    missing = {c: F.lit(None).cast(kind) for c, kind in OPTIONAL.items() if c not in snapshots.columns}
+    s = snapshots.withColumns(missing) if missing else snapshots
+    s = s.withColumns({"bid": F.coalesce("bid", "book_bid"), "ask": F.coalesce("ask", "book_ask")})
+    own = (F.col("bid") + F.col("ask")) / 2
+    s = s.withColumns({
+        "mid": F.coalesce("mid", "book_mid", own), "spread_bps": F.coalesce(F.col("spread_bps"), F.col("book_spread_bps"), bps(F.col("ask") - F.col("bid"), own)),
+        "fee": F.coalesce("taker_fee", "maker_fee", F.lit(limits.fee)),
+        "fee_source": F.when(F.col("taker_fee").isNotNull(), "taker_fee").when(F.col("maker_fee").isNotNull(), "maker_fee_fallback").otherwise("config_default"),
+        "depth": F.when(F.col("bid_depth").isNotNull() | F.col("ask_depth").isNotNull(), F.coalesce("bid_depth", F.lit(0.0)) + F.coalesce("ask_depth", F.lit(0.0))),
+    })
+    return s.withColumns({"buy_at": F.coalesce("ask", "mid", "last"), "sell_at": F.coalesce("bid", "mid", "last")})
+
+
+_CONTEXT = ("context_ts", "rsi", "macd_hist", "atr_pct", "volatility", "adx", "zscore")
+
+
+def _pairs(snapshots: DataFrame, limits: Limits) -> DataFrame:
+    """Differences, gaps, spreads and flags of each pair."""
+    once = _side(snapshots, limits).dropDuplicates(["symbol", "as_of", "venue"])
+    names = [c for c in once.columns if c not in ("symbol", "as_of")]
+    a, b = (once.select("symbol", "as_of", *(F.col(c).alias(f"{c}_{x}") for c in names)) for x in "ab")
+    p = a.join(b, ["symbol", "as_of"]).where("venue_a < venue_b")
+    p = p.withColumns({c: F.coalesce(f"{c}_a", f"{c}_b") for c in _CONTEXT}).withColumn("context_age", seconds(F.col("as_of"), F.col("context_ts")))
+    both = lambda c: (F.col(f"{c}_a"), F.col(f"{c}_b"))
+    diff = lambda c: both(c)[0] - both(c)[1]
+    relative = lambda c: bps(diff(c), mean(*both(c)))
+    ratio = lambda c: F.when(both(c)[1] != 0, both(c)[0] / both(c)[1])
+    gap = lambda c: F.abs(seconds(*both(c))) * 1000
+    base = mean(*both("mid"), *both("last"))
+    cheaper = F.col("buy_at_b").isNull() | (F.col("buy_at_a") <= F.col("buy_at_b"))
+    dearer = F.col("sell_at_b").isNull() | (F.col("sell_at_a") >= F.col("sell_at_b"))
+    best = lambda first, price: F.when(F.coalesce(*both(price)).isNotNull(), F.when(F.coalesce(first, F.lit(False)), F.col("venue_a")).otherwise(F.col("venue_b")))
+    return p.withColumns({
+        "base": base, "last_diff_abs": diff("last"), "last_diff_bps": relative("last"), "mid_diff_abs": diff("mid"), "mid_diff_bps": relative("mid"), "bid_diff_bps": relative("bid"), "ask_diff_bps": relative("ask"),
+        "funding_diff_abs": diff("funding"), "funding_diff_bps": diff("funding") * 10_000, "mark_diff_bps": relative("mark"), "index_diff_bps": relative("index"),
+        "fee_bps": (F.col("fee_a") + F.col("fee_b")) * 10_000, "quote_volume_ratio": ratio("quote_volume"), "bid_depth_ratio": ratio("bid_depth"), "ask_depth_ratio": ratio("ask_depth"), "total_depth_ratio": ratio("depth"),
+        "spread_bps_gap": diff("spread_bps"), "depth_imbalance_gap": diff("depth_imbalance"), "ticker_gap_ms": gap("ticker_ts"), "funding_gap_ms": gap("funding_ts"),
+        "best_buy": best(cheaper, "buy_at"), "best_sell": best(dearer, "sell_at"), "flags": flags(limits), "spread": mean(*both("spread_bps")),
+    }).withColumns({"gross_ab": bps(F.col("bid_a") - F.col("ask_b"), F.col("base")), "gross_ba": bps(F.col("bid_b") - F.col("ask_a"), F.col("base"))})
+
+
 def compare_venues(snapshots: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """One row for each symbol, time and unordered pair of venues a < b; of a venue's repeated snapshots any one counts. Without
     two venues a symbol has no row."""
-    names = [c for c in snapshots.columns if c not in ("symbol", "as_of")]
-    once = snapshots.dropDuplicates(["symbol", "as_of", "venue"])
-    a, b = (once.select("symbol", "as_of", *(F.col(c).alias(f"{c}_{x}") for c in names)) for x in "ab")
-    p = a.join(b, ["symbol", "as_of"]).where("venue_a < venue_b")
-    for x in "ab":
-        bid, ask = F.col(f"bid_{x}"), F.col(f"ask_{x}")
-        p = p.withColumn(f"mid_{x}", (bid + ask) / 2).withColumn(f"spread_{x}", F.when(F.col(f"mid_{x}") > 0, (ask - bid) / F.col(f"mid_{x}") * 10_000))
-        p = p.withColumn(f"fee_{x}", F.coalesce(f"taker_fee_{x}", f"maker_fee_{x}", F.lit(limits.fee)))
-    shared = ("context_ts", "rsi", "macd_hist", "atr_pct", "volatility", "adx", "zscore")
-    p = p.withColumns({c: F.coalesce(f"{c}_a", f"{c}_b") for c in shared}).withColumn("context_age", seconds(F.col("as_of"), F.col("context_ts")))
-    base = mean(*(F.col(c) for c in ("mid_a", "mid_b", "last_a", "last_b")))
-    p = p.withColumns({
-        "mid_diff_bps": bps(F.col("mid_a") - F.col("mid_b"), mean(F.col("mid_a"), F.col("mid_b"))), "funding_diff_bps": (F.col("funding_a") - F.col("funding_b")) * 10_000,
-        "gross_ab": bps(F.col("bid_a") - F.col("ask_b"), base), "gross_ba": bps(F.col("bid_b") - F.col("ask_a"), base), "fee_bps": (F.col("fee_a") + F.col("fee_b")) * 10_000, "flags": flags(limits),
-    })
-    spread = mean(F.col("spread_a"), F.col("spread_b"))
+    p = _pairs(snapshots, limits)
     for x, y in ("ab", "ba"):
-        cost, multiple = slippage(F.col(f"bid_depth_{x}"), F.col(f"ask_depth_{y}"), spread, limits)
-        both = F.col(f"bid_depth_{x}").isNotNull() & F.col(f"ask_depth_{y}").isNotNull()
-        p = p.withColumns({f"slip_{x}{y}": F.when(both, cost), f"multiple_{x}{y}": F.when(both, multiple)})
+        cost, multiple = slippage(F.col(f"bid_depth_{x}"), F.col(f"ask_depth_{y}"), F.col("spread"), limits)
+        p = p.withColumns({f"slip_{x}{y}": cost, f"multiple_{x}{y}": multiple})
         p = p.withColumn(f"net_{x}{y}", F.col(f"gross_{x}{y}") - F.col("fee_bps") - F.coalesce(f"slip_{x}{y}", F.lit(0.0)))
     ab, ba = F.col("net_ab"), F.col("net_ba")
-    first = ab.isNotNull() & (ba.isNull() | (ab >= ba))
+    p = p.withColumn("first", F.coalesce(ab.isNotNull() & (ba.isNull() | (ab >= ba)), F.lit(False)))
+    first = F.col("first")
     pick = lambda c: F.when(first, F.col(f"{c}_ab")).when(ba.isNotNull(), F.col(f"{c}_ba"))
     sells = lambda x, y: F.concat(F.lit("sell_"), F.col(f"venue_{x}"), F.lit("_buy_"), F.col(f"venue_{y}"))
     p = p.withColumns({
         "net": F.greatest(ab, ba), "gross": F.greatest("gross_ab", "gross_ba"), "slip": pick("slip"), "multiple": pick("multiple"),
-        "opportunity": F.when(first & (ab > 0), sells("a", "b")).when(~F.coalesce(first, F.lit(False)) & (ba > 0), sells("b", "a")).otherwise("none"),
-        "blocked": F.exists("flags", lambda f: F.lit(False) if not _BLOCKING else sum((f.startswith(x).cast("int") for x in _BLOCKING), F.lit(0)) > 0),
+        "opportunity": F.when(first & (ab > 0), sells("a", "b")).when(~first & (ba > 0), sells("b", "a")).otherwise("none"),
+        "blocked": F.exists("flags", lambda f: f.rlike(f"^({'|'.join(_BLOCKING)})")), "gap": F.coalesce(F.abs("mid_diff_bps"), F.lit(0.0)),
     })
     yes = lambda c: F.coalesce(c, F.lit(False))
     actionable = yes((F.col("opportunity") != "none") & (F.col("net") >= limits.least_net) & (F.col("multiple") >= limits.buffer) & (F.col("slip") <= limits.slippage) & ~F.col("blocked"))
     p = p.withColumn("actionable", actionable)
-    gap = F.coalesce(F.abs("mid_diff_bps"), F.lit(0.0))
-    thin = (F.col("gross") > 0) & yes(F.coalesce(F.col("multiple") < limits.buffer, F.lit(True)))
+    thin = (F.col("gross") > 0) & (F.coalesce("multiple", F.lit(0.0)) < limits.buffer)
+    gap, count, net, multiple = F.col("gap"), F.size("flags"), F.col("net"), F.col("multiple")
     label = (
         F.when(F.col("blocked"), "data_quality_warning").when(F.col("actionable"), "tradable_spread").when(yes(thin), "liquidity_warning").when(gap >= limits.divergence, "price_divergence")
-        .when(yes((F.col("net") > 0) & (F.col("multiple") >= limits.thin)), "price_divergence").otherwise("normal")
+        .when(yes((net > 0) & (multiple >= limits.thin)), "price_divergence").otherwise("normal")
     )
     p = p.withColumn("label", label)
-    count = F.size("flags")
     strength = (
         F.when(F.col("label") == "tradable_spread", within(55 + F.greatest("net", F.lit(0.0)) / max(limits.least_net, 0.5) * 8, 55, 100))
         .when(F.col("label") == "liquidity_warning", within(35 + 1.2 * F.greatest(F.coalesce("gross", F.lit(0.0)), F.lit(0.0)), 35, 95))
         .when(F.col("label") == "price_divergence", within(gap / max(limits.divergence, 1.0) * 60, 20, 100)).when(F.col("label") == "data_quality_warning", within(20.0 + count * 12, 20, 100)).otherwise(within(gap, 0, 25))
     )
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
     anomaly = F.least(gap / max(limits.anomaly, 1.0) * 55, F.lit(55.0)) + F.least(count * 6.0, F.lit(30.0)) + F.when(yes(F.col("context_age") > limits.context_age), 5.0).otherwise(0.0)
     if limits.funding:
-        anomaly += zero(F.least(F.abs("funding_diff_bps") / max(limits.funding_divergence, 1.0) * 20, F.lit(20.0)) + 0 * F.col("funding_diff_bps"))
-    anomaly += F.when(yes(F.col("multiple") < 1), F.least((1 - F.col("multiple")) * 15, F.lit(15.0))).otherwise(0.0)
-    profit = F.when(F.col("net").isNotNull(), within((F.col("net") + limits.least_net) / max(8 * limits.least_net, 1.0), 0, 1)).otherwise(0.0)
-    liquidity = F.when(F.col("multiple").isNotNull(), within(F.col("multiple") / max(limits.buffer, 0.1), 0, 1)).otherwise(0.0)
-    preference = 100 * (0.4 * profit + 0.3 * liquidity + 0.15 * (1 - within(zero(spread) / 20, 0, 1)) + F.when(F.col("blocked"), 0.0).otherwise(0.15))
+        far = F.abs("funding_diff_bps") / max(limits.funding_divergence, 1.0) * 20
+        anomaly += F.when(far.isNotNull(), F.least(far, F.lit(20.0))).otherwise(0.0)
+    anomaly += F.when(yes(multiple < 1), F.least((1 - multiple) * 15, F.lit(15.0))).otherwise(0.0)
+    profit = F.when(net.isNotNull(), within((net + limits.least_net) / max(8 * limits.least_net, 1.0), 0, 1)).otherwise(0.0)
+    liquidity = F.when(multiple.isNotNull(), within(multiple / max(limits.buffer, 0.1), 0, 1)).otherwise(0.0)
+    preference = 100 * (0.4 * profit + 0.3 * liquidity + 0.15 * (1 - within(F.coalesce("spread", F.lit(0.0)) / 20, 0, 1)) + F.when(F.col("blocked"), 0.0).otherwise(0.15))
     fresh = [yes(F.col("context_age") <= limits.context_age)] * limits.context + [yes(seconds(F.col("as_of"), F.col(f"funding_ts_{x}")) <= limits.funding_age) for x in "ab" if limits.funding]
-    complete = sum((f.cast("double") for f in fresh), F.lit(0.0)) / len(fresh) * 100 if fresh else F.lit(100.0)
+    complete = F.round(sum((f.cast("double") for f in fresh), F.lit(0.0)) / len(fresh) * 100, 4) if fresh else F.lit(100.0)
     return p.select(
-        "symbol", "as_of", F.col("venue_a").alias("a"), F.col("venue_b").alias("b"), F.array_join("flags", ",").alias("flags"), "mid_diff_bps", "net_ab", "net_ba", "multiple", "opportunity", "actionable", "label", strength.alias("strength"),
+        "symbol", "as_of", F.col("venue_a").alias("a"), F.col("venue_b").alias("b"), F.coalesce(F.greatest("ticker_ts_a", "ticker_ts_b"), "as_of").alias("compared_at"),
+        F.when(count > 0, F.array_join("flags", "|")).otherwise("ok").alias("flags"), "last_diff_abs", "last_diff_bps", "mid_diff_abs", "mid_diff_bps", "bid_diff_bps", "ask_diff_bps", "funding_diff_abs", "funding_diff_bps",
+        "mark_diff_bps", "index_diff_bps", "gross_ab", "gross_ba", "fee_bps", "fee_source_a", "fee_source_b", "slip_ab", "slip_ba", "slip", "net_ab", "net_ba", "net", "multiple", "quote_volume_ratio", "bid_depth_ratio",
+        "ask_depth_ratio", "total_depth_ratio", "spread_bps_gap", "depth_imbalance_gap", "ticker_gap_ms", "funding_gap_ms", "context_age", "best_buy", "best_sell", "opportunity", "actionable", "label", strength.alias("strength"),
         within(anomaly, 0, 100).alias("anomaly"), within(preference, 0, 100).alias("preference"), complete.alias("completeness"), market_regime(limits).alias("market_regime"), funding_regime(limits).alias("funding_regime"),
     )
 
 
-def freshness(rows: DataFrame, sources: dict[str, str], time: str, ages: dict[str, int]) -> DataFrame:
-    """rows with what enrichment says of its sources: each name in ``sources`` gives the time at which that source was seen, null if never. A
-    source is fresh, stale (older than its age) or missing; ``quality`` is 'ok', 'partial', 'stale_only' or 'missing' and fresh_ratio
-    the share that is fresh."""
-    state = {
-        s: F.when(F.col(c).isNull(), "missing").when(seconds(F.col(time), F.col(c)) > ages[s], "stale").otherwise("fresh") for s, c in sources.items()
-    }
-    out = rows.withColumns({f"{s}_state": x for s, x in state.items()})
-    states = F.array(*(F.col(f"{s}_state") for s in sources))
-    fresh, stale = F.size(F.filter(states, lambda x: x == "fresh")), F.size(F.filter(states, lambda x: x == "stale"))
-    quality = F.when(fresh == len(sources), "ok").when(fresh > 0, "partial").when(stale > 0, "stale_only").otherwise("missing")
-    return out.withColumns({"quality": quality, "fresh_ratio": fresh / len(sources)})
-
-
 def range_bps(rows: DataFrame, keys: list[str], price: str) -> DataFrame:
-    """(keys, range_bps): how far a price's largest and smallest value are apart, over their mean; null for one value."""
-    low, high, n = F.min(price), F.max(price), F.count(price)
-    return rows.groupBy(*keys).agg(F.when((n > 1) & (F.avg(price) != 0), (high - low) / F.avg(price) * 10_000).alias("range_bps"))
+    """(keys, range_bps): how far a price's largest and smallest value are apart, over their mean; 0 for one value, null for none and
+    for a mean of 0."""
+    return rows.groupBy(*keys).agg(bps(F.max(price) - F.min(price), F.avg(price)).alias("range_bps"))
 
 
 def newest_by_priority(rows: DataFrame, keys: list[str], priority: Column, order: str) -> DataFrame:

@@ -16,33 +16,50 @@ SNAPSHOTS = f"""(WITH t AS (SELECT symbol, venue, date_trunc('hour', ts)::TIMEST
    sum(CASE side WHEN 'buy' THEN amount ELSE -amount END) AS net FROM ({TRADES_SQL}) q GROUP BY ALL),
  c AS (SELECT symbol, open_time, close, high, low, close - lag(close) OVER (PARTITION BY symbol ORDER BY open_time) AS step FROM ({BARS_SQL}) q)
  SELECT t.symbol, venue, hour + INTERVAL 1 HOUR AS as_of, seen AS ticker_ts, CASE WHEN n > 1 THEN seen END AS book_ts, CASE WHEN amount > 40 THEN seen END AS funding_ts, t.close * 0.999 AS bid, CASE WHEN amount < 190 THEN t.close * 1.001 END AS ask, t.close AS last,
-  CASE WHEN n > 1 THEN amount * t.close END AS bid_depth, CASE WHEN n > 1 THEN amount * t.close * 0.8 END AS ask_depth, CASE WHEN amount > 40 THEN net / amount / 1000 END AS funding, CASE WHEN venue = 'v0' THEN 0.0005 END AS taker_fee, CASE WHEN venue < 'v2' THEN 0.0008 END AS maker_fee,
+  CASE WHEN n > 1 THEN amount * t.close END AS bid_depth, CASE WHEN n > 1 AND amount < 120 THEN amount * t.close * 0.8 END AS ask_depth, CASE WHEN amount > 60 THEN t.close * (1 + net / amount / 500) END AS mark, amount * t.close * 24 AS quote_volume, CASE WHEN amount > 40 THEN net / amount / 1000 END AS funding, CASE WHEN venue = 'v0' THEN 0.0005 END AS taker_fee, CASE WHEN venue < 'v2' THEN 0.0008 END AS maker_fee,
   c.open_time AS context_ts, 50 + 50 * step / (high + low) AS rsi, step AS macd_hist, (high - low) / c.close * 100 AS atr_pct, (high - low) / (high + low) / 20 AS volatility, abs(step) / (high + low) * 100 AS adx, step / (high - low + 1) AS zscore
  FROM t LEFT JOIN c ON c.symbol = t.symbol AND c.open_time = t.hour)"""
 
-COMPARED = f"""WITH s AS {SNAPSHOTS}, p AS (SELECT x.symbol, x.as_of, x.venue AS a, y.venue AS b, x.ticker_ts AS ta, y.ticker_ts AS tb, x.book_ts AS oa, y.book_ts AS ob, x.funding_ts AS fa, y.funding_ts AS fb, x.bid AS bid_a, y.bid AS bid_b, x.ask AS ask_a, y.ask AS ask_b,
-   x.bid_depth AS bda, y.bid_depth AS bdb, x.ask_depth AS ada, y.ask_depth AS adb, x.funding AS ra, y.funding AS rb, (coalesce(x.taker_fee, x.maker_fee, 0.001) + coalesce(y.taker_fee, y.maker_fee, 0.001)) * 10000 AS fee, x.last AS la, y.last AS lb,
-   x.context_ts AS ct, x.rsi, x.macd_hist, x.atr_pct, x.volatility, x.adx, x.zscore, (x.bid + x.ask) / 2 AS ma, (y.bid + y.ask) / 2 AS mb FROM s x JOIN s y ON x.symbol = y.symbol AND x.as_of = y.as_of AND x.venue < y.venue),
- q AS (SELECT *, list_avg([u for u in [ma, mb, la, lb] if u IS NOT NULL]) AS base, list_avg([u for u in [(ask_a - bid_a) / ma * 10000, (ask_b - bid_b) / mb * 10000] if u IS NOT NULL]) AS spread,
-   list_filter([CASE WHEN ta IS NULL THEN 'missing_ticker_a' WHEN epoch(as_of - ta) >= 1801 THEN 'stale_ticker_a' END, CASE WHEN tb IS NULL THEN 'missing_ticker_b' WHEN epoch(as_of - tb) >= 1801 THEN 'stale_ticker_b' END,
-    CASE WHEN oa IS NULL THEN 'missing_orderbook_a' WHEN epoch(as_of - oa) >= 1501 THEN 'stale_orderbook_a' END, CASE WHEN ob IS NULL THEN 'missing_orderbook_b' WHEN epoch(as_of - ob) >= 1501 THEN 'stale_orderbook_b' END,
-    CASE WHEN bid_a + ask_a IS NULL THEN 'missing_bid_ask_a' END, CASE WHEN bid_b + ask_b IS NULL THEN 'missing_bid_ask_b' END, CASE WHEN abs(epoch(ta - tb)) >= 1201 THEN 'cross_exchange_ticker_gap' END, CASE WHEN abs(epoch(oa - ob)) >= 1201 THEN 'cross_exchange_orderbook_gap' END,
-    CASE WHEN fa IS NULL THEN 'missing_funding_a' WHEN epoch(as_of - fa) >= 21601 THEN 'stale_funding_a' END, CASE WHEN fb IS NULL THEN 'missing_funding_b' WHEN epoch(as_of - fb) >= 21601 THEN 'stale_funding_b' END, CASE WHEN abs(epoch(fa - fb)) >= 1501 THEN 'cross_exchange_funding_gap' END,
-    CASE WHEN ct IS NULL THEN 'missing_indicator_context' WHEN epoch(as_of - ct) >= 21601 THEN 'stale_indicator_context' END], lambda f: f IS NOT NULL) AS fl, (ma - mb) / ((ma + mb) / 2) * 10000 AS mid_diff_bps, (ra - rb) * 10000 AS fd FROM p),
- r AS (SELECT *, (bid_a - ask_b) / base * 10000 AS gab, (bid_b - ask_a) / base * 10000 AS gba, CASE WHEN bda + adb > 0 THEN least(bda, adb) / 3000 END AS xab, CASE WHEN bdb + ada > 0 THEN least(bdb, ada) / 3000 END AS xba, regexp_matches(array_to_string(fl, ','), '(missing|stale)_(ticker|orderbook)|missing_bid_ask|ticker_gap') AS blocked FROM q),
- u AS (SELECT *, least(100, coalesce(spread, 0) * 0.15 + 10 * greatest(0, 3000 / bda - 1) + 10 * greatest(0, 3000 / adb - 1) + 8 * greatest(0, 1.25 - xab) / 1.25) + 0 * xab AS sab, least(100, coalesce(spread, 0) * 0.15 + 10 * greatest(0, 3000 / bdb - 1) + 10 * greatest(0, 3000 / ada - 1) + 8 * greatest(0, 1.25 - xba) / 1.25) + 0 * xba AS sba FROM r),
- v AS (SELECT *, gab - fee - coalesce(sab, 0) AS net_ab, gba - fee - coalesce(sba, 0) AS net_ba FROM u),
- w AS (SELECT *, greatest(net_ab, net_ba) AS net, greatest(gab, gba) AS gross, CASE WHEN net_ab >= net_ba OR (net_ba IS NULL AND net_ab IS NOT NULL) THEN xab WHEN net_ba IS NOT NULL THEN xba END AS multiple, CASE WHEN net_ab >= net_ba OR (net_ba IS NULL AND net_ab IS NOT NULL) THEN sab WHEN net_ba IS NOT NULL THEN sba END AS slip,
+def _flag(kind: str, when: str, most: int, side: str) -> str:
+    return f"CASE WHEN {when} IS NULL THEN 'missing_{kind}_{side}' WHEN as_of - {when} > INTERVAL {most} SECONDS THEN 'stale_{kind}_{side}' END"
+
+
+def _relative(x: str) -> str:
+    return f"({x}_a - {x}_b) / nullif(({x}_a + {x}_b) / 2, 0) * 10000"
+
+
+_SIDES = "ticker_ts book_ts funding_ts bid ask last bid_depth ask_depth mark quote_volume funding mid".split()
+COMPARED = f"""WITH s AS (SELECT *, (bid + ask) / 2 AS mid, coalesce(taker_fee, maker_fee, 0.001) AS fee, CASE WHEN taker_fee IS NOT NULL THEN 'taker_fee' WHEN maker_fee IS NOT NULL THEN 'maker_fee_fallback' ELSE 'config_default' END AS fee_source FROM {SNAPSHOTS} q),
+ p AS (SELECT x.symbol, x.as_of, x.venue AS a, y.venue AS b, {', '.join(f'x.{c} AS {c}_a, y.{c} AS {c}_b' for c in _SIDES)}, x.fee_source AS fee_source_a, y.fee_source AS fee_source_b, (x.fee + y.fee) * 10000 AS fee_bps,
+   x.context_ts AS ct, x.rsi, x.macd_hist, x.atr_pct, x.volatility, x.adx, x.zscore FROM s x JOIN s y ON x.symbol = y.symbol AND x.as_of = y.as_of AND x.venue < y.venue),
+ q AS (SELECT *, list_avg([u for u in [mid_a, mid_b, last_a, last_b] if u IS NOT NULL]) AS base, list_avg([u for u in [(ask_a - bid_a) / mid_a * 10000, (ask_b - bid_b) / mid_b * 10000] if u IS NOT NULL]) AS spread,
+   abs(epoch_us(ticker_ts_a) - epoch_us(ticker_ts_b)) / 1000 AS ticker_gap_ms, abs(epoch_us(funding_ts_a) - epoch_us(funding_ts_b)) / 1000 AS funding_gap_ms, epoch_us(as_of - ct) / 1000000 AS context_age,
+   list_filter([{_flag('ticker', 'ticker_ts_a', 1800, 'a')}, {_flag('ticker', 'ticker_ts_b', 1800, 'b')}, {_flag('orderbook', 'book_ts_a', 1500, 'a')}, {_flag('orderbook', 'book_ts_b', 1500, 'b')},
+    CASE WHEN bid_a + ask_a IS NULL THEN 'missing_bid_ask_a' END, CASE WHEN bid_b + ask_b IS NULL THEN 'missing_bid_ask_b' END, CASE WHEN greatest(ticker_ts_a, ticker_ts_b) - least(ticker_ts_a, ticker_ts_b) > INTERVAL 20 MINUTES THEN 'cross_exchange_ticker_gap' END,
+    CASE WHEN abs(epoch_us(book_ts_a) - epoch_us(book_ts_b)) > 1200000000 THEN 'cross_exchange_orderbook_gap' END, {_flag('funding', 'funding_ts_a', 21600, 'a')}, {_flag('funding', 'funding_ts_b', 21600, 'b')},
+    CASE WHEN abs(epoch_us(funding_ts_a) - epoch_us(funding_ts_b)) > 1500000000 THEN 'cross_exchange_funding_gap' END, CASE WHEN ct IS NULL THEN 'missing_indicator_context' WHEN as_of - ct > INTERVAL 6 HOURS THEN 'stale_indicator_context' END], lambda f: f IS NOT NULL) AS fl,
+   (funding_a - funding_b) * 10000 AS funding_diff_bps FROM p),
+ r AS (SELECT *, (bid_a - ask_b) / base * 10000 AS gross_ab, (bid_b - ask_a) / base * 10000 AS gross_ba, least(bid_depth_a, ask_depth_b) / 3000 AS xab, least(bid_depth_b, ask_depth_a) / 3000 AS xba, regexp_matches(array_to_string(fl, ','), '(missing|stale)_(ticker|orderbook)|missing_bid_ask|ticker_gap') AS blocked FROM q),
+ u AS (SELECT *, CASE WHEN bid_depth_a IS NULL OR ask_depth_b IS NULL THEN CASE WHEN xab IS NOT NULL THEN 100 END ELSE least(100, coalesce(spread, 0) * 0.15 + 10 * greatest(0, 3000 / bid_depth_a - 1) + 10 * greatest(0, 3000 / ask_depth_b - 1) + 8 * greatest(0, 1.25 - xab) / 1.25) END AS slip_ab,
+   CASE WHEN bid_depth_b IS NULL OR ask_depth_a IS NULL THEN CASE WHEN xba IS NOT NULL THEN 100 END ELSE least(100, coalesce(spread, 0) * 0.15 + 10 * greatest(0, 3000 / bid_depth_b - 1) + 10 * greatest(0, 3000 / ask_depth_a - 1) + 8 * greatest(0, 1.25 - xba) / 1.25) END AS slip_ba FROM r),
+ v AS (SELECT *, gross_ab - fee_bps - coalesce(slip_ab, 0) AS net_ab, gross_ba - fee_bps - coalesce(slip_ba, 0) AS net_ba FROM u),
+ w AS (SELECT *, greatest(net_ab, net_ba) AS net, greatest(gross_ab, gross_ba) AS gross, CASE WHEN net_ab >= net_ba OR (net_ba IS NULL AND net_ab IS NOT NULL) THEN xab WHEN net_ba IS NOT NULL THEN xba END AS multiple, CASE WHEN net_ab >= net_ba OR (net_ba IS NULL AND net_ab IS NOT NULL) THEN slip_ab WHEN net_ba IS NOT NULL THEN slip_ba END AS slip,
    CASE WHEN net_ab > 0 AND (net_ba IS NULL OR net_ab >= net_ba) THEN 'sell_' || a || '_buy_' || b WHEN net_ba > 0 AND (net_ab IS NULL OR net_ba > net_ab) THEN 'sell_' || b || '_buy_' || a ELSE 'none' END AS opportunity FROM v),
- z AS (SELECT *, coalesce(opportunity <> 'none' AND net >= 2 AND multiple >= 1.25 AND slip <= 60 AND NOT blocked, false) AS actionable, coalesce(abs(mid_diff_bps), 0) AS gap FROM w),
- l AS (SELECT *, CASE WHEN blocked THEN 'data_quality_warning' WHEN actionable THEN 'tradable_spread' WHEN gross > 0 AND coalesce(multiple, 0) < 1.25 THEN 'liquidity_warning' WHEN gap >= 2000 OR (net > 0 AND multiple >= 0.75) THEN 'price_divergence' ELSE 'normal' END AS label FROM z)
- SELECT symbol, as_of, a, b, array_to_string(fl, ',') AS flags, mid_diff_bps, net_ab, net_ba, multiple, opportunity, actionable, label,
+ z AS (SELECT *, coalesce(opportunity <> 'none' AND net >= 2 AND multiple >= 1.25 AND slip <= 60 AND NOT blocked, false) AS actionable, {_relative('mid')} AS mid_diff_bps FROM w),
+ l AS (SELECT *, coalesce(abs(mid_diff_bps), 0) AS gap, CASE WHEN blocked THEN 'data_quality_warning' WHEN actionable THEN 'tradable_spread' WHEN gross > 0 AND coalesce(multiple, 0) < 1.25 THEN 'liquidity_warning' WHEN coalesce(abs(mid_diff_bps), 0) >= 2000 OR (net > 0 AND multiple >= 0.75) THEN 'price_divergence' ELSE 'normal' END AS label FROM z)
+ SELECT symbol, as_of, a, b, coalesce(greatest(ticker_ts_a, ticker_ts_b), as_of) AS compared_at, CASE WHEN len(fl) = 0 THEN 'ok' ELSE array_to_string(fl, '|') END AS flags, last_a - last_b AS last_diff_abs, {_relative('last')} AS last_diff_bps, mid_a - mid_b AS mid_diff_abs, mid_diff_bps,
+  {_relative('bid')} AS bid_diff_bps, {_relative('ask')} AS ask_diff_bps, funding_a - funding_b AS funding_diff_abs, funding_diff_bps, {_relative('mark')} AS mark_diff_bps, gross_ab, gross_ba, fee_bps, fee_source_a, fee_source_b, slip_ab, slip_ba, slip, net_ab, net_ba, net, multiple,
+  quote_volume_a / nullif(quote_volume_b, 0) AS quote_volume_ratio, bid_depth_a / nullif(bid_depth_b, 0) AS bid_depth_ratio, ask_depth_a / nullif(ask_depth_b, 0) AS ask_depth_ratio,
+  (bid_depth_a + coalesce(ask_depth_a, 0)) / nullif(bid_depth_b + coalesce(ask_depth_b, 0), 0) AS total_depth_ratio, (ask_a - bid_a) / mid_a * 10000 - (ask_b - bid_b) / mid_b * 10000 AS spread_bps_gap, ticker_gap_ms, funding_gap_ms, context_age,
+  CASE WHEN coalesce(ask_a, last_a) <= coalesce(ask_b, last_b) THEN a ELSE b END AS best_buy, CASE WHEN bid_a >= bid_b THEN a ELSE b END AS best_sell, opportunity, actionable, label,
   CASE label WHEN 'tradable_spread' THEN least(100, 55 + 4 * net) WHEN 'liquidity_warning' THEN least(95, 35 + 1.2 * gross) WHEN 'price_divergence' THEN least(100, greatest(20, gap * 0.03)) WHEN 'data_quality_warning' THEN least(100, 20 + 12 * len(fl)) ELSE least(25, gap) END AS strength,
-  least(100, least(55, gap * 55 / 4000) + CASE WHEN fd IS NULL THEN 0 ELSE least(20, abs(fd) * 4) END + CASE WHEN multiple < 1 THEN least(15, 15 - 15 * multiple) ELSE 0 END + least(30, 6 * len(fl))) AS anomaly,
+  least(100, least(55, gap * 55 / 4000) + CASE WHEN funding_diff_bps IS NULL THEN 0 ELSE least(20, abs(funding_diff_bps) * 4) END + CASE WHEN multiple < 1 THEN least(15, 15 - 15 * multiple) ELSE 0 END + least(30, 6 * len(fl))) AS anomaly,
   100 * (0.4 * CASE WHEN net IS NULL THEN 0 ELSE greatest(0, least(1, (net + 2) / 16)) END + 0.3 * CASE WHEN multiple IS NULL THEN 0 ELSE least(1, multiple / 1.25) END + 0.15 * (1 - least(1, coalesce(spread, 0) / 20)) + CASE WHEN blocked THEN 0 ELSE 0.15 END) AS preference,
-  ((ct IS NOT NULL)::INT + (fa IS NOT NULL)::INT + (fb IS NOT NULL)::INT) / 3 * 100 AS completeness,
+  round(((ct IS NOT NULL)::INT + (funding_ts_a IS NOT NULL)::INT + (funding_ts_b IS NOT NULL)::INT) / 3 * 100, 4) AS completeness,
   CASE WHEN adx >= 25 AND macd_hist > 0 AND rsi >= 55 THEN 'trend_up' WHEN adx >= 25 AND macd_hist < 0 AND rsi <= 45 THEN 'trend_down' WHEN atr_pct >= 150 THEN 'high_volatility' WHEN abs(zscore) >= 2 THEN 'stretched' WHEN volatility >= 0.03 THEN 'high_volatility' ELSE 'range' END AS market_regime,
-  CASE WHEN ra + rb IS NULL THEN 'unknown' WHEN abs(fd) >= 5 THEN CASE WHEN ra * rb < 0 THEN 'funding_direction_conflict' ELSE 'funding_divergence' END WHEN ra + rb > 0 THEN 'long_crowded' WHEN ra + rb < 0 THEN 'short_crowded' ELSE 'neutral' END AS funding_regime FROM l"""
+  CASE WHEN funding_a + funding_b IS NULL THEN 'unknown' WHEN abs(funding_diff_bps) >= 5 THEN CASE WHEN funding_a * funding_b < 0 THEN 'funding_direction_conflict' ELSE 'funding_divergence' END WHEN funding_a + funding_b > 0 THEN 'long_crowded' WHEN funding_a + funding_b < 0 THEN 'short_crowded' ELSE 'neutral' END AS funding_regime FROM l"""
+COMPARED_NUMBERS = """last_diff_abs last_diff_bps:4 mid_diff_abs mid_diff_bps:4 bid_diff_bps:4 ask_diff_bps:4 funding_diff_abs:9 funding_diff_bps mark_diff_bps:4 gross_ab:4 gross_ba:4 fee_bps slip_ab slip_ba slip net_ab:4 net_ba:4 net:4 multiple
+quote_volume_ratio bid_depth_ratio ask_depth_ratio total_depth_ratio spread_bps_gap ticker_gap_ms:3 funding_gap_ms:3 context_age strength anomaly preference completeness"""
 
 
 def snapshots(spark, d):
@@ -59,28 +76,47 @@ def snapshots(spark, d):
     return by.join(c, ["symbol", "hour"], "left").select(
         "symbol", "venue", (F.col("hour") + F.expr("INTERVAL 1 HOUR")).alias("as_of"), F.col("seen").alias("ticker_ts"), some(F.col("seen"), deep).alias("book_ts"), some(F.col("seen"), paid).alias("funding_ts"),
         (F.col("close") * 0.999).alias("bid"), some(F.col("close") * 1.001, F.col("amount") < 190).alias("ask"), F.col("close").alias("last"), some(F.col("amount") * F.col("close"), deep).alias("bid_depth"),
-        some(F.col("amount") * F.col("close") * 0.8, deep).alias("ask_depth"), some(F.col("net") / F.col("amount") / 1000, paid).alias("funding"), some(F.lit(0.0005), F.col("venue") == "v0").alias("taker_fee"),
+        some(F.col("amount") * F.col("close") * 0.8, deep & (F.col("amount") < 120)).alias("ask_depth"), some(F.col("close") * (1 + F.col("net") / F.col("amount") / 500), F.col("amount") > 60).alias("mark"), (F.col("amount") * F.col("close") * 24).alias("quote_volume"), some(F.col("net") / F.col("amount") / 1000, paid).alias("funding"), some(F.lit(0.0005), F.col("venue") == "v0").alias("taker_fee"),
         some(F.lit(0.0008), F.col("venue") < "v2").alias("maker_fee"), F.when(F.col("whole").isNotNull(), F.col("hour")).alias("context_ts"), (50 + 50 * F.col("step") / both).alias("rsi"), F.col("step").alias("macd_hist"),
         ((F.col("high") - F.col("low")) / F.col("whole") * 100).alias("atr_pct"), ((F.col("high") - F.col("low")) / both / 20).alias("volatility"), (F.abs("step") / both * 100).alias("adx"), (F.col("step") / (F.col("high") - F.col("low") + 1)).alias("zscore"),
     )
 
 
+def _near_sql(name: str, rows: str, most: int) -> str:
+    """The nearest row in time of the same venue, the earlier of two equally near, of equal times the one with the largest id."""
+    return f"""{name}_rows AS (SELECT symbol, venue, ts, max(id) AS id FROM ({rows}) q GROUP BY ALL), {name} AS (SELECT t.id, CASE WHEN e.ts IS NULL OR t.ts - l.ts <= e.ts - t.ts THEN l.ts ELSE e.ts END AS ts, CASE WHEN e.ts IS NULL OR t.ts - l.ts <= e.ts - t.ts THEN l.id ELSE e.id END AS of
+ FROM t ASOF LEFT JOIN {name}_rows l ON l.symbol = t.symbol AND l.venue = t.venue AND l.ts <= t.ts ASOF LEFT JOIN {name}_rows e ON e.symbol = t.symbol AND e.venue = t.venue AND e.ts >= t.ts), {name}_near AS (SELECT id, ts AS {name}_ts, of AS {name}_id, abs(epoch_us(t2) - epoch_us(ts)) / 1000 AS {name}_gap_ms
+ FROM (SELECT {name}.*, t.ts AS t2 FROM {name} JOIN t USING (id)) WHERE abs(epoch_us(t2) - epoch_us(ts)) <= {most} * 1000000::BIGINT)"""
+
+
+#: hours apart that the given tables' sparse rows may be
+ALIGN = venues.Limits(window=7_200, funding_window=43_200, context_age=5_400)
+ALIGNED = f"""WITH a AS ({TRADES_SQL}), t AS (SELECT symbol, venue, ts, event_id AS id FROM a WHERE event_id % 3 = 0), {_near_sql('book', 'SELECT symbol, venue, ts, event_id AS id FROM a WHERE event_id % 3 = 1', 7200)}, {_near_sql('funding', 'SELECT symbol, venue, ts, event_id AS id FROM a WHERE event_id % 11 = 5', 43200)},
+ fees AS (SELECT symbol, venue, arg_max(event_id % 10, struct_pack(a := ts, b := event_id)) / 10000 AS taker_fee FROM a WHERE event_id % 50 = 0 GROUP BY ALL), c AS (SELECT symbol, open_time::TIMESTAMP AS at, close AS rsi FROM ({BARS_SQL}) b)
+ SELECT t.symbol, t.venue, t.ts AS ticker_ts, t.id, book_id, book_gap_ms, funding_id, funding_gap_ms, taker_fee, CASE WHEN t.ts - c.at <= INTERVAL 90 MINUTES THEN epoch_us(t.ts - c.at) / 1000 END AS context_gap_ms,
+  CASE WHEN t.ts - c.at <= INTERVAL 90 MINUTES THEN rsi END AS rsi FROM t LEFT JOIN book_near USING (id) LEFT JOIN funding_near USING (id) LEFT JOIN fees ON fees.symbol = t.symbol AND fees.venue = t.venue ASOF LEFT JOIN c ON c.symbol = t.symbol AND c.at <= t.ts"""
+
+
+def _aligned(spark, d):
+    t = trades(spark, d).withColumn("id", F.col("event_id"))
+    part = lambda n, k, *more: t.where(F.col("id") % n == k).select("symbol", "venue", "ts", "id", *more)
+    fees = t.where("id % 50 = 0").select("symbol", "venue", F.col("ts").alias("updated_at"), "id", (F.col("id") % 10 / 10_000).alias("taker_fee"))
+    context = hourly_bars(spark, d).select("symbol", F.col("open_time").cast("timestamp_ntz").alias("ts"), F.lit(0).alias("id"), F.col("close").alias("rsi"))
+    return venues.align(part(3, 0), part(3, 1, F.col("id").alias("book_id")), part(11, 5, F.col("id").alias("funding_id")), fees, context, ALIGN).drop("book_ts", "funding_ts", "context_ts")
+
+
 def register(query) -> None:
-    @query(COMPARED, "mid_diff_bps net_ab net_ba multiple strength anomaly preference completeness")
+    @query(COMPARED, COMPARED_NUMBERS)
     def venue_pairs(spark, d):
-        return venues.compare_venues(snapshots(spark, d), LIMITS)
+        return venues.compare_venues(snapshots(spark, d), LIMITS).drop("index_diff_bps", "depth_imbalance_gap")
 
-    @query(f"""SELECT symbol, venue, as_of, ticker_state, book_state, funding_state, CASE k WHEN 3 THEN 'ok' WHEN 0 THEN CASE WHEN 'stale' IN (ticker_state, book_state, funding_state) THEN 'stale_only' ELSE 'missing' END ELSE 'partial' END AS quality, k / 3 AS fresh_ratio FROM (
- SELECT *, (ticker_state = 'fresh')::INT + (book_state = 'fresh')::INT + (funding_state = 'fresh')::INT AS k FROM (SELECT symbol, venue, as_of, CASE WHEN ticker_ts IS NULL THEN 'missing' WHEN epoch(as_of - ticker_ts) < 1801 THEN 'fresh' ELSE 'stale' END AS ticker_state,
-  CASE WHEN book_ts IS NULL THEN 'missing' WHEN epoch(as_of - book_ts) < 1501 THEN 'fresh' ELSE 'stale' END AS book_state, CASE WHEN funding_ts IS NULL THEN 'missing' WHEN epoch(as_of - funding_ts) < 901 THEN 'fresh' ELSE 'stale' END AS funding_state FROM {SNAPSHOTS} s))""", "fresh_ratio")
-    def enrichment_freshness(spark, d):
-        s = snapshots(spark, d).select("symbol", "venue", "as_of", "ticker_ts", "book_ts", "funding_ts")
-        out = venues.freshness(s, {"ticker": "ticker_ts", "book": "book_ts", "funding": "funding_ts"}, "as_of", {"ticker": 1800, "book": 1500, "funding": 900})
-        return out.drop("ticker_ts", "book_ts", "funding_ts")
+    @query(ALIGNED, "book_gap_ms:3 funding_gap_ms:3 context_gap_ms:3")
+    def aligned_venues(spark, d):
+        return _aligned(spark, d)
 
-    @query(f"SELECT symbol, as_of, CASE WHEN count(last) > 1 THEN (max(last) - min(last)) * 10000 / avg(last) ELSE -1 END AS range_bps FROM {SNAPSHOTS} s GROUP BY symbol, as_of", "range_bps")
+    @query(f"SELECT symbol, as_of, (max(last) - min(last)) * 10000 / nullif(avg(last), 0) AS range_bps FROM {SNAPSHOTS} s GROUP BY symbol, as_of", "range_bps")
     def venue_price_ranges(spark, d):
-        return venues.range_bps(snapshots(spark, d), ["symbol", "as_of"], "last").withColumn("range_bps", F.coalesce("range_bps", F.lit(-1.0)))
+        return venues.range_bps(snapshots(spark, d), ["symbol", "as_of"], "last")
 
     @query(f"SELECT symbol, ts, venue, price, size, id FROM (SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY CASE venue WHEN 'NO' THEN 0 WHEN 'NF' THEN 1 ELSE 2 END, id DESC, price, size, venue) AS k FROM ({QUOTES_SQL}) q) WHERE k = 1")
     def quotes_by_priority(spark, d):
