@@ -10,12 +10,12 @@ from ..sources.adapters import BARS_SQL, TRADES_SQL, hourly_bars, trades
 #: seconds until the given tables' sparse tickers, funding rates and books are stale
 AGES = (10_800, 43_200, 7_200)
 
-_ONCE = f"(SELECT * FROM ({TRADES_SQL}) t QUALIFY row_number() OVER (PARTITION BY symbol, venue, ts, event_id % 3, event_id % 11 = 0 ORDER BY event_id DESC) = 1)"
-TICKERS_SQL = f"""SELECT symbol, venue, ts, price AS last_price, CASE WHEN event_id % 2 = 0 THEN price * 1.01 END AS mid_price, amount AS spread_bps, price * amount AS quote_volume_24h,
- price / 100 - 1 AS change_24h, price * 0.99 AS vwap_24h FROM {_ONCE} o WHERE event_id % 3 = 0"""
-FUNDING_SQL = f"SELECT symbol, venue, ts, amount / 1000 AS funding_rate, CASE WHEN event_id % 4 > 0 THEN (price - amount) / amount * 10000 END AS funding_basis_bps FROM {_ONCE} o WHERE event_id % 11 = 0"
+_ONCE = f"(SELECT * FROM ({TRADES_SQL}) t QUALIFY row_number() OVER (PARTITION BY symbol, venue, ts, side ORDER BY event_id DESC) = 1)"
+TICKERS_SQL = f"""SELECT symbol, venue, ts, price AS last_price, CASE WHEN event_id % 4 = 0 THEN price * 1.01 END AS mid_price, amount AS spread_bps, price * amount AS quote_volume_24h,
+ price / 100 - 1 AS change_24h, price * 0.99 AS vwap_24h FROM {_ONCE} o WHERE side = 'buy'"""
+FUNDING_SQL = f"SELECT symbol, venue, ts, amount / 1000 AS funding_rate, CASE WHEN event_id % 4 > 0 THEN (price - amount) / amount * 10000 END AS funding_basis_bps FROM {_ONCE} o"
 BOOKS_SQL = f"""SELECT symbol, venue, ts, price AS mid_price, amount AS spread_bps, CASE WHEN event_id % 5 > 0 THEN price * amount END AS bid_depth_notional, price * amount * 0.8 AS ask_depth_notional,
- amount / 100 AS depth_imbalance FROM {_ONCE} o WHERE event_id % 3 = 1 AND venue <> 'v2'"""
+ amount / 100 AS depth_imbalance FROM {_ONCE} o WHERE side = 'sell' AND venue <> 'v2'"""
 
 
 def _source_sql(name: str, rows: str, age: int, folds: str) -> str:
@@ -58,11 +58,11 @@ def _counted(state: str) -> str:
 def _enriched(spark, d):
     t = trades(spark, d).withColumns({"exchange": F.col("venue"), "timestamp": F.col("ts")})
     p, a, k = F.col("price"), F.col("amount"), F.col("event_id")
-    tickers = t.where(k % 3 == 0).withColumns({
-        "last_price": p, "mid_price": F.when(k % 2 == 0, p * 1.01), "spread_bps": a, "quote_volume_24h": p * a, "change_24h": p / 100 - 1, "vwap_24h": p * 0.99,
+    tickers = t.where(F.col("side") == "buy").withColumns({
+        "last_price": p, "mid_price": F.when(k % 4 == 0, p * 1.01), "spread_bps": a, "quote_volume_24h": p * a, "change_24h": p / 100 - 1, "vwap_24h": p * 0.99,
     })
-    funding = t.where(k % 11 == 0).withColumns({"funding_rate": a / 1000, "mark_price": F.when(k % 4 > 0, p), "index_price": a})
-    books = t.where((k % 3 == 1) & (F.col("venue") != "v2")).withColumns({
+    funding = t.withColumns({"funding_rate": a / 1000, "mark_price": F.when(k % 4 > 0, p), "index_price": a})
+    books = t.where((F.col("side") == "sell") & (F.col("venue") != "v2")).withColumns({
         "mid_price": p, "spread_bps": a, "bid_depth_notional": F.when(k % 5 > 0, p * a), "ask_depth_notional": p * a * 0.8, "depth_imbalance": a / 100,
     })
     bars = hourly_bars(spark, d).select("symbol", "timeframe", F.col("open_time").cast("timestamp_ntz").alias("open_time"))

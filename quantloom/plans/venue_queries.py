@@ -91,18 +91,18 @@ def _near_sql(name: str, rows: str, most: int) -> str:
 
 #: hours apart that the given tables' sparse rows may be
 ALIGN = venues.Limits(window=7_200, funding_window=43_200, context_age=5_400)
-ALIGNED = f"""WITH a AS ({TRADES_SQL}), t AS (SELECT symbol, venue, ts, event_id AS id FROM a WHERE event_id % 3 = 0), {_near_sql('book', 'SELECT symbol, venue, ts, event_id AS id FROM a WHERE event_id % 3 = 1', 7200)}, {_near_sql('funding', 'SELECT symbol, venue, ts, event_id AS id FROM a WHERE event_id % 11 = 5', 43200)},
- fees AS (SELECT symbol, venue, arg_max(event_id % 10, struct_pack(a := ts, b := event_id)) / 10000 AS taker_fee FROM a WHERE event_id % 50 = 0 GROUP BY ALL), c AS (SELECT symbol, open_time::TIMESTAMP AS at, close AS rsi FROM ({BARS_SQL}) b)
+ALIGNED = f"""WITH a AS ({TRADES_SQL}), t AS (SELECT symbol, venue, ts, event_id AS id FROM a WHERE side = 'buy'), {_near_sql('book', "SELECT symbol, venue, ts, event_id AS id FROM a WHERE side = 'sell'", 7200)}, {_near_sql('funding', 'SELECT symbol, venue, ts, event_id AS id FROM a WHERE amount > 80', 43200)},
+ fees AS (SELECT symbol, venue, arg_max(event_id % 10, struct_pack(a := ts, b := event_id)) / 10000 AS taker_fee FROM a GROUP BY ALL), c AS (SELECT symbol, open_time::TIMESTAMP AS at, close AS rsi FROM ({BARS_SQL}) b)
  SELECT t.symbol, t.venue, t.ts AS ticker_ts, t.id, book_id, book_gap_ms, funding_id, funding_gap_ms, taker_fee, CASE WHEN t.ts - c.at <= INTERVAL 90 MINUTES THEN epoch_us(t.ts - c.at) / 1000 END AS context_gap_ms,
   CASE WHEN t.ts - c.at <= INTERVAL 90 MINUTES THEN rsi END AS rsi FROM t LEFT JOIN book_near USING (id) LEFT JOIN funding_near USING (id) LEFT JOIN fees ON fees.symbol = t.symbol AND fees.venue = t.venue ASOF LEFT JOIN c ON c.symbol = t.symbol AND c.at <= t.ts"""
 
 
 def _aligned(spark, d):
     t = trades(spark, d).withColumn("id", F.col("event_id"))
-    part = lambda n, k, *more: t.where(F.col("id") % n == k).select("symbol", "venue", "ts", "id", *more)
-    fees = t.where("id % 50 = 0").select("symbol", "venue", F.col("ts").alias("updated_at"), "id", (F.col("id") % 10 / 10_000).alias("taker_fee"))
+    part = lambda test, *more: t.where(test).select("symbol", "venue", "ts", "id", *more)
+    fees = t.select("symbol", "venue", F.col("ts").alias("updated_at"), "id", (F.col("id") % 10 / 10_000).alias("taker_fee"))
     context = hourly_bars(spark, d).select("symbol", F.col("open_time").cast("timestamp_ntz").alias("ts"), F.lit(0).alias("id"), F.col("close").alias("rsi"))
-    return venues.align(part(3, 0), part(3, 1, F.col("id").alias("book_id")), part(11, 5, F.col("id").alias("funding_id")), fees, context, ALIGN).drop("book_ts", "funding_ts", "context_ts")
+    return venues.align(part("side = 'buy'"), part("side = 'sell'", F.col("id").alias("book_id")), part("amount > 80", F.col("id").alias("funding_id")), fees, context, ALIGN).drop("book_ts", "funding_ts", "context_ts")
 
 
 def register(query) -> None:
