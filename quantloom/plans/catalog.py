@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..functions.dialect import DUCKDB
 from ..operators import backtest, bars, cross, flow, recursive, temporal
 from ..sources.adapters import BARS_SQL, QUOTES_SQL, TRADES_SQL, hourly_bars, load, quotes, trades
-from . import enrichment_queries, indicators, lab_queries, score_sql, series_queries, signal_queries, smoothed_sql, venue_queries
+from . import enrichment_queries, history_queries, indicators, lab_queries, score_sql, series_queries, signal_queries, smoothed_sql, venue_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -614,3 +614,4 @@ signal_queries.register(query, ORACLES["contagion_tail_measures"], contagion_tai
 venue_queries.register(query)
 enrichment_queries.register(query)
 lab_queries.register(query)
+history_queries.register(query)
