@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import stitching
 from ..sources.adapters import QUOTES_SQL, quotes
 
-_SEGMENTS = f"""d AS (SELECT symbol, ts AS day, avg(price) AS price, date_diff('day', ts::DATE, (SELECT max(ts)::DATE FROM ({QUOTES_SQL}) z)) AS back FROM ({QUOTES_SQL}) q GROUP BY ALL),
- s AS (SELECT symbol, day, k AS segment, CASE WHEN symbol % 10 = 3 AND k = 4 THEN 0 ELSE round(price / (1 + k % 5), 4) END AS value FROM (SELECT *, unnest([back // 75, back // 75 - 1]) AS k FROM d) WHERE k >= 0 AND back < 75 * k + 90)"""
+_SEGMENTS = f"""d AS (SELECT symbol, ts AS day, max(price) AS price, date_diff('day', ts::DATE, (SELECT max(ts)::DATE FROM ({QUOTES_SQL}) z)) AS back FROM ({QUOTES_SQL}) q GROUP BY ALL),
+ s AS (SELECT symbol, day, k AS segment, CASE WHEN symbol % 10 = 3 AND k = 4 THEN 0 ELSE price / (1 + k % 5) END AS value FROM (SELECT *, unnest([back // 75, back // 75 - 1]) AS k FROM d) WHERE k >= 0 AND back < 75 * k + 90)"""
 _SCALES = f"""WITH RECURSIVE {_SEGMENTS}, n AS (SELECT *, dense_rank() OVER (PARTITION BY symbol ORDER BY segment) AS k FROM s),
  r AS (SELECT y.symbol, y.segment, y.k, count(x.value) AS overlap, coalesce(median(x.value / nullif(y.value, 0)) FILTER (x.value > 0 AND y.value > 0), CASE WHEN max(x.value) > 0 AND max(y.value) FILTER (x.value IS NOT NULL) > 0 THEN max(x.value) / max(y.value) FILTER (x.value IS NOT NULL) END) AS ratio
   FROM n y LEFT JOIN n x ON x.symbol = y.symbol AND x.k = y.k - 1 AND x.day = y.day GROUP BY ALL),
@@ -17,13 +17,13 @@ _STITCHED = f"{_SCALES}, t AS (SELECT symbol, day, arg_min(value, segment) AS va
 
 
 def segments(spark, d):
-    """Each symbol's mean price a day in segments of 90 days, back from the newest day, that share 15 days and have a scale each; some are all 0."""
+    """Each symbol's highest price a day in segments of 90 days, back from the newest day, that share 15 days and have a scale each; some are all 0."""
     q = quotes(spark, d)
     newest = q.agg(F.max("ts").alias("newest"))
-    days = q.groupBy("symbol", F.col("ts").alias("day")).agg(F.avg("price").alias("price")).join(F.broadcast(newest)).withColumn("back", F.datediff("newest", "day"))
+    days = q.groupBy("symbol", F.col("ts").alias("day")).agg(F.max("price").alias("price")).join(F.broadcast(newest)).withColumn("back", F.datediff("newest", "day"))
     k = F.floor(F.col("back") / 75)
     rows = days.withColumn("segment", F.explode(F.array(k, k - 1))).where((F.col("segment") >= 0) & (F.col("back") < 75 * F.col("segment") + 90))
-    value = F.when((F.col("symbol") % 10 == 3) & (F.col("segment") == 4), 0.0).otherwise(F.round(F.col("price") / (1 + F.col("segment") % 5), 4))
+    value = F.when((F.col("symbol") % 10 == 3) & (F.col("segment") == 4), 0.0).otherwise(F.col("price") / (1 + F.col("segment") % 5))
     return rows.select("symbol", "day", "segment", value.alias("value"))
 
 
