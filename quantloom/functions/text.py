@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 # Keywords and patterns of the labels.
 BULLISH = "surge|soar|rally|bullish|breakout|all-time high|ath|approval|approved|adopt|adoption|partnership|launch|upgrade|milestone|record|institutional|inflow|accumulate|利好|突破|创新高|暴涨|通过|批准|合作|上线".split("|")
 BEARISH = "crash|plunge|dump|bearish|hack|exploit|vulnerability|ban|banned|lawsuit|sec|fraud|bankrupt|insolvency|liquidat|outflow|sell-off|selloff|crackdown|sanction|利空|暴跌|黑客|攻击|禁止|诉讼|破产|清算".split("|")
@@ -40,9 +42,18 @@ def confidence(up: str, down: str) -> str:
     return f"CASE WHEN {up} + {down} = 0 THEN 0.5D WHEN {up} = {down} THEN 0.4D ELSE least(0.6D + 0.1D * abs({up} - {down}), 0.95D) END"
 
 
+def found(text: str, pattern: str) -> str:
+    """Whether the text has any of the pattern's alternatives. Plain ones are looked for as they are, which a text's bytes
+    can tell; only those with signs of a pattern need the regular expression engine."""
+    plain = [x for x in pattern.split("|") if not re.search(r"[.?*+\[\](){}^$\\\\]", x)]
+    rest = [x for x in pattern.split("|") if x not in plain]
+    tests = [f"contains({text}, '{x}')" for x in plain] + ([f"{text} rlike '{alternation(rest)}'"] if rest else [])
+    return "(" + " OR ".join(tests) + ")"
+
+
 def first_match(text: str, rules, default: str) -> str:
     """The label of the first rule (label, pattern) that the text has."""
-    return "CASE " + " ".join(f"WHEN {text} rlike '{alternation(p.split('|'))}' THEN '{label}'" for label, p in rules) + f" ELSE '{default}' END"
+    return "CASE " + " ".join(f"WHEN {found(text, p)} THEN '{label}'" for label, p in rules) + f" ELSE '{default}' END"
 
 
 def duration(event: str) -> str:

@@ -12,7 +12,7 @@ def micros(df: DataFrame, ts: str) -> Column:
     """Microseconds since 1970; of a time without a zone, by its own clock, whatever the session's zone."""
     if dict(df.dtypes)[ts] == "timestamp":
         return F.unix_micros(ts)
-    return F.expr(f"unix_date(to_date({ts})) * 86400000000L + hour({ts}) * 3600000000L + minute({ts}) * 60000000L + cast(extract(SECOND FROM {ts}) * 1000000 AS bigint)")
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts))
 
 
 def tumble(trades: DataFrame, unit: str = "hour", keys: tuple[str, ...] = ("symbol",)) -> DataFrame:

@@ -12,8 +12,9 @@ from ..functions import scores as S
 from ..functions import text as T
 from ..functions.dialect import DUCKDB
 from ..operators import backtest, bars, cross, flow, recursive, temporal
+from ..shipping import compiled_methods
 from ..sources.adapters import BARS_SQL, QUOTES_SQL, TRADES_SQL, hourly_bars, load, quotes, trades
-from . import enrichment_queries, history_queries, indicators, lab_queries, score_sql, series_queries, signal_queries, smoothed_sql, venue_queries
+from . import enrichment_queries, history_queries, indicators, lab_queries, score_sql, series_queries, signal_queries, smoothed_sql, stream_queries, venue_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +28,7 @@ def query(sql: str | None = None, rounded: str = ""):
 
     def register(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            compiled_methods(spark)
             return f(spark, sf_dir).withColumns({c: F.round(c, n) + 0.0 for c, n in digits.items()})
 
         QUERIES[f.__name__] = run
@@ -590,28 +592,10 @@ def jackknife_assets(spark, d):
     return backtest.drop_one(_panel(spark, d), "asset", "ret")
 
 
-# Streams ---------------------------------------------------------------------------------
-
-
-@query("""SELECT event_type AS symbol, time_bucket(INTERVAL 5 MINUTE, ts)::TIMESTAMP AS open_time, count(*) AS trades, max(value + 1) AS high, min(value + 1) AS low FROM events GROUP BY ALL""", "high low")
-def stream_bars(spark, d):
-    """The streaming bars over all events, read as a stream to its end."""
-    import uuid
-
-    from ..streaming.jobs import tumbling_bars
-
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    source = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet")  # a pattern may match a file or a folder
-    rows = source.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "event_id", (F.col("value") + 1).alias("price"), F.lit(1.0).alias("amount"))
-    name = f"bars_{uuid.uuid4().hex}"
-    job = tumbling_bars(rows).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    job.awaitTermination()
-    return spark.table(name).select("symbol", F.col("open_time").cast("timestamp_ntz").alias("open_time"), "trades", "high", "low")
-
-
 series_queries.register(query)
 signal_queries.register(query, ORACLES["contagion_tail_measures"], contagion_tail_measures, ORACLES["liquidation_clusters"], liquidation_clusters)
 venue_queries.register(query)
 enrichment_queries.register(query)
 lab_queries.register(query)
 history_queries.register(query)
+stream_queries.register(query)

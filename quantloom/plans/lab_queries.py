@@ -111,7 +111,7 @@ def readiness(spark, d):
 def register(query) -> None:
     @query(f"""WITH v AS (SELECT symbol, observed, available, l_extendedprice AS value, id FROM (SELECT l_partkey % 50 AS symbol, l_shipdate AS observed, l_shipdate + to_days(((l_orderkey + l_linenumber) % 10)::INT) AS available, l_extendedprice, l_orderkey * 8 + l_linenumber AS id FROM lineitem)),
  o AS (SELECT o_orderkey, o_custkey % 50 AS symbol, o_orderdate AS moment FROM orders), x AS (SELECT o_orderkey, arg_max(value, struct_pack(a := observed, b := available, c := id)) AS value, max(observed) AS observed FROM o JOIN v ON v.symbol = o.symbol AND available <= moment AND available > moment - INTERVAL 400 DAYS GROUP BY ALL)
- SELECT o.o_orderkey, o.symbol, date_diff('day', DATE '1990-01-01', observed::DATE) AS observed_day, value FROM o LEFT JOIN x USING (o_orderkey)""")
+ SELECT o.o_orderkey, o.symbol, coalesce(date_diff('day', DATE '1990-01-01', observed::DATE), -1) AS observed_day, value FROM o LEFT JOIN x USING (o_orderkey)""")
     def known_vintages(spark, d):
         """The price of each order's symbol as it was known that day."""
         moments = load(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("symbol"), F.col("o_orderdate").alias("at"))
@@ -119,7 +119,7 @@ def register(query) -> None:
         k = F.col("l_orderkey") + F.col("l_linenumber")
         vintages = lines.select((F.col("l_partkey") % 50).alias("symbol"), F.col("l_shipdate").alias("observed"), F.timestamp_add("DAY", (k % 10).cast("int"), F.col("l_shipdate")).alias("available"), F.col("l_extendedprice").alias("value"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"))
         found = pit.known_by(moments, vintages, ["symbol"], ["value"], "id")
-        return found.select("o_orderkey", "symbol", F.datediff(F.to_date("observed"), F.lit("1990-01-01").cast("date")).cast("long").alias("observed_day"), "value")
+        return found.select("o_orderkey", "symbol", F.coalesce(F.datediff(F.to_date("observed"), F.lit("1990-01-01").cast("date")), F.lit(-1)).cast("long").alias("observed_day"), "value")
 
     @query(f"SELECT * FROM {READY_SQL} r", "readiness_score:4")
     def band_readiness(spark, d):

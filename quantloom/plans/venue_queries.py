@@ -62,6 +62,9 @@ COMPARED_NUMBERS = """last_diff_abs last_diff_bps:4 mid_diff_abs mid_diff_bps:4
 quote_volume_ratio bid_depth_ratio ask_depth_ratio total_depth_ratio spread_bps_gap ticker_gap_ms:3 funding_gap_ms:3 context_age strength anomaly preference completeness"""
 
 
+SLIDING_SQL = f"""SELECT symbol, count(*) AS windows, max(volume) AS most, sum(trades)::BIGINT AS counted FROM (SELECT symbol, w, sum(amount) AS volume, count(*) AS trades FROM (SELECT symbol, amount, unnest(range(0, 12)) AS k, time_bucket(INTERVAL 5 MINUTES, ts) - k * INTERVAL 5 MINUTES AS w FROM ({TRADES_SQL}) t) GROUP BY ALL) GROUP BY symbol"""
+
+
 def snapshots(spark, d):
     """Hourly snapshots of each venue, with parts missing where an hour has few trades."""
     t = trades(spark, d)
@@ -93,7 +96,7 @@ def _near_sql(name: str, rows: str, most: int) -> str:
 ALIGN = venues.Limits(window=7_200, funding_window=43_200, context_age=5_400)
 ALIGNED = f"""WITH a AS ({TRADES_SQL}), t AS (SELECT symbol, venue, ts, event_id AS id FROM a WHERE side = 'buy'), {_near_sql('book', "SELECT symbol, venue, ts, event_id AS id FROM a WHERE side = 'sell'", 7200)}, {_near_sql('funding', 'SELECT symbol, venue, ts, event_id AS id FROM a WHERE amount > 80', 43200)},
  fees AS (SELECT symbol, venue, arg_max(event_id % 10, struct_pack(a := ts, b := event_id)) / 10000 AS taker_fee FROM a GROUP BY ALL), c AS (SELECT symbol, open_time::TIMESTAMP AS at, close AS rsi FROM ({BARS_SQL}) b)
- SELECT t.symbol, t.venue, t.ts AS ticker_ts, t.id, book_id, book_gap_ms, funding_id, funding_gap_ms, taker_fee, CASE WHEN t.ts - c.at <= INTERVAL 90 MINUTES THEN epoch_us(t.ts - c.at) / 1000 END AS context_gap_ms,
+ SELECT t.symbol, t.venue, t.ts AS ticker_ts, t.id, coalesce(book_id, -1) AS book_id, book_gap_ms, coalesce(funding_id, -1) AS funding_id, funding_gap_ms, taker_fee, CASE WHEN t.ts - c.at <= INTERVAL 90 MINUTES THEN epoch_us(t.ts - c.at) / 1000 END AS context_gap_ms,
   CASE WHEN t.ts - c.at <= INTERVAL 90 MINUTES THEN rsi END AS rsi FROM t LEFT JOIN book_near USING (id) LEFT JOIN funding_near USING (id) LEFT JOIN fees ON fees.symbol = t.symbol AND fees.venue = t.venue ASOF LEFT JOIN c ON c.symbol = t.symbol AND c.at <= t.ts"""
 
 
@@ -102,7 +105,7 @@ def _aligned(spark, d):
     part = lambda test, *more: t.where(test).select("symbol", "venue", "ts", "id", *more)
     fees = t.select("symbol", "venue", F.col("ts").alias("updated_at"), "id", (F.col("id") % 10 / 10_000).alias("taker_fee"))
     context = hourly_bars(spark, d).select("symbol", F.col("open_time").cast("timestamp_ntz").alias("ts"), F.lit(0).alias("id"), F.col("close").alias("rsi"))
-    return venues.align(part("side = 'buy'"), part("side = 'sell'", F.col("id").alias("book_id")), part("amount > 80", F.col("id").alias("funding_id")), fees, context, ALIGN).drop("book_ts", "funding_ts", "context_ts")
+    return venues.align(part("side = 'buy'"), part("side = 'sell'", F.col("id").alias("book_id")), part("amount > 80", F.col("id").alias("funding_id")), fees, context, ALIGN).drop("book_ts", "funding_ts", "context_ts").na.fill(-1, ["book_id", "funding_id"])
 
 
 def register(query) -> None:
@@ -173,7 +176,7 @@ def register(query) -> None:
         s = sessions(load(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")))
         return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("events").alias("longest"), F.sum("events").alias("events"))
 
-    @query(f"""SELECT symbol, count(*) AS windows, max(volume) AS most, sum(trades)::BIGINT AS counted FROM (SELECT symbol, w, sum(amount) AS volume, count(*) AS trades FROM (SELECT symbol, amount, unnest(range(0, 12)) AS k, time_bucket(INTERVAL 5 MINUTES, ts) - k * INTERVAL 5 MINUTES AS w FROM ({TRADES_SQL}) t) GROUP BY ALL) GROUP BY symbol""", "most")
+    @query(SLIDING_SQL, "most")
     def sliding_volume(spark, d):
         from ..streaming.jobs import sliding_sums
 

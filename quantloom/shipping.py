@@ -13,6 +13,16 @@ _shipped: set[str] = set()
 #: bytes of an Arrow batch; Spark's own limit, 64 MB, costs an executor several times that for each core
 BATCH_BYTES = 4 << 20
 _LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: bytes of a method up to which the JVM compiles it
+METHOD_BYTES = 8_000
+_METHOD = "spark.sql.codegen.hugeMethodLimit"
+
+
+def compiled_methods(spark: SparkSession) -> None:
+    """Lets a session evaluate a wide projection in several methods where one would be too long for the JVM to compile,
+    unless another limit than Spark's own is set: such a method is interpreted, several times slower."""
+    if spark.conf.get(_METHOD) == "65535":
+        spark.conf.set(_METHOD, str(METHOD_BYTES))
 
 
 def ship(spark: SparkSession) -> None:
