@@ -40,7 +40,7 @@ def best_lag(lags: DataFrame) -> DataFrame:
 
 
 def granger(series: DataFrame) -> DataFrame:
-    """(f, p, r2_own, r2_both): does x of the row before tell more about y than y's own past?
+    """(symbol, n, f, p, significant, r2_own, r2_both): does x of the row before tell more about y than y's own past?
     series (symbol, i, x, y). Both regressions follow from sums that one pass gathers."""
     w = W.partitionBy("symbol").orderBy("i")
     rows = series.select("symbol", "y", F.lag("y").over(w).alias("p"), F.lag("x").over(w).alias("q")).where("p is not null")
@@ -53,7 +53,8 @@ def granger(series: DataFrame) -> DataFrame:
     both = F.when(F.abs(det) < 1e-12, own).otherwise((F.col("qq") * F.col("py") * F.col("py") - 2 * F.col("pq") * F.col("py") * F.col("qy") + F.col("pp") * F.col("qy") * F.col("qy")) / det)
     m = m.withColumns({"rss_own": F.col("n") * (F.col("yy") - own), "rss_both": F.col("n") * (F.col("yy") - both)})
     m = m.withColumn("f", F.coalesce(F.try_divide(F.col("rss_own") - F.col("rss_both"), F.col("rss_both") / (F.col("n") - 3)), F.lit(0.0)))
-    return m.select("symbol", "n", "f", f_tail(F.col("f"), F.lit(1.0), F.col("n") - 3).alias("p"), F.try_divide(own, "yy").alias("r2_own"), F.try_divide(both, "yy").alias("r2_both"))
+    m = m.withColumn("p", f_tail(F.col("f"), F.lit(1.0), F.col("n") - 3))
+    return m.select("symbol", "n", "f", "p", (F.col("p") < 0.05).alias("significant"), F.try_divide(own, "yy").alias("r2_own"), F.try_divide(both, "yy").alias("r2_both"))
 
 
 def normal_tail(z: Column) -> Column:
@@ -67,11 +68,13 @@ def normal_tail(z: Column) -> Column:
 
 
 def f_tail(f: Column, d1: Column, d2: Column) -> Column:
-    """P(F > f), by the cube-root normal approximation."""
-    a, b = 2 / (9 * d1), 2 / (9 * d2)
-    x = F.pow(F.greatest(f, F.lit(0.0)), 1 / 3)
-    z = ((1 - b) * x - (1 - a)) / F.sqrt(b * x * x + a)
-    return F.when(z >= 0, normal_tail(F.abs(z))).otherwise(1 - normal_tail(F.abs(z)))
+    """How likely a larger F is, by a cube-root normal approximation of the scaled statistic f * d1 / d2, to four digits: 1 where the
+    statistic is not above what that expects, and without degrees of freedom."""
+    scaled = F.pow(F.greatest(f, F.lit(0.0)) * d1 / d2, 1 / 3)
+    spread = 2 / (9 * d2) + scaled * scaled * 2 / (9 * d1)
+    z = (scaled - (1 - 2 / (9 * d2))) / F.sqrt(spread)
+    none = (f <= 0) | (d1 <= 0) | (d2 <= 0)
+    return F.when(none, 1.0).when(z <= 0, 1.0).otherwise(F.round(F.least(F.lit(1.0), normal_tail(F.abs(z))), 4))
 
 
 def order_statistic(x: str, q: float, least: int = 0) -> Column:

@@ -41,18 +41,14 @@ def clipped(x: Column, low: float, high: float) -> Column:
 # Regimes -----------------------------------------------------------------------------------
 
 
-def regimes(p: DataFrame, crisis: float = -0.15, trending: float = 25.0) -> DataFrame:
-    """(symbol, price_regime, confidence, volatility_regime, momentum_regime): from the drawdown of summed
-    returns, the trend strength of the last 14 bars and the last 20 returns' volatility."""
+def regimes(p: DataFrame, strength: DataFrame, crisis: float = -0.15, trending: float = 25.0) -> DataFrame:
+    """(symbol, price_regime, confidence, volatility_regime, momentum_regime): from the deepest fall of summed returns, the last 20 returns'
+    volatility, and strength (symbol, adx, rsi), which the indicator engine gives of a symbol's last bar; 0 and 50 where it gives none."""
     peak = F.max("c").over(W.partitionBy("symbol").orderBy("open_time"))
     p = p.withColumn("dd", F.col("c") - F.greatest(F.lit(0.0), peak))
-    near = F.col("back") < 14
-    f = p.groupBy("symbol").agg(
-        F.sum("r").alias("total"), F.min("dd").alias("dd"), F.stddev_samp(_when(F.col("back") < 20, "r")).alias("vol"),
-        F.sum(_when(near, F.greatest("r", F.lit(0.0)))).alias("up"), F.sum(_when(near, F.abs("r"))).alias("moved"), F.abs(F.sum(_when(near, "r"))).alias("net"),
-    )
-    adx = F.coalesce(F.try_divide(100 * F.col("net"), "moved"), F.lit(0.0))
-    f = f.withColumns({"adx": adx, "rsi": F.coalesce(F.try_divide(100 * F.col("up"), "moved"), F.lit(50.0)), "year": F.coalesce(F.col("vol"), F.lit(0.0)) * F.sqrt(F.lit(365.0))})
+    f = p.groupBy("symbol").agg(F.sum("r").alias("total"), F.min("dd").alias("dd"), F.stddev_samp(_when(F.col("back") < 20, "r")).alias("vol"))
+    f = f.join(strength.select("symbol", "adx", "rsi"), "symbol", "left").fillna({"adx": 0.0, "rsi": 50.0})
+    f = f.withColumn("year", F.coalesce(F.col("vol"), F.lit(0.0)) * F.sqrt(F.lit(365.0)))
     in_crisis, in_trend = F.col("dd") <= crisis, F.col("adx") >= trending
     return f.select(
         "symbol",
@@ -157,8 +153,8 @@ def lead(correlations: DataFrame, n: DataFrame) -> DataFrame:
 # Venues and flow -----------------------------------------------------------------------------
 
 
-def venue_statistics(closes: DataFrame, opportunity_bps: float = 5.0) -> DataFrame:
-    """(symbol, a, b, hours, avg_spread_bps, duration_seconds, correlation, efficiency) of each pair of venues, from
+def venue_statistics(closes: DataFrame, opportunity_bps: float = 5.0, window_minutes: int = 60) -> DataFrame:
+    """(symbol, a, b, hours, avg_spread_bps, duration_seconds, frequency_per_hour, correlation, efficiency) of each pair of venues, from
     closes (symbol, venue, open_time, close); pairs with fewer than two common bars are left out."""
     a, b = (closes.select("symbol", "open_time", F.col("venue").alias(x), F.col("close").alias("c" + x)) for x in "ab")
     mid = (F.col("ca") + F.col("cb")) / 2
@@ -170,7 +166,8 @@ def venue_statistics(closes: DataFrame, opportunity_bps: float = 5.0) -> DataFra
     ).where("hours >= 2")
     loss = F.least(5.0 * F.col("k"), F.lit(50.0)) + F.least(F.col("m"), F.lit(30.0)) + F.least(F.greatest(F.col("top") - 50, F.lit(0.0)) / 2, F.lit(20.0))
     r = F.when(F.col("hours") >= 5, F.coalesce(F.nanvl("r", F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
-    return f.select("symbol", "a", "b", "hours", "avg_spread_bps", "duration_seconds", r.alias("correlation"), F.when(F.col("k") == 0, 100.0).otherwise(clipped(100 - loss, 0, 100)).alias("efficiency"))
+    often = (F.col("hours") / (window_minutes / 60)).alias("frequency_per_hour")
+    return f.select("symbol", "a", "b", "hours", "avg_spread_bps", "duration_seconds", often, r.alias("correlation"), F.when(F.col("k") == 0, 100.0).otherwise(clipped(100 - loss, 0, 100)).alias("efficiency"))
 
 
 def flow_states(hours: DataFrame) -> DataFrame:
@@ -217,14 +214,16 @@ def settlement_cycle(rates: DataFrame) -> DataFrame:
 
 
 def supply_pulse(hours: DataFrame, p: DataFrame) -> DataFrame:
-    """(symbol, net_mint, smoothed, correlation): minted (buy) less burned (sell) over both, the changes smoothed with weight
+    """(symbol, net_mint, smoothed, correlation): minted (buy) less burned (sell) over both in the last 24 hours before the symbol's newest bar, the changes smoothed with weight
     2 / (n + 1), and the pulse's correlation with returns of the same hours. hours (symbol, open_time, buy, sell)."""
     both = hours.join(p.select("symbol", "open_time", "r", "i", "back", "n"), ["symbol", "open_time"])
     net, gross = F.col("buy") - F.col("sell"), F.col("buy") + F.col("sell")
     alpha = 2.0 / (F.col("n") + 1)
     weight = F.when(F.col("i") == 1, F.pow(1 - alpha, F.col("n") - 1)).otherwise(alpha * F.pow(1 - alpha, "back"))
+    newest = F.max("open_time").over(W.partitionBy("symbol"))
+    both = both.withColumn("day", F.col("open_time") > newest - F.expr("INTERVAL 24 HOURS"))
     f = both.groupBy("symbol").agg(
-        F.try_divide(F.sum(net), F.sum(gross)).alias("net_mint"), F.sum(net * weight).alias("smoothed"), F.corr(F.coalesce(F.try_divide(net, gross), F.lit(0.0)), F.col("r")).alias("c")
+        F.try_divide(F.sum(F.when(F.col("day"), net)), F.sum(F.when(F.col("day"), gross))).alias("net_mint"), F.sum(net * weight).alias("smoothed"), F.corr(F.coalesce(F.try_divide(net, gross), F.lit(0.0)), F.col("r")).alias("c")
     )
     return f.select("symbol", F.coalesce("net_mint", F.lit(0.0)).alias("net_mint"), "smoothed", F.coalesce(F.nanvl("c", F.lit(0.0)), F.lit(0.0)).alias("correlation"))
 
@@ -336,18 +335,27 @@ def liquidity_by_time(p: DataFrame) -> DataFrame:
     return means.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("hour", "weekday")})
 
 
-def large_trades(trades: DataFrame, share: float = 0.99) -> DataFrame:
-    """(symbol, event_id, notional) of trades at or above the notional at place int(share * n) of their symbol's, in order. Ranks come
-    from a window, so a symbol's trades spill rather than fill a task's memory."""
-    rows = trades.select("symbol", "event_id", (F.col("price") * F.col("amount")).alias("notional"))
-    w = W.partitionBy("symbol")
-    ranked = rows.withColumns({"k": F.row_number().over(w.orderBy("notional", "event_id")), "n": F.count("*").over(w)})
-    limits = ranked.where(F.col("k") == F.least(F.col("n"), F.floor(F.col("n") * share) + 1)).select("symbol", F.col("notional").alias("least"))
-    return rows.join(limits, "symbol").where("notional >= least").select("symbol", "event_id", "notional")
+def large_trades(flow: DataFrame, percentile: float = 95.0) -> DataFrame:
+    """(symbol, venue, open_time, largest_trade, avg_trade, trade_count, net_taker, threshold) of the bars of flow whose largest trade reaches the one at place
+    int(n * percentile / 100) of the venue's bars, in order. Ranks come from a window, so a venue's bars spill rather than fill a task's memory."""
+    rows = flow.select(
+        "symbol", "venue", "open_time", F.coalesce("largest", F.lit(0.0)).alias("largest_trade"), ((F.col("buy_notional") + F.col("sell_notional")) / F.col("trades")).alias("avg_trade"),
+        F.col("trades").alias("trade_count"), "net_taker",
+    )
+    w = W.partitionBy("symbol", "venue")
+    ranked = rows.withColumns({"k": F.row_number().over(w.orderBy("largest_trade", "open_time")) - 1, "n": F.count("*").over(w)})
+    at = F.col("k") == F.floor(F.col("n") * percentile / 100)
+    marked = ranked.withColumn("threshold", F.max(F.when(at, F.col("largest_trade"))).over(w))
+    return marked.where("largest_trade >= threshold").drop("k", "n")
 
 
 def reversion_candidates(p: DataFrame, window: int = 50, threshold: float = 2.0) -> DataFrame:
-    """(symbol, open_time, z, side) of bars whose close is that many deviations off the mean of the last ``window``."""
-    w = W.partitionBy("symbol").orderBy("open_time").rowsBetween(1 - window, 0)
-    z = F.when(F.count("close").over(w) == window, F.try_divide(F.col("close") - F.avg("close").over(w), F.stddev_pop("close").over(w)))
-    return p.select("symbol", "open_time", z.alias("z")).where(F.abs("z") >= threshold).withColumn("side", F.when(F.col("z") > 0, "short").otherwise("long"))
+    """(symbol, zscore, current_price, mean_price, deviation_pct, direction) of the symbols whose last close is that many deviations off the mean of the last ``window``
+    closes; the mean is what a reversion would reach. Symbols with fewer bars are left out."""
+    near = p.where(F.col("back") < window).groupBy("symbol").agg(F.count("*").alias("n"), F.avg("close").alias("mean_price"), F.stddev_pop("close").alias("sd"), F.max_by("close", "open_time").alias("current_price"))
+    z = F.coalesce(F.try_divide(F.col("current_price") - F.col("mean_price"), "sd"), F.lit(0.0))
+    found = near.where(F.col("n") == window).withColumn("zscore", z).where(F.abs("zscore") >= threshold)
+    return found.select(
+        "symbol", "zscore", "current_price", "mean_price", ((F.col("current_price") - F.col("mean_price")) / F.col("mean_price") * 100).alias("deviation_pct"),
+        F.when(F.col("zscore") < 0, "oversold").otherwise("overbought").alias("direction"),
+    )

@@ -289,10 +289,12 @@ def optimal_lag(spark, d):
 
 @query(f"""WITH r AS (SELECT symbol, y, lag(y) OVER w AS p, lag(x) OVER w AS q FROM {_NUMBERED} n WINDOW w AS (PARTITION BY symbol ORDER BY i)),
  m AS (SELECT symbol, count(*) AS n, var_pop(y) AS yy, var_pop(p) AS pp, var_pop(q) AS qq, covar_pop(p, q) AS pq, covar_pop(p, y) AS py, covar_pop(q, y) AS qy FROM r WHERE p IS NOT NULL GROUP BY symbol),
- s AS (SELECT *, py * py / pp AS own, (qq * py * py - 2 * pq * py * qy + pp * qy * qy) / (pp * qq - pq * pq) AS both_ FROM m)
- SELECT symbol, n, (both_ - own) / ((yy - both_) / (n - 3)) AS f, own / yy AS r2_own, both_ / yy AS r2_both FROM s""", "f r2_own r2_both")
+ s AS (SELECT *, py * py / pp AS own, (qq * py * py - 2 * pq * py * qy + pp * qy * qy) / (pp * qq - pq * pq) AS both_ FROM m),
+ t AS (SELECT *, (both_ - own) / ((yy - both_) / (n - 3)) AS f FROM s), z AS (SELECT *, ((f / (n - 3)) ** (1 / 3) - 1 + 2 / (9 * (n - 3))) / sqrt(2 / (9 * (n - 3)) + (f / (n - 3)) ** (2 / 3) * 2 / 9) AS z FROM t), k AS (SELECT *, 1 / (1 + 0.2316419 * z) AS k FROM z),
+ p AS (SELECT *, CASE WHEN f <= 0 OR z <= 0 THEN 1 ELSE round(least(1, 0.3989422804 * exp(-z ** 2 / 2) * (0.3193815 * k - 0.3565638 * k ** 2 + 1.781478 * k ** 3 - 1.821256 * k ** 4 + 1.330274 * k ** 5)), 4) END AS p FROM k)
+ SELECT symbol, n, f, p, p < 0.05 AS significant, own / yy AS r2_own, both_ / yy AS r2_both FROM p""", "f p:3 r2_own r2_both")
 def granger_causality(spark, d):
-    return cross.granger(_numbered(spark, d)).drop("p")
+    return cross.granger(_numbered(spark, d))
 
 
 _RETURNS = f"(SELECT symbol, open_time, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY open_time)) AS r FROM ({BARS_SQL}) b)"

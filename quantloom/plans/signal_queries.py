@@ -6,7 +6,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import bars, signals
+from ..operators.recursive import recursive
+from ..operators.temporal import latest
 from ..sources.adapters import BARS_SQL, QUOTES_SQL, TRADES_SQL, hourly_bars, load, trades
+from . import smoothed_sql
 
 P = f"""(SELECT *, n - i AS back, sum(r) OVER (PARTITION BY symbol ORDER BY i) AS c FROM (
  SELECT symbol, open_time, open, high, low, close, volume, row_number() OVER w AS i, count(*) OVER (PARTITION BY symbol) AS n, coalesce(ln(close / lag(close) OVER w), 0) AS r,
@@ -26,22 +29,25 @@ def register(query, contagion_sql: str, contagion, clusters_sql: str, clusters)
         return trades(spark, d).groupBy("symbol", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("open_time")).agg(side("buy"), side("sell"))
 
     @query(f"""WITH d AS (SELECT symbol, min(c - greatest(0, top)) AS dd FROM (SELECT symbol, c, max(c) OVER (PARTITION BY symbol ORDER BY i) AS top FROM {P}) GROUP BY symbol),
- f AS (SELECT symbol, sum(r) AS total, coalesce(stddev_samp(r) FILTER (back < 20), 0) * sqrt(365) AS year, sum(abs(r)) FILTER (back < 14) AS moved, abs(sum(r) FILTER (back < 14)) AS net, sum(r) FILTER (back < 14 AND r > 0) AS up FROM {P} GROUP BY symbol),
- g AS (SELECT symbol, total, year, dd, CASE WHEN moved > 0 THEN net / moved * 100 ELSE 0 END AS adx, CASE WHEN moved > 0 THEN coalesce(up, 0) / moved * 100 ELSE 50 END AS rsi FROM f JOIN d USING (symbol))
+ f AS (SELECT symbol, sum(r) AS total, coalesce(stddev_samp(r) FILTER (back < 20), 0) * sqrt(365) AS year FROM {P} GROUP BY symbol), e AS (SELECT symbol, coalesce(arg_max_null(adx_14, open_time), 0) AS adx, coalesce(arg_max_null(rsi_14, open_time), 50) AS rsi FROM ({smoothed_sql.sql(BARS_SQL)}) x GROUP BY symbol),
+ g AS (SELECT * FROM f JOIN d USING (symbol) JOIN e USING (symbol))
  SELECT symbol, CASE WHEN dd <= -0.15 THEN 'crisis' WHEN adx < 25 THEN 'ranging' WHEN total > 0 THEN 'trending_up' ELSE 'trending_down' END AS price_regime,
   CASE WHEN dd <= -0.15 THEN least(1, -dd / 0.3) WHEN adx < 25 THEN greatest(0.3, 1 - adx / 25) ELSE least(1, adx / 50) END AS confidence,
   CASE WHEN year >= 1 THEN 'extreme' WHEN year >= 0.6 THEN 'high' WHEN year >= 0.3 THEN 'normal' ELSE 'low' END AS volatility_regime,
   CASE WHEN rsi < 30 THEN 'strong_down' WHEN rsi < 45 THEN 'weak_down' WHEN rsi < 55 THEN 'neutral' WHEN rsi < 70 THEN 'weak_up' ELSE 'strong_up' END AS momentum_regime FROM g""", "confidence")
     def regime_classification(spark, d):
-        return signals.regimes(panel(spark, d))
+        """With the trend and momentum strength that the indicator engine has for each symbol's last bar."""
+        last = latest(recursive(hourly_bars(spark, d)).select("symbol", "open_time", F.col("adx_14").alias("adx"), F.col("rsi_14").alias("rsi")), ["symbol"], "open_time")
+        return signals.regimes(panel(spark, d), last)
 
-    @query(f"""WITH c AS (SELECT a.symbol AS a, b.symbol AS b, corr(a.close, b.close) AS corr FROM {P} a JOIN {P} b ON a.back = b.back WHERE a.symbol < b.symbol GROUP BY ALL)
+    @query(f"""WITH c AS (SELECT a.symbol AS a, b.symbol AS b, corr(a.close, b.close) AS corr FROM {P} a JOIN {P} b ON a.open_time = b.open_time WHERE a.symbol < b.symbol GROUP BY ALL)
  SELECT a, b, corr, CASE WHEN abs(corr) < 0.4 THEN 'decorrelated' WHEN abs(corr) < 0.7 THEN 'moderate_corr' ELSE 'high_corr' END AS label,
   CASE WHEN m > 0.7 THEN 'high_correlation' WHEN m > 0.4 THEN 'moderate_correlation' WHEN m > 0.1 THEN 'low_correlation' ELSE 'decorrelated' END AS market FROM c, (SELECT avg(corr) AS m FROM c)""", "corr")
     def correlation_regimes(spark, d):
+        """Closes of the same hour; an hour that one symbol lacks says nothing of the pair."""
         p = panel(spark, d)
-        a, b = (p.select("back", F.col("symbol").alias(x), F.col("close").alias("c" + x)) for x in "ab")
-        return signals.correlation_labels(a.join(b, "back").where("a < b").groupBy("a", "b").agg(F.corr("ca", "cb").alias("corr")))
+        a, b = (p.select("open_time", F.col("symbol").alias(x), F.col("close").alias("c" + x)) for x in "ab")
+        return signals.correlation_labels(a.join(b, "open_time").where("a < b").groupBy("a", "b").agg(F.corr("ca", "cb").alias("corr")))
 
     @query(f"""WITH f AS (SELECT symbol, count(*) AS n, sum(r) FILTER (back = 0) AS x, avg(r) FILTER (back > 0) AS m, stddev_samp(r) FILTER (back > 0) AS sd, avg(s) FILTER (back <= 4) AS recent, avg(s) FILTER (back > 4) AS earlier FROM {P} GROUP BY symbol),
  g AS (SELECT *, abs(recent - coalesce(earlier, recent)) AS moved FROM f)
@@ -79,7 +85,7 @@ def register(query, contagion_sql: str, contagion, clusters_sql: str, clusters)
         return signals.lead(signals.lagged_correlations(p), p.groupBy("symbol").agg(F.count("*").alias("n")))
 
     @query(f"""WITH x AS (SELECT a.symbol, a.venue AS a, b.venue AS b, open_time, a.close AS ca, b.close AS cb, abs(a.close - b.close) / ((a.close + b.close) / 2) * 10000 AS bps FROM {VENUE_CLOSES} a JOIN {VENUE_CLOSES} b USING (symbol, open_time) WHERE a.venue < b.venue)
- SELECT symbol, a, b, count(*) AS hours, avg(bps) AS avg_spread_bps, (epoch(max(open_time)) - epoch(min(open_time)))::BIGINT AS duration_seconds, CASE WHEN count(*) >= 5 THEN coalesce(corr(ca, cb), 0) ELSE 0 END AS correlation,
+ SELECT symbol, a, b, count(*) AS hours, avg(bps) AS avg_spread_bps, (epoch(max(open_time)) - epoch(min(open_time)))::BIGINT AS duration_seconds, count(*)::DOUBLE AS frequency_per_hour, CASE WHEN count(*) >= 5 THEN coalesce(corr(ca, cb), 0) ELSE 0 END AS correlation,
   CASE WHEN count(*) FILTER (bps > 5) = 0 THEN 100 ELSE greatest(0, 100 - least(50, 5 * count(*) FILTER (bps > 5)) - least(30, avg(bps) FILTER (bps > 5)) - least(20, greatest(0, max(bps) - 50) / 10 * 5)) END AS efficiency FROM x GROUP BY symbol, a, b HAVING count(*) >= 2""",
         "avg_spread_bps correlation efficiency")
     def venue_statistics(spark, d):
@@ -105,8 +111,8 @@ def register(query, contagion_sql: str, contagion, clusters_sql: str, clusters)
     def settlement_cycle(spark, d):
         return signals.settlement_cycle(panel(spark, d).select("symbol", F.col("open_time").alias("ts"), F.col("r").alias("rate")))
 
-    @query(f"""WITH x AS (SELECT h.symbol, buy - sell AS net, buy + sell AS gross, r, i, back, n, 2.0::DOUBLE / (n + 1) AS a FROM {HOURS} h JOIN {P} p USING (symbol, open_time))
- SELECT symbol, coalesce(sum(net) / nullif(sum(gross), 0), 0) AS net_mint, sum(net * CASE WHEN i = 1 THEN pow(1 - a, n - 1) ELSE a * pow(1 - a, back) END) AS smoothed, coalesce(corr(coalesce(net / nullif(gross, 0), 0), r), 0) AS correlation FROM x GROUP BY symbol""", "net_mint smoothed correlation")
+    @query(f"""WITH x AS (SELECT h.symbol, buy - sell AS net, buy + sell AS gross, r, i, back, n, 2.0::DOUBLE / (n + 1) AS a, max(open_time) OVER (PARTITION BY symbol) - open_time < INTERVAL 24 HOURS AS day FROM {HOURS} h JOIN {P} p USING (symbol, open_time))
+ SELECT symbol, coalesce(sum(net) FILTER (day) / nullif(sum(gross) FILTER (day), 0), 0) AS net_mint, sum(net * CASE WHEN i = 1 THEN pow(1 - a, n - 1) ELSE a * pow(1 - a, back) END) AS smoothed, coalesce(corr(coalesce(net / nullif(gross, 0), 0), r), 0) AS correlation FROM x GROUP BY symbol""", "net_mint smoothed correlation")
     def supply_pulse(spark, d):
         return signals.supply_pulse(hours(spark, d), panel(spark, d))
 
@@ -162,15 +168,16 @@ def register(query, contagion_sql: str, contagion, clusters_sql: str, clusters)
     def liquidity_by_time(spark, d):
         return signals.liquidity_by_time(panel(spark, d))
 
-    @query(f"""WITH x AS (SELECT symbol, event_id, price * amount AS notional FROM ({TRADES_SQL}) t), l AS (SELECT symbol, list_sort(list(notional)) AS v, count(*) AS n FROM x GROUP BY symbol)
- SELECT x.symbol, event_id, notional FROM x JOIN l USING (symbol) WHERE notional >= v[least(n, floor(n * 0.99)::BIGINT + 1)]""", "notional")
+    @query(f"""WITH x AS (SELECT symbol, venue, date_trunc('hour', ts)::TIMESTAMP AS open_time, max(price * amount) AS largest_trade, avg(price * amount) AS avg_trade, count(*) AS trade_count, sum(CASE side WHEN 'buy' THEN price * amount ELSE -price * amount END) AS net_taker FROM ({TRADES_SQL}) t GROUP BY ALL),
+ l AS (SELECT symbol, venue, list_sort(list(largest_trade)) AS v FROM x GROUP BY ALL) SELECT x.*, v[len(v) * 95 // 100 + 1] AS threshold FROM x JOIN l USING (symbol, venue) WHERE largest_trade >= v[len(v) * 95 // 100 + 1]""", "largest_trade avg_trade net_taker threshold")
     def large_trades(spark, d):
-        return signals.large_trades(trades(spark, d))
+        return signals.large_trades(bars.trade_flow(trades(spark, d)))
 
-    @query(f"""SELECT symbol, open_time, z, CASE WHEN z > 0 THEN 'short' ELSE 'long' END AS side FROM (SELECT symbol, open_time, CASE WHEN count(*) OVER w = 50 THEN (close - avg(close) OVER w) / nullif(stddev_pop(close) OVER w, 0) END AS z FROM ({BARS_SQL}) b
- WINDOW w AS (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)) WHERE abs(z) >= 2""", "z")
+    @query(f"""SELECT symbol, zscore, current_price, mean_price, (current_price / mean_price - 1) * 100 AS deviation_pct, CASE WHEN zscore > 0 THEN 'overbought' ELSE 'oversold' END AS direction FROM (SELECT symbol, arg_max(close, i) AS current_price, avg(close) AS mean_price,
+ (arg_max(close, i) - avg(close)) / nullif(stddev_pop(close), 0) AS zscore FROM {P} WHERE back < 50 GROUP BY symbol HAVING count(*) = 50) WHERE abs(zscore) >= 1""", "zscore mean_price deviation_pct")
     def reversion_candidates(spark, d):
-        return signals.reversion_candidates(panel(spark, d))
+        """With a lower threshold than the usual 2, at which few of the given tables' symbols are candidates."""
+        return signals.reversion_candidates(panel(spark, d), threshold=1.0)
 
     numbers = "l_orderkey, l_linenumber, l_discount * 10 AS u, l_tax * 12.5 AS v, l_quantity * 2 AS h, l_discount * 20 - 1 AS s, l_tax * 25 - 1 AS r"
 
