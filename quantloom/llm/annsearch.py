@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .staging import stage
 
 SAMPLE = 8192
@@ -194,6 +195,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, parts: int | None =
     With fewer than k other rows a query gets them all; an empty table gives no rows.
     """
     spark = vectors.sparkSession
+    ship(spark)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", is_query.alias("asks")).where(F.col("vec_id").isNotNull() & takes_part(F.col("embedding")))
     sizes = vectors.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()

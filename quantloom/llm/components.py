@@ -13,8 +13,8 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps: every node first hands its larger, then its smaller neighbours to
     the smallest node it knows. The number of rounds grows with the logarithm of the
-    longest chain; the smallest neighbour is found by a partial aggregate, so a node with very
-    many links is no more work for a task than any other.
+    longest chain. The smallest neighbour is found by a partial aggregate, but the joins bring all links of a node
+    together: a node with very many is one task's work, unless the session splits skewed joins.
     """
     edges = stage(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     seen = None

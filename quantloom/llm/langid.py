@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .tables import crc_mod
 from .textbytes import LOWER, raw, slices
 
@@ -172,6 +173,7 @@ def _collect_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def fit(docs: DataFrame) -> Model | None:
     """Trains on docs (doc_id, text, lang) outside the held-out fold; None if nothing is labelled."""
+    ship(docs.sparkSession)
     order = F.xxhash64("doc_id")
     known = docs.where((F.coalesce(crc_mod("doc_id", 5), F.lit(1)) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     # Of each language only rows below a place that about twice as many lie under as are wanted: a common
@@ -193,8 +195,9 @@ def fit(docs: DataFrame) -> Model | None:
     langs = sorted(set(rows["lang"].to_pylist()))
     at = {x: i for i, x in enumerate(langs)}
     features = [(b.values.to_numpy(), c.values.to_numpy()) for b, c in zip(rows["buckets"], rows["counts"], strict=True)]
-    keys = [f"{lang}{int(c.sum())}{int(b[:8].sum())}" for lang, (b, c) in zip(rows["lang"].to_pylist(), features, strict=True)]
-    order = np.argsort(np.array(keys), kind="stable")[: 2 * TRAIN_MOST]  # the same order whatever tasks came first; ids that repeat may add rows
+    # The same order whatever tasks came first: rows that are equal in all of this are the same to the training. Ids that repeat may add rows.
+    keys = [(lang, b.tobytes(), c.tobytes()) for lang, (b, c) in zip(rows["lang"].to_pylist(), features, strict=True)]
+    order = np.array(sorted(range(len(keys)), key=keys.__getitem__)[: 2 * TRAIN_MOST])
     return train([features[i] for i in order], np.array([at[x] for x in rows["lang"].to_pylist()])[order], langs)
 
 
@@ -204,6 +207,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     A null text and one without a letter are 'und', with score 0, and not accepted. Without any
     labelled text all are 'und'. Repeated rows are answered alike; an empty table gives no rows.
     """
+    ship(docs.sparkSession)
     model = model or fit(docs)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .staging import discard, stage
 from .tables import crc_mod
 from .textbytes import NOT_SPACE, U64, Words, mix, slices
@@ -427,6 +428,7 @@ class Model:
 
 def count_words(train: DataFrame) -> DataFrame:
     """(h, n): exact counts of all tokens."""
+    ship(train.sparkSession)
     once = train.select("text").mapInArrow(_count(lambda t, o: t, _rows), "h long, n long")
     return once.groupBy("h").agg(F.sum("n").alias("n"))
 
@@ -479,6 +481,7 @@ def score_documents(docs: DataFrame, bits: int = FILTER_BITS, frequent: int = FR
     not held out. A null or empty text is its end token alone. Without any training text all
     counts are 0. Repeated rows count as often as they stand there; an empty table gives no rows.
     """
+    ship(docs.sparkSession)
     held = (F.coalesce(crc_mod("doc_id", 5), F.lit(0)) == 1).alias("held_out")
     docs = docs.select("doc_id", "text", held)
     model, words, filled = fit(docs.where(~F.col("held_out")), bits, frequent)
