@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import jaccard, langid, mixing, packing, quality
-from quantloom.llm.staging import stage
+from quantloom.llm.staging import discard, stage
 from quantloom.llm.tables import table
 
 
@@ -61,9 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Pieces of sequences from the table documents. What a stage wrote is deleted when the next one has written; an empty table
+    gives no pieces."""
+    docs, written = table(spark, sf_dir, "documents"), None
     for number, (_, step) in enumerate(STAGES):
         docs = step(spark, docs, sf_dir)
         if number + 1 < len(STAGES):
             docs = stage(docs, f"pipeline-{number}")
+            if written is not None:
+                discard(written)
+            written = docs
     return docs
