@@ -14,7 +14,7 @@ from ..functions.dialect import DUCKDB
 from ..operators import backtest, bars, cross, flow, recursive, temporal
 from ..shipping import compiled_methods
 from ..sources.adapters import BARS_SQL, QUOTES_SQL, TRADES_SQL, hourly_bars, load, quotes, trades
-from . import enrichment_queries, history_queries, indicators, lab_queries, notice_queries, score_sql, screen_queries, series_queries, signal_queries, smoothed_sql, stream_queries, venue_queries
+from . import enrichment_queries, history_queries, indicators, lab_queries, narrative_queries, notice_queries, score_sql, screen_queries, series_queries, signal_queries, smoothed_sql, stream_queries, venue_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -603,3 +603,4 @@ history_queries.register(query)
 stream_queries.register(query)
 screen_queries.register(query)
 notice_queries.register(query)
+narrative_queries.register(query)
