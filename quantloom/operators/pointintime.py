@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import insort
+from math import fma
 
 import numpy as np
 import pandas as pd
@@ -103,9 +104,9 @@ def _walk(q: float, least: int):
             else:
                 place = (n - 1) * q
                 low = int(place)
-                a = held[low - below]
-                b = held[min(low + 1, n - 1) - below]
-                found.append(a + (b - a) * (place - low))
+                share = place - low
+                # As the SQL's engine rounds it, so that ties of later rounding agree.
+                found.append(fma(held[low - below], 1 - share, held[min(low + 1, n - 1) - below] * share))
             if not np.isnan(v):
                 insort(held, v)
                 n += 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -103,6 +104,12 @@ def evidence(spark, d):
     return seen.select("band", F.when(~F.col("band").isin(*GLOBAL), F.col("l_partkey") % 50).alias("symbol"), F.col("l_shipdate").alias("observed"), late.alias("available"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_extendedprice").alias("value"))
 
 
+def scaled_round(x: Column, digits: int) -> Column:
+    """A double rounded as the SQL's engine does: scaled, rounded to a whole number, scaled back. Spark rounds the shortest decimal instead, so that
+    ties such as 0.5103125, which is stored a little below, go the other way."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def readiness(spark, d):
     moments = load(spark, d, "orders").select((F.col("o_custkey") % 50).alias("symbol"), F.col("o_orderdate").alias("at")).distinct()
     return pit.band_readiness(moments, evidence(spark, d), "id")
@@ -138,9 +145,10 @@ def register(query) -> None:
  SELECT moment, b, threshold, coalesce(b <= threshold, false)::INT AS scarce FROM t""", "b threshold")
     def scarce_days(spark, d):
         """Days whose mean breadth is in the lowest fifth of all days before."""
-        market = pit.world(readiness(spark, d)).groupBy("at").agg(F.round(F.avg("b_hier"), 9).alias("b")).withColumn("market", F.lit(1))
+        market = pit.world(readiness(spark, d)).groupBy("at").agg(scaled_round(F.avg("b_hier"), 9).alias("b")).withColumn("market", F.lit(1))
         found = pit.expanding_quantile(market, ["market"], ["at"], "b", 0.2, 60)
-        return found.select(F.col("at").alias("moment"), "b", "threshold", F.coalesce((F.col("b") <= F.col("threshold")).cast("int"), F.lit(0)).alias("scarce"))
+        scarce = F.coalesce((F.col("b") <= F.col("threshold")).cast("int"), F.lit(0))
+        return found.select(F.col("at").alias("moment"), *(scaled_round(F.col(c), 6).alias(c) for c in ("b", "threshold")), scarce.alias("scarce"))
 
     @query(f"WITH {_GRID_SQL} SELECT place::INT AS place, point, ann_return, ann_vol, sharpe, ce, abstain_rate, n_days, ac_thr, c_thr, casc_only_thr, admitted, chosen FROM graded", STATS)
     def lab_calibration(spark, d):
