@@ -350,12 +350,13 @@ def large_trades(flow: DataFrame, percentile: float = 95.0) -> DataFrame:
 
 
 def reversion_candidates(p: DataFrame, window: int = 50, threshold: float = 2.0) -> DataFrame:
-    """(symbol, zscore, current_price, mean_price, deviation_pct, direction) of the symbols whose last close is that many deviations off the mean of the last ``window``
-    closes; the mean is what a reversion would reach. Symbols with fewer bars are left out."""
-    near = p.where(F.col("back") < window).groupBy("symbol").agg(F.count("*").alias("n"), F.avg("close").alias("mean_price"), F.stddev_pop("close").alias("sd"), F.max_by("close", "open_time").alias("current_price"))
-    z = F.coalesce(F.try_divide(F.col("current_price") - F.col("mean_price"), "sd"), F.lit(0.0))
-    found = near.where(F.col("n") == window).withColumn("zscore", z).where(F.abs("zscore") >= threshold)
+    """(symbol, open_time, back, zscore, current_price, mean_price, deviation_pct, direction) of every bar whose close is that many deviations off the mean of the
+    ``window`` closes up to it; the mean is what a reversion would reach. The symbols that are candidates now are the rows with back 0. Bars with fewer before them are left out."""
+    w = W.partitionBy("symbol").orderBy("open_time").rowsBetween(1 - window, 0)
+    near = p.withColumns({"held": F.count("*").over(w), "mean_price": F.avg("close").over(w), "sd": F.stddev_pop("close").over(w)}).where(F.col("held") == window)
+    z = F.coalesce(F.try_divide(F.col("close") - F.col("mean_price"), "sd"), F.lit(0.0))
+    found = near.withColumn("zscore", z).where(F.abs("zscore") >= threshold)
     return found.select(
-        "symbol", "zscore", "current_price", "mean_price", ((F.col("current_price") - F.col("mean_price")) / F.col("mean_price") * 100).alias("deviation_pct"),
+        "symbol", "open_time", "back", "zscore", F.col("close").alias("current_price"), "mean_price", ((F.col("close") - F.col("mean_price")) / F.col("mean_price") * 100).alias("deviation_pct"),
         F.when(F.col("zscore") < 0, "oversold").otherwise("overbought").alias("direction"),
     )

@@ -173,10 +173,10 @@ def register(query, contagion_sql: str, contagion, clusters_sql: str, clusters)
     def large_trades(spark, d):
         return signals.large_trades(bars.trade_flow(trades(spark, d)))
 
-    @query(f"""SELECT symbol, zscore, current_price, mean_price, (current_price / mean_price - 1) * 100 AS deviation_pct, CASE WHEN zscore > 0 THEN 'overbought' ELSE 'oversold' END AS direction FROM (SELECT symbol, arg_max(close, i) AS current_price, avg(close) AS mean_price,
- (arg_max(close, i) - avg(close)) / nullif(stddev_pop(close), 0) AS zscore FROM {P} WHERE back < 50 GROUP BY symbol HAVING count(*) = 50) WHERE abs(zscore) >= 1""", "zscore mean_price deviation_pct")
+    @query(f"""SELECT symbol, open_time, back, zscore, current_price, mean_price, (current_price / mean_price - 1) * 100 AS deviation_pct, CASE WHEN zscore > 0 THEN 'overbought' ELSE 'oversold' END AS direction FROM (SELECT symbol, open_time, back, close AS current_price, avg(close) OVER w AS mean_price,
+ (close - avg(close) OVER w) / nullif(stddev_pop(close) OVER w, 0) AS zscore, count(*) OVER w AS held FROM {P} WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)) WHERE held = 50 AND abs(zscore) >= 1""", "zscore mean_price deviation_pct")
     def reversion_candidates(spark, d):
-        """With a lower threshold than the usual 2, at which few of the given tables' symbols are candidates."""
+        """Every bar, with a lower threshold than the usual 2, at which few of the given tables' symbols are candidates now."""
         return signals.reversion_candidates(panel(spark, d), threshold=1.0)
 
     numbers = "l_orderkey, l_linenumber, l_discount * 10 AS u, l_tax * 12.5 AS v, l_quantity * 2 AS h, l_discount * 20 - 1 AS s, l_tax * 25 - 1 AS r"
