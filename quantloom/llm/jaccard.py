@@ -1,7 +1,9 @@
 """Exact n-gram Jaccard join by set relations.
 
 A document is the set of its word shingles; equal sets are one class. Every class enters
-the inverted lists of its rarest shingles, as many as any set that it links with must share one of. A
+the inverted lists of its rarest shingles, as many as any set that it links with must share one of.
+How rare a shingle is, its words tell: most shingles of a large corpus are in no sample, but a shingle of
+rare words is seldom in two texts by chance. A
 list is cut into blocks: entries are ordered by set size, then by the shingle's
 position in the set, and where the next entry is too large or stands too far back to link
 with any before it, a block ends. Entries of different blocks are never compared.
@@ -9,9 +11,9 @@ with any before it, a block ends. Entries of different blocks are never compared
 A block names its smallest class as its leader, and all classes under one leader are a
 group, so every pair that shares a block is in a group.
 
-Every set also has a parity bitmap of two to four bits a shingle. Two bitmaps differ in at most as many
-bits as their sets in shingles, so most sets that only share a passage are known not to
-link before any set is sent anywhere. What may link, directly or through others, is a
+Every set also has a parity bitmap of 0.8 to 1.6 bits a shingle. Two bitmaps differ in at most as many
+bits as their sets in shingles, and those of unlike sets in half of all, so most sets that only share a
+passage are known not to link before any set is sent anywhere. What may link, directly or through others, is a
 family, so a set is sent once, however many groups it stands in. Families of more than
 ``GROUP_BLOCK`` sets are looked at group by group instead.
 
@@ -43,6 +45,8 @@ PERCENT = 75
 #: texts whose shingles tell which ones are common; this changes the lists' lengths only
 SAMPLE = 16_000
 COMMON = 1 << 17
+#: slots in which the sample's words are counted
+WORD_SLOTS = 1 << 17
 GROUP_BLOCK = 1024
 #: list entries of one bucket, about
 BUCKET_ENTRIES = 400_000
@@ -60,24 +64,41 @@ _MULTIPLIERS = mix(np.arange(1, SHINGLE + 1, dtype=U64) * U64(0x9FB21C651E98DF25
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     """The distinct shingle hashes of each text, ascending."""
+    return [s for s, _ in weighted_sets(texts, None)]
+
+
+def weighted_sets(texts: pa.Array, often: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct shingle hashes of each text, ascending, and a weight of each: the sum of what often, by
+    slots of the words' hashes, has for its words. Equal shingles weigh the same in every text."""
     w = Words(texts, NOT_SPACE)
     h = w.hashes()
+    each = np.zeros(len(h), np.int64) if often is None else often[word_slots(h)].astype(np.int64)
     n = len(h)
     grams = np.zeros(max(0, n - SHINGLE + 1), U64)
+    weights = np.zeros(len(grams), np.int64)
     for k in range(SHINGLE):
         grams += h[k : k + len(grams)] * _MULTIPLIERS[k]
+        weights += each[k : k + len(grams)]
     grams = mix(grams)
     out = []
     for a, b in zip(w.ptr[:-1].tolist(), w.ptr[1:].tolist(), strict=True):
-        if b - a >= SHINGLE:
-            out.append(np.unique(grams[a : b - SHINGLE + 1]))
+        if b - a >= SHINGLE and often is None:
+            s = np.unique(grams[a : b - SHINGLE + 1])
+            out.append((s, np.zeros(len(s), np.int64)))
+        elif b - a >= SHINGLE:
+            s, at = np.unique(grams[a : b - SHINGLE + 1], return_index=True)
+            out.append((s, weights[a + at]))
         elif b > a:
-            out.append(mix(np.array([(h[a:b] * _MULTIPLIERS[: b - a]).sum() + U64(b - a)], U64)))
+            out.append((mix(np.array([(h[a:b] * _MULTIPLIERS[: b - a]).sum() + U64(b - a)], U64)), each[a:b].sum(keepdims=True)))
         else:
-            out.append(np.zeros(0, U64))
+            out.append((np.zeros(0, U64), np.zeros(0, np.int64)))
     return out
 
 
+def word_slots(h: np.ndarray) -> np.ndarray:
+    return (h & U64(WORD_SLOTS - 1)).astype(np.int64)
+
+
 def set_id(s: np.ndarray) -> int:
     """A signed 64-bit id of a set."""
     at = np.arange(1, len(s) + 1, dtype=U64)
@@ -89,19 +110,18 @@ def least_overlap(n: np.ndarray | int):
     return (PERCENT * n + 99) // 100
 
 
-def in_order(s: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Rare shingles first: those not known as common by hash, then the common ones by frequency."""
+def in_order(s: np.ndarray, weights: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Rare shingles first: those not known as common by weight, then the common ones by frequency; equals by hash."""
     known, often = common
-    if not len(known):
-        return s
-    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-    weight = np.where(known[at] == s, often[at], 0)
-    return s[np.argsort(weight, kind="stable")] if weight.any() else s
+    if len(known):
+        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+        weights = weights + (np.where(known[at] == s, often[at], 0) << 32)
+    return s[np.argsort(weights, kind="stable")]
 
 
 def parity_bits(s: np.ndarray) -> bytes:
     """Which places of a bitmap an odd number of shingles falls on."""
-    size = max(128, 2 << (len(s) - 1).bit_length())
+    size = 1 << max(7, (4 * len(s) // 5 - 1).bit_length())
     odd = np.bincount((s & U64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
@@ -115,7 +135,7 @@ def folded(bits: bytes, size: int) -> np.ndarray:
 
 
 def may_link(sid: np.ndarray, size: np.ndarray, bits: list[bytes]) -> np.ndarray:
-    """Sets that differ in so few bits that they may link are near; the family of each set, those
+    """Sets of sizes that can link that differ in so few bits that they may are near; the family of each set, those
     that near sets join, by a number, and -1 for a set that is near no other."""
     width = np.array([len(b) * 8 for b in bits])
     near = np.zeros((len(sid), len(sid)), bool)
@@ -129,6 +149,8 @@ def may_link(sid: np.ndarray, size: np.ndarray, bits: list[bytes]) -> np.ndarray
             for k in range(maps.shape[1]):
                 differ += np.bitwise_count(maps[a, None, k] ^ maps[None, :, k])
             hit = (100 + PERCENT) * differ <= (100 - PERCENT) * (size[wide[a], None] + size[None, wide])
+            x, y = size[wide[a], None], size[None, wide]
+            hit &= 100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y)
             near[wide[a][:, None], wide[None, :]] |= hit & (sid[wide[a], None] != sid[None, wide])
     near |= near.T
     family = np.full(len(sid), -1)
@@ -182,6 +204,13 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "n"])
 
 
+def _sample_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch):
+            slot, c = np.unique(word_slots(Words(part.column("text"), NOT_SPACE).hashes()), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(c.astype(np.int64))], names=["slot", "n"])
+
+
 def _lister(sent, bits: int):
     """Rows (bucket, tokens, sids, sizes, places): a task's list entries by bucket of the shingle's hash."""
 
@@ -198,20 +227,20 @@ def _lister(sent, bits: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = sent.value
+        known, frequency, often = sent.value
         seen: set[int] = set()
         held: list[list[np.ndarray]] = [[], [], [], []]
         count = 0
         for batch in batches:
             for part in slices(batch):
-                for s in shingle_sets(part.column("text")):
+                for s, weights in weighted_sets(part.column("text"), often):
                     n = len(s)
                     sid = set_id(s) if n else None
                     if sid is None or sid in seen:
                         continue
                     seen.add(sid)
                     m = n - least_overlap(n) + 1
-                    for values, x in zip(held, (in_order(s, common)[:m], np.full(m, sid), np.full(m, n), np.arange(m)), strict=True):
+                    for values, x in zip(held, (in_order(s, weights, (known, frequency))[:m], np.full(m, sid), np.full(m, n), np.arange(m)), strict=True):
                         values.append(x)
                     count += m
                 if count > HELD:
@@ -391,7 +420,10 @@ def find_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     known = common["h"].to_numpy().view(U64)
     order = np.argsort(known)
-    sent = spark.sparkContext.broadcast((known[order], common["n"].to_numpy()[order]))
+    words = sampled.mapInArrow(_sample_words, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(WORD_SLOTS, np.uint8)
+    often[words["slot"].to_numpy()] = np.round(8 * np.log2(1 + words["n"].to_numpy()))
+    sent = spark.sparkContext.broadcast((known[order], common["n"].to_numpy()[order], often))
     bits = min(24, max(6, (int(entries) // BUCKET_ENTRIES).bit_length()))
     listed = docs.select("text").mapInArrow(_lister(sent, bits), "bucket int, tokens binary, sids binary, sizes binary, places binary")
     groups = stage(listed.groupBy("bucket").applyInArrow(_find_blocks, "leader long, sid long").distinct(), "op3-blocks")
