@@ -32,6 +32,8 @@ DIM = 16
 TRAIN_PER_LANG = 500
 TRAIN_MOST = 2500
 EPOCHS = 12
+#: distinct words whose subwords a worker holds at a time
+WORDS_AT_ONCE = 1 << 13
 UNKNOWN = "und"
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean"
 
@@ -85,12 +87,16 @@ class Model:
         total = np.zeros((n, len(self.langs)))
         count = np.zeros(n)
         if len(place):
-            buckets, of_word = subwords(words)
-            per_word = np.bincount(of_word, minlength=len(words))
+            per_word, by_word = np.zeros(len(words)), np.zeros((len(self.langs), len(words)))
+            for at in range(0, len(words), WORDS_AT_ONCE):
+                part = words.slice(at, WORDS_AT_ONCE)
+                buckets, of_word = subwords(part)
+                per_word[at : at + len(part)] = np.bincount(of_word, minlength=len(part))
+                for k in range(len(self.langs)):
+                    by_word[k, at : at + len(part)] = np.bincount(of_word, weights=self.scores[buckets, k], minlength=len(part))
             count = np.bincount(owner, weights=per_word[place], minlength=n)
             for k in range(len(self.langs)):
-                by_word = np.bincount(of_word, weights=self.scores[buckets, k], minlength=len(words))
-                total[:, k] = np.bincount(owner, weights=by_word[place], minlength=n)
+                total[:, k] = np.bincount(owner, weights=by_word[k, place], minlength=n)
         return softmax((total / np.maximum(count, 1)[:, None] + self.bias) / self.temperature)
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -37,8 +37,10 @@ SENTENCE_CUT = 4
 WORD_CUT = 12
 #: a word's end is a boundary about every so many tokens
 STEP = 48
-#: words whose ids a worker keeps
-CACHED_WORDS = 600_000
+#: words whose ids a worker keeps; it holds them, some 200 bytes each, also between tasks
+CACHED_WORDS = 300_000
+#: bytes of text that are encoded at a time
+SLICE_BYTES = 1 << 20
 MARK = "\x7f"
 _ALNUM = np.array([chr(c).isalnum() and c < 128 for c in range(256)])
 _PUNCTUATION = np.array([32 < c < 127 and not chr(c).isalnum() for c in range(256)])
@@ -80,8 +82,9 @@ class WordIds:
         if any(MARK in w for w in words):
             ids = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
             return np.array([i for x in ids for i in x], "<u4"), np.array(list(map(len, ids)), np.int64)
-        texts = [f" {MARK} ".join(words[at : at + 2000]) + f" {MARK}" for at in range(0, len(words), 2000)]
-        ids = np.concatenate([np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        texts = (f" {MARK} ".join(words[at : at + 2000]) + f" {MARK}" for at in range(0, len(words), 2000))
+        # One at a time: what the tokenizer says of a text is many times as large as its ids.
+        ids = np.concatenate([np.array(x.ids, "<u4") for text in texts for x in self.tokenizer.encode_batch_fast([text], add_special_tokens=False)])
         marks = np.flatnonzero(ids == self.mark)
         return np.delete(ids, marks), np.diff(marks, prepend=-1) - 1
 
@@ -257,7 +260,7 @@ def _packer(path: str, most: int):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], schema=_ARROW)
 
         for batch in batches:
-            for part in slices(batch, limit=4 << 20):
+            for part in slices(batch, limit=SLICE_BYTES):
                 doc_ids = part.column("doc_id")
                 stream.add(doc_ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), *encode(part.column("text"), vocabulary))
                 yield from cut(False)
