@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import discard, stage
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -13,7 +13,7 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps: every node first hands its larger, then its smaller neighbours to
     the smallest node it knows. The number of rounds grows with the logarithm of the
-    longest chain. The smallest neighbour is found by a partial aggregate, but the joins bring all links of a node
+    longest chain; what a round wrote is deleted when the next has written. The smallest neighbour is found by a partial aggregate, but the joins bring all links of a node
     together: a node with very many is one task's work, unless the session splits skewed joins.
     """
     edges = stage(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
@@ -23,10 +23,12 @@ def connected_components(links: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stage(large.where(F.col("u") != F.col("v")).distinct(), "links")
+        discard(edges)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
         edges = stage(small, "links")
+        discard(large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .components import connected_components
-from .staging import stage
+from .staging import discard, stage
 from .textbytes import NOT_SPACE, U64, Words, mix, slices
 
 SHINGLE = 5
@@ -49,15 +49,15 @@ COMMON = 1 << 17
 WORD_SLOTS = 1 << 17
 GROUP_BLOCK = 1024
 #: list entries of one bucket, about
-BUCKET_ENTRIES = 400_000
+BUCKET_ENTRIES = 200_000
 #: bytes of sets that one task of small groups reads, about
-CELL_BYTES = 8 << 20
+CELL_BYTES = 4 << 20
 #: ids that are sent to all executors; more are joined by a shuffle
 BROADCAST_IDS = 1_000_000
 #: rows that tell each set its tasks; so many are sent to all executors, more are joined by a shuffle
 BROADCAST_TASKS = 200_000
 #: list entries that a task holds before it passes them on
-HELD = 500_000
+HELD = 250_000
 
 _MULTIPLIERS = mix(np.arange(1, SHINGLE + 1, dtype=U64) * U64(0x9FB21C651E98DF25)) | U64(1)
 
@@ -406,7 +406,7 @@ def _of_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def find_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, sid, text_hash) of each row, and links (a, b) between set ids that join all sets which
-    the links of the corpus join."""
+    the links of the corpus join. What a step wrote is deleted when the next one has written."""
     ship(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -432,16 +432,20 @@ def find_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # A group whose sets all share another home has nothing to add to it.
     useful = with_home.groupBy("leader").agg(F.min("home").alias("x"), F.max("home").alias("y")).where("x = leader or x != y")
     wanted = stage(with_home.join(useful.select("leader"), "leader", "left_semi"), "op3-groups")
+    discard(groups)
     sketches = rows.join(wanted.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("n").alias("n"), F.min("bits").alias("bits"))
     sketched = _tasks(wanted, max(64, wanted.count() // GROUP_BLOCK)).join(sketches, "sid")
     near = stage(sketched.groupBy("task", "i", "j").applyInArrow(_possible, "first long, sid long").distinct(), "op3-near")
+    discard(wanted)
     families = connected_components(near.select(F.col("first").alias("a"), F.col("sid").alias("b")))
     small = families.groupBy("root").agg(F.count("*").alias("members")).where(F.col("members") <= GROUP_BLOCK).select("root")
     whole = families.join(small, "root", "left_semi").select(F.col("root").alias("leader"), F.col("node").alias("sid"))
     parted = near.join(whole, "sid", "left_anti").select(F.col("first").alias("leader"), "sid")
     members = stage(whole.unionByName(parted), "op3-members")
+    discard(near)
     sizes = rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
     classes = stage(members.join(sizes, "sid"), "op3-wanted")
+    discard(members)
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     sent_once = _of_classes(docs, classes).mapInArrow(_emit_sets, "sid long, shingles binary")
     tasks = stage(_tasks(classes.select("leader", "sid"), max(1, total * 6 // CELL_BYTES)), "op3-tasks")
