@@ -56,6 +56,8 @@ CELL_BYTES = 4 << 20
 BROADCAST_IDS = 1_000_000
 #: rows that tell each set its tasks; so many are sent to all executors, more are joined by a shuffle
 BROADCAST_TASKS = 200_000
+#: bytes of text whose shingles a task holds at a time
+SLICE_BYTES = 1 << 19
 #: list entries that a task holds before it passes them on
 HELD = 250_000
 
@@ -187,7 +189,7 @@ def _possible(table: pa.Table) -> pa.Table:
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, limit=SLICE_BYTES):
             sets = shingle_sets(part.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
@@ -198,7 +200,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, limit=SLICE_BYTES):
             sets = shingle_sets(part.column("text"))
             h, c = np.unique(np.concatenate(sets), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "n"])
@@ -206,7 +208,7 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sample_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, limit=SLICE_BYTES):
             slot, c = np.unique(word_slots(Words(part.column("text"), NOT_SPACE).hashes()), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(c.astype(np.int64))], names=["slot", "n"])
 
@@ -232,17 +234,25 @@ def _lister(sent, bits: int):
         held: list[list[np.ndarray]] = [[], [], [], []]
         count = 0
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE_BYTES):
+                tokens, sids, sizes = [], [], []
                 for s, weights in weighted_sets(part.column("text"), often):
                     n = len(s)
                     sid = set_id(s) if n else None
                     if sid is None or sid in seen:
                         continue
                     seen.add(sid)
-                    m = n - least_overlap(n) + 1
-                    for values, x in zip(held, (in_order(s, weights, (known, frequency))[:m], np.full(m, sid), np.full(m, n), np.arange(m)), strict=True):
-                        values.append(x)
-                    count += m
+                    tokens.append(in_order(s, weights, (known, frequency))[: n - least_overlap(n) + 1])
+                    sids.append(sid)
+                    sizes.append(n)
+                if not sids:
+                    continue
+                # One array a slice: views would hold whole sets, and many small arrays leave gaps in a worker's memory.
+                m = np.array([len(x) for x in tokens])
+                places = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+                for values, x in zip(held, (np.concatenate(tokens), np.repeat(np.array(sids), m), np.repeat(np.array(sizes), m), places), strict=True):
+                    values.append(x)
+                count += len(places)
                 if count > HELD:
                     yield packed(*map(np.concatenate, held))
                     held, count = [[], [], [], []], 0
@@ -302,7 +312,7 @@ def received(b: bytes) -> np.ndarray:
 
 def _emit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, limit=SLICE_BYTES):
             sets = [s for s in shingle_sets(part.column("text")) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([sent(s) for s in sets], pa.binary())], names=["sid", "shingles"])
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from ..shipping import ship
-from .textbytes import LOWER, raw, slices
+from .textbytes import LOWER, U64, mix, raw, slices
 
 LENGTH = 2048
 END_ID = 1
@@ -37,13 +37,14 @@ SENTENCE_CUT = 4
 WORD_CUT = 12
 #: a word's end is a boundary about every so many tokens
 STEP = 48
-#: words whose ids a worker keeps; it holds them, some 200 bytes each, also between tasks
-CACHED_WORDS = 600_000
+#: words whose ids a worker keeps; it holds them, some 50 bytes each, also between tasks
+CACHED_WORDS = 300_000
 #: bytes of text that are encoded at a time
 SLICE_BYTES = 1 << 20
 MARK = "\x7f"
 _ALNUM = np.array([chr(c).isalnum() and c < 128 for c in range(256)])
 _PUNCTUATION = np.array([32 < c < 127 and not chr(c).isalnum() for c in range(256)])
+_SENTENCE_ENDS = np.frombuffer(b".!?", np.uint8)
 TOKENIZER = "word_bpe_49k.json"
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -56,9 +57,19 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word: the sum of those of its bytes with their places."""
+    length = np.diff(offsets)
+    place = np.arange(len(data)) - np.repeat(offsets[:-1], length)
+    total = np.zeros(len(data) + 1, U64)
+    np.cumsum(mix((place << 8 | data).astype(U64) + U64(1)), out=total[1:])
+    return mix(np.diff(total[offsets]) + length.astype(U64))
+
+
 class WordIds:
     """Token ids of words. The tokenizer drops white space and never joins over it, so a
-    text's ids are those of its words; each distinct word is encoded once."""
+    text's ids are those of its words; each distinct word is encoded once. Words are kept as bytes in a row, and
+    found by their hashes, in order; bytes tell apart two words of one hash."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -70,10 +81,13 @@ class WordIds:
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[str, int] = {}
+        self.hashes = np.zeros(0, U64)
+        self.row = np.zeros(0, np.int32)
+        self.data = np.zeros(0, np.uint8)
+        self.begin = np.array([0, 0], np.int64)
         self.flat = np.array([END_ID], "<u4")
         self.first = np.array([0], np.int64)
-        self.length = np.array([1], np.int64)
+        self.length = np.array([1], np.int32)
         self.ends = np.array([2], np.int8)
 
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,20 +102,45 @@ class WordIds:
         marks = np.flatnonzero(ids == self.mark)
         return np.delete(ids, marks), np.diff(marks, prepend=-1) - 1
 
-    def of(self, words: list[str]) -> np.ndarray:
-        """Row of each word in first, length and ends; row 0 is the end of a document."""
-        if len(self.index) + len(words) > CACHED_WORDS:
+    def _find(self, data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Row of each word, 0 where it is not kept."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        row = np.where(self.hashes[at] == hashes, self.row[at], 0).astype(np.int64)
+        length = np.diff(offsets)
+        row[self.begin[row + 1] - self.begin[row] != length] = 0
+        found = np.flatnonzero(row)
+        n = length[found]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        same = self.data[np.repeat(self.begin[row[found]], n) + step] == data[np.repeat(offsets[found], n) + step]
+        row[np.repeat(found, n)[~same]] = 0
+        return row
+
+    def of(self, words: pa.Array | list[str]) -> np.ndarray:
+        """Row of each word, of distinct ones, in first, length and ends; row 0 is the end of a document."""
+        words = words if isinstance(words, pa.Array) else pa.array(words, pa.string())
+        if len(self.length) + len(words) > CACHED_WORDS:
             self._reset()
-        index = self.index
-        new = [w for w in words if w not in index]
-        if new:
-            flat, length = self._encoded(new)
-            index.update(zip(new, range(len(self.length), len(self.length) + len(new)), strict=True))
+        data, offsets = raw(words)
+        hashes = word_hashes(data, offsets)
+        rows = self._find(data, offsets, hashes)
+        new = np.flatnonzero(rows == 0)
+        if len(new):
+            rows[new] = np.arange(len(self.length), len(self.length) + len(new))
+            added = words.take(pa.array(new))
+            flat, length = self._encoded(added.to_pylist())
+            data, offsets = raw(added)
+            order = new[np.argsort(hashes[new])]
+            at = np.searchsorted(self.hashes, hashes[order])
+            self.hashes, self.row = np.insert(self.hashes, at, hashes[order]), np.insert(self.row, at, rows[order])
+            self.begin = np.concatenate([self.begin, len(self.data) + offsets[1:]])
+            self.data = np.concatenate([self.data, data])
             self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(length) - length])
-            self.length = np.concatenate([self.length, length])
+            self.length = np.concatenate([self.length, length.astype(np.int32)])
             self.flat = np.concatenate([self.flat, flat])
-            self.ends = np.concatenate([self.ends, np.fromiter((w[-1:] in (".", "!", "?") for w in new), np.int8, len(new))])
-        return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+            self.ends = np.concatenate([self.ends, np.isin(data[offsets[1:] - 1], _SENTENCE_ENDS).astype(np.int8)])
+        return rows
 
 
 def separated(texts: pa.Array) -> pa.Array:
@@ -131,8 +170,7 @@ def encode(texts: pa.Array, vocabulary: WordIds) -> tuple[np.ndarray, np.ndarray
     or document ends after some tokens (positions, kinds 0, 1 and 2)."""
     lists = pc.ascii_split_whitespace(separated(texts.fill_null("")))
     coded = lists.flatten().dictionary_encode()
-    word = pa.array([]) if not len(coded) else coded.dictionary
-    rows = vocabulary.of(word.to_pylist())
+    rows = vocabulary.of(coded.dictionary if len(coded) else [])
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     per_word = rows[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
     n = len(texts)

@@ -7,7 +7,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from quantloom.llm import langid, packing
+from quantloom.llm import jaccard, langid, packing
 
 
 def test_language_of_many_distinct_words():
@@ -40,3 +40,41 @@ def test_tokenizer_gets_one_text_at_a_time():
     for i in (0, 1_999, 2_000, 8_999):
         first, n = int(vocabulary.first[rows[i]]), int(vocabulary.length[rows[i]])
         assert vocabulary.flat[first : first + n].tolist() == whole.encode(words[i], add_special_tokens=False).ids
+
+
+def test_cached_words_take_few_bytes():
+    vocabulary = packing.WordIds(packing.tokenizer_path())
+    words = [f"{i * 7919:x}".translate(str.maketrans("0123456789", "ghijklmnop")) for i in range(60_000)]
+    tracemalloc.start()
+    for at in range(0, len(words), 10_000):
+        vocabulary.of(words[at : at + 10_000])
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 75 * len(words)
+    rows = vocabulary.of(words[5:50_000:997])
+    for w, row in zip(words[5:50_000:997], rows.tolist(), strict=True):
+        first, n = int(vocabulary.first[row]), int(vocabulary.length[row])
+        assert vocabulary.flat[first : first + n].tolist() == vocabulary.tokenizer.encode(w, add_special_tokens=False).ids
+
+
+def test_words_of_one_hash_keep_their_own_ids(monkeypatch):
+    monkeypatch.setattr(packing, "word_hashes", lambda data, offsets: np.diff(offsets).astype(np.uint64) % np.uint64(2))
+    vocabulary = packing.WordIds(packing.tokenizer_path())
+    words = ["one", "two", "end.", "three", "four", "why?", "zebra", "one.", "éé", "x" * 3_000]
+    for turn in (words, words[::-1], ["new", *words[3:], "two"]):
+        for w, row in zip(turn, vocabulary.of(turn).tolist(), strict=True):
+            first, n = int(vocabulary.first[row]), int(vocabulary.length[row])
+            assert vocabulary.flat[first : first + n].tolist() == vocabulary.tokenizer.encode(w, add_special_tokens=False).ids
+            assert vocabulary.ends[row] == (w[-1] in ".!?")
+
+
+def test_sets_of_many_texts_are_made_in_small_slices():
+    texts = [" ".join(f"w{i}x{k}" for k in range(400)) for i in range(1_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1_000)), pa.array(texts), pa.array(range(1_000))], names=["doc_id", "text", "text_hash"])
+    list(jaccard._describe(iter([batch.slice(0, 1)])))
+    tracemalloc.start()
+    got = sum(part.num_rows for part in jaccard._describe(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == 1_000
+    assert peak < 15_000_000
