@@ -139,7 +139,10 @@ class WordIds:
             self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(length) - length])
             self.length = np.concatenate([self.length, length.astype(np.int32)])
             self.flat = np.concatenate([self.flat, flat])
-            self.ends = np.concatenate([self.ends, np.isin(data[offsets[1:] - 1], _SENTENCE_ENDS).astype(np.int8)])
+            # White space at the ends of a text makes an empty word, which has no last byte.
+            some, ends = np.flatnonzero(np.diff(offsets)), np.zeros(len(new), np.int8)
+            ends[some] = np.isin(data[offsets[some + 1] - 1], _SENTENCE_ENDS)
+            self.ends = np.concatenate([self.ends, ends])
         return rows
 
 
